@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op02_mcd, op03_simhash, op09_winnow
+from . import op02_mcd, op03_simhash, op06_decontaminate, op07_bpe, op09_winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +21,34 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_simhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, and whether decoding them gives the text back."""
+    x = op07_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    x = op07_bpe.decode(x, "token_ids", "decoded")
+    return x.selectExpr("doc_id", "token_ids", "n_tokens", "decoded = text AS round_trip")
+
+
 def op9_winnow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, without the lines of later repeated runs."""
     return op09_winnow.drop_repeated_lines(_table(spark, sf_dir, "documents"), drop_emptied=False).select("doc_id", "text")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op2_mcd_outliers": op2_mcd_outliers,
     "op3_simhash_groups": op3_simhash_groups,
+    "op6_leaks": op6_leaks,
+    "op7_bpe": op7_bpe,
     "op9_winnow_lines": op9_winnow_lines,
+    "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {}
