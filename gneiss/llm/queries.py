@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_warc, op02_mcd, op03_simhash, op05_html, op06_decontaminate, op07_bpe, op08_ppm, op09_winnow, op10_sharding
+from . import op01_warc, op02_mcd, op03_simhash, op04_trie, op05_html, op06_decontaminate, op07_bpe, op08_ppm, op09_winnow, op10_sharding
 from .common import new_path
 
 
@@ -37,6 +37,11 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_simhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op04_trie.score(docs, op04_trie.train(docs)).drop("text")
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_html.extract_text(_table(spark, sf_dir, "pages"))
 
@@ -78,6 +83,7 @@ QUERIES = {
         op1_warc,
         op2_mcd_outliers,
         op3_simhash_groups,
+        op4_lm_scores,
         op5_html_text,
         op6_leaks,
         op7_bpe,
@@ -90,5 +96,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_warc": """SELECT page_id, url, CAST(strlen(coalesce(html, '')) AS BIGINT) AS body_length, sha256(coalesce(html, '')) AS body_sha256,
         coalesce(html, '') AS html, true AS read_back, CAST(NULL AS VARCHAR) AS error FROM pages""",
+    "op4_lm_scores": op04_trie.oracle(),
     "op10_shards": op10_sharding.oracle(),
 }
