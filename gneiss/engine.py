@@ -36,8 +36,9 @@ def strings(value) -> list[str] | None:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, store: str, config: Config | None = None):
-        self.spark, self.base, self.config = spark, store, config or Config.from_env()
+    def __init__(self, spark: SparkSession, root: str, store: str, config: Config | None = None, log: str = ""):
+        """log: a file to which calls are added as JSON lines, for development."""
+        self.spark, self.base, self.config, self.log = spark, store, config or Config.from_env(), log
         self.switch_workspace(root)
 
     # ------------------------------------------------------------ workspaces
@@ -245,5 +246,9 @@ class Engine:
         target = self
         if name != "repo_switch_workspace" and (root := arguments.pop("root", None)):
             target = Engine(self.spark, root, self.base, self.config)
+        if self.log:
+            text = json.dumps(arguments, ensure_ascii=False, default=str).encode()[:2000].decode("utf-8", "ignore")
+            with open(self.log, "a", encoding="utf-8") as f:
+                f.write(json.dumps({"tool": name, "arguments": text, "at": datetime.now(timezone.utc).isoformat()}) + "\n")
         value = getattr(target, name)(**arguments)
         return {"structuredContent": value, "content": [{"type": "text", "text": json.dumps(value, ensure_ascii=False)}]}

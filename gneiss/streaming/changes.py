@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 from collections.abc import Callable
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..functions import paths as P
+from ..sources.tree import walk
 
 CHANGES = "ts timestamp, op string, path string"
 
@@ -74,8 +76,47 @@ class GitStatusSource(DataSource):
         return GitStatusReader(self.options)
 
 
+class TreeChangeReader(SimpleDataSourceStreamReader):
+    """Compares the tree with what the poll before saw. A stream that starts anew adds every file once, which an upsert bears."""
+
+    def __init__(self, options):
+        self.root, self.seen = options["path"], {}
+
+    def initialOffset(self):
+        return {"poll": 0}
+
+    def read(self, start):
+        now = {p: (size, time) for p, size, time in walk(self.root)}
+        rows = [("add", p) for p, s in now.items() if self.seen.get(p) != s] + [("del", p) for p in self.seen if p not in now]
+        self.seen = now
+        return iter(rows), {"poll": start["poll"] + 1}
+
+    def readBetweenOffsets(self, start, end):
+        return iter([])
+
+
+class TreeChangeSource(DataSource):
+    """A stream of what has changed in a directory tree, polled at each trigger."""
+
+    @classmethod
+    def name(cls):
+        return "tree_changes"
+
+    def schema(self):
+        return "op string, path string"
+
+    def simpleStreamReader(self, schema):
+        return TreeChangeReader(self.options)
+
+
 def change_stream(spark: SparkSession, detector: str, path: str) -> DataFrame:
-    """(op, path) from a git work tree ('git'), or from a folder of JSON event files ('feed'): ts, kind, path."""
+    """(op, path) from a git work tree ('git'), from polls of a directory ('fs'), from whichever of the two fits ('auto'), or from a folder of
+    JSON event files ('feed'): ts, kind, path."""
+    if detector == "auto":
+        detector = "git" if os.path.exists(os.path.join(path, ".git")) else "fs"
+    if detector == "fs":
+        spark.dataSource.register(TreeChangeSource)
+        return spark.readStream.format("tree_changes").load(path)
     if detector == "git":
         spark.dataSource.register(GitStatusSource)
         return spark.readStream.format("git_status").load(path)

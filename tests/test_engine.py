@@ -122,3 +122,31 @@ def test_git_stream(spark, tmp_path):
     finally:
         q.stop()
     assert ({"new.go"}, set()) in seen
+
+
+def test_tree_stream(spark, tmp_path):
+    write(tmp_path / "t", {"a": "1", "vendor/b": "", "c": ""})
+    seen = []
+    x = changes.change_stream(spark, "auto", str(tmp_path / "t"))
+    q = changes.run_stream(x, lambda add, gone: seen.append(({r.path for r in add.collect()}, {r.path for r in gone.collect()})), str(tmp_path / "c2"), "200 milliseconds")
+
+    def wait(what):
+        end = time.time() + 60
+        while what not in seen and time.time() < end:
+            time.sleep(0.2)
+        assert what in seen
+
+    try:
+        wait(({"a", "c"}, set()))
+        (tmp_path / "t/a").write_text("22")
+        os.remove(tmp_path / "t/c")
+        wait(({"a"}, {"c"}))
+    finally:
+        q.stop()
+
+
+def test_call_log(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    e = Engine(spark, str(tmp_path / "r"), str(tmp_path / "s"), log=str(tmp_path / "log"))
+    e.call("memory_upsert", {"key": "k", "text": "x" * 5000})
+    assert len((tmp_path / "log").read_text()) < 2300
