@@ -6,6 +6,7 @@ with a fixed number of numpy calls, whatever the number of documents in it.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -18,6 +19,10 @@ _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 #: Text bytes worked on at once; bounds a Python worker's memory.
 BLOCK = 1 << 20
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH = str(4 << 20)
+# Arrow's own allocators keep what they have had
+pa.set_memory_pool(pa.system_memory_pool())
 
 
 def shared_dir(spark) -> str:
@@ -42,6 +47,23 @@ def materialise(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark) -> None:
+    """Arrow batches of a few MB: 10,000 long texts at once would take hundreds of MB outside the heap and again in the worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on from task to task."""
+    if _trim:
+        _trim(0)
+
+
 def free_name(columns, name: str) -> str:
     """name, with underscores added until no column of the input has it (case-insensitively)."""
     taken = {c.lower() for c in columns}
@@ -76,6 +98,7 @@ def blocks(raw: np.ndarray, off: np.ndarray, most: int = BLOCK):
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
         yield i, raw[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    trim()
 
 
 # ---------------------------------------------------------------- tokens

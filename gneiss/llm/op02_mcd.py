@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _WORD, blocks, fold, free_name, materialise, span_hash, spans, string_parts
+from .common import _WORD, blocks, bounded_batches, fold, free_name, materialise, span_hash, spans, string_parts
 
 #: Fixed-point unit of the transformed statistics.
 ONE = 1024
@@ -191,6 +191,7 @@ def _group_names(lang, source):
 
 def fit(docs: DataFrame, params: McdParams = McdParams()) -> tuple[DataFrame, DataFrame]:
     """(models: gl, gs, mu, w of each group; groups: gl, gs0 and the group gs that stands for it)."""
+    bounded_batches(docs.sparkSession)
     gl, gs = _group_names(F.col("lang"), F.col("source"))
     seen = materialise(
         docs.select(gl.alias("gl"), gs.alias("gs0"), _vectors(F.col("text")).alias("v"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, free_name, materialise, mix, string_parts, words
+from .common import U64, blocks, bounded_batches, free_name, materialise, mix, string_parts, words
 
 N, RADIUS = 23, 3
 MASK = (1 << N) - 1
@@ -253,6 +253,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def near_duplicate_groups(docs: DataFrame, params: SimhashParams = SimhashParams()) -> DataFrame:
     """(doc_id, group_id) of the documents in groups of two or more; group_id is the least doc_id of the group."""
+    bounded_batches(docs.sparkSession)
     x = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL")
     x = x.mapInArrow(_fingerprint_batches, "id long, lo long, hi long")
     x = materialise(x.groupBy("id").agg(F.min(F.struct("lo", "hi")).alias("f")).select("id", "f.lo", "f.hi"), "simhash")

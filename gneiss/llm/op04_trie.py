@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK, U64, blocks, free_name, materialise, mix, new_path, string_parts, words
+from .common import BLOCK, U64, blocks, bounded_batches, free_name, materialise, mix, new_path, string_parts, words
 
 UNIT = 8  # codes a bit
 LOW32 = (1 << 32) - 1
@@ -382,6 +382,7 @@ def _merge(least: int):
 
 def _count(docs: DataFrame, keys_of, least: int, name: str) -> DataFrame:
     """(key, n) of the keys that keys_of gives for blocks of words, at least `least` times; key null: how many others there were."""
+    bounded_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, materialise
+from .common import bounded_batches, free_name, materialise
 
 
 @dataclass(frozen=True)
@@ -150,6 +150,7 @@ def _count(batches):
 
 def templates(pages: DataFrame, params: TemplateParams = TemplateParams()) -> DataFrame:
     """(host, subtree, n): the subtrees that are deleted, with the number of their pages."""
+    bounded_batches(pages.sparkSession)
     counts = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_count, "host string, subtree long, n long")
     counts = materialise(counts.groupBy("host", "subtree").agg(F.sum("n").alias("n")).where((F.col("n") >= params.min_pages) | F.col("subtree").isNull()), "html-subtrees")
     size = counts.where("subtree IS NULL").select("host", F.col("n").alias("pages"))

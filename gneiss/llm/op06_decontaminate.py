@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, mix, string_parts, words
+from .common import U64, blocks, bounded_batches, mix, string_parts, words
 
 SHINGLE = 3
 
@@ -171,6 +171,7 @@ class Index:
 
 def indexes(benchmark: DataFrame, params: LeakParams):
     """Broadcast indexes of the items, of bounded size each."""
+    bounded_batches(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("i"), "text").where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(size // params.portion_bytes) + 1

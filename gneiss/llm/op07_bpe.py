@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, string_parts
+from .common import bounded_batches, free_name, string_parts, trim
 
 NONE = np.int32(1 << 30)
 DRAWER = 8  # bits of a rank within a drawer
@@ -33,7 +33,7 @@ DRAWER = 8  # bits of a rank within a drawer
 class BpeParams:
     vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     pattern: str = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-    portion_bytes: int = 24 << 20
+    portion_bytes: int = 12 << 20
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -175,6 +175,7 @@ class _Numbers(dict):
 
 def load(spark, params: BpeParams):
     """Broadcast of the vocabulary, which the driver reads."""
+    bounded_batches(spark)
     with open(params.vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     return spark.sparkContext.broadcast(Bpe(ranks, params))
@@ -189,6 +190,7 @@ def encode(docs: DataFrame, params: BpeParams = BpeParams()) -> DataFrame:
     def flush(batches: list[pa.RecordBatch]):
         with np.errstate(over="ignore"):
             ids, ends = bpe.value.encode([t or "" for b in batches for t in b.column(at).to_pylist()])
+        trim()
         row = 0
         for b in batches:
             e = ends[row : row + b.num_rows + 1]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, free_name, string_parts
+from .common import blocks, bounded_batches, free_name, string_parts
 
 ONE = 1 << 16
 
@@ -182,6 +182,7 @@ def identify(docs: DataFrame, trees: Trees | None, name: str = "predicted", leng
         return pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(x) + 1, width), pa.int32()), pa.array(x.ravel() / ONE), mask=pa.array(np.diff(off) == 0))
 
     bits.__annotations__ = {"text": pa.Array, "return": pa.Array}
+    bounded_batches(docs.sparkSession)
     key = free_name(docs.columns, "ppm")
     names = F.array(*(F.lit(g) for g in trees.languages))
     x = docs.withColumn(key, F.arrow_udf(bits, "array<double>")(F.col("text")))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, free_name, materialise, span_hash, string_parts
+from .common import blocks, bounded_batches, free_name, materialise, span_hash, string_parts
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -145,6 +145,7 @@ def string_free(column) -> list[np.ndarray]:
 
 def repeated_runs(docs: DataFrame, params: WinnowParams = WinnowParams()) -> DataFrame:
     """(id, start, stop): the runs of lines, from 0 and without stop, that repeat an earlier run."""
+    bounded_batches(docs.sparkSession)
     x = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text <> ''")
     x = x.mapInArrow(_sequences(params), "id long, lines array<long>, at array<int>, gram array<long>")
     # of rows with an equal id, one stands for all
