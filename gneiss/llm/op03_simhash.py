@@ -225,7 +225,9 @@ def _compare(p: SimhashParams):
 def near_pairs(points: DataFrame, params: SimhashParams = SimhashParams()) -> DataFrame:
     """Edges (a, b), a < b, between points (point, lo, hi) with different fingerprints: enough to connect all that are within the threshold."""
     slack = (params.threshold + 1) // 2  # an odd threshold counts as one more
-    spread = points.select("point", "lo", "hi").mapInArrow(_replicate(slack), "anchor int, point long, lo long, hi long")
+    # a point becomes some 120 rows: the few MB of points are spread over all tasks first
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = points.select("point", "lo", "hi").repartition(parts, "point").mapInArrow(_replicate(slack), "anchor int, point long, lo long, hi long")
     return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(params), "a long, b long").distinct()
 
 
