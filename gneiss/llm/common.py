@@ -65,9 +65,9 @@ def trim() -> None:
 
 
 def free_name(columns, name: str) -> str:
-    """name, with underscores added until no column of the input has it (case-insensitively)."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
+    """name, with underscores added until no column of the input is it or begins with it and an underscore (case-insensitively)."""
+    taken = [c.lower() for c in columns]
+    while any(c == name.lower() or c.startswith(name.lower() + "_") for c in taken):
         name = "_" + name
     return name
 

@@ -11,7 +11,7 @@ one word with the mass of all rare words. A document's score is the sum of its w
 
 Scale: counting is local sorting of 64-bit keys in each task, one shuffle of packed runs of keys, and merging by sorting: some 9 bytes a distinct n-gram, no
 row for each. Level 3 is counted with level 2 at hand, and holds only n-grams whose parts are there. The levels are written by one
-task that streams over the sorted, pruned n-grams in chunks; all tasks map the files into memory, so workers share them. No count is capped; all grow with the corpus.
+task that streams over the sorted, pruned n-grams in chunks (of the vocabulary and of each level above it holds the counts); all tasks map the files into memory, so workers share them. No count is capped; all grow with the corpus.
 
 Defined results: words are runs of letters and digits, case folded. A text without words (null, empty) has 0 words, 0 bits and null perplexity. Repeated rows count as often as they
 occur. An empty table gives no rows. Columns besides text pass through.
@@ -544,7 +544,8 @@ _SCORE = T.StructType([T.StructField("words", T.LongType()), T.StructField("code
 
 
 def score(docs: DataFrame, uri: str) -> DataFrame:
-    """docs, with n_words, bits (-log2 of the probability of its words) and perplexity."""
+    """docs, with n_words, bits (-log2 of the probability of its words) and perplexity (underscores in front where docs has such columns)."""
+    names = [free_name(docs.columns, n) for n in ("n_words", "bits", "perplexity")]
 
     def run(text: pa.Array) -> pa.Array:
         lm = _model(uri, 3)
@@ -560,7 +561,7 @@ def score(docs: DataFrame, uri: str) -> DataFrame:
     key = free_name(docs.columns, "lm")
     x = docs.withColumn(key, F.arrow_udf(run, _SCORE)(F.col("text")))
     n, bits = F.col(f"{key}.words"), F.col(f"{key}.code") / UNIT
-    return x.select(*docs.columns, n.alias("n_words"), bits.alias("bits"), F.when(n > 0, F.pow(F.lit(2.0), bits / n)).alias("perplexity"))
+    return x.select(*docs.columns, *(c.alias(k) for k, c in zip(names, (n, bits, F.when(n > 0, F.pow(F.lit(2.0), bits / n))))))
 
 
 def oracle(params: LmParams = LmParams()) -> str:

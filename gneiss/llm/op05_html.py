@@ -176,8 +176,9 @@ def _extract(source: pa.Array, known: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=["text", "removed"])
 
 
-def extract_text(pages: DataFrame, params: TemplateParams = TemplateParams(), text: str = "text", removed: str = "removed") -> DataFrame:
-    """pages without html, with the text and the number of template subtrees deleted."""
+def extract_text(pages: DataFrame, params: TemplateParams = TemplateParams()) -> DataFrame:
+    """pages without html, with `text` and `removed`, the number of template subtrees deleted (underscores in front where pages has such columns)."""
+    text, removed = (free_name(pages.columns, n) for n in ("text", "removed"))
     key = free_name(pages.columns, "site")
     lists = materialise(templates(pages, params).groupBy("host").agg(F.array_sort(F.collect_list("subtree")).alias(f"{key}_known")), "html-templates")
     x = pages.withColumn(key, host(F.col("url"))).join(lists.withColumnRenamed("host", key), key, "left")

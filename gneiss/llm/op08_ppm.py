@@ -112,7 +112,7 @@ class Trees:
     def _costs(self, k: int, keys: np.ndarray) -> np.ndarray:
         """Costs (keys x languages) of the last byte of each key of k + 1 bytes."""
         row = self.table[k].find(keys)
-        out = self.cost[k][row]
+        out = self.cost[k][row] if len(self.cost[k]) else np.zeros((len(keys), len(self.languages)), np.int64)
         lost = np.flatnonzero(row < 0)
         if len(lost):
             context = self.contexts[k].find(keys[lost] >> 8)
@@ -167,8 +167,9 @@ def train(docs: DataFrame, params: PpmParams = PpmParams()) -> Trees | None:
     return Trees({g: [t[h] for h in sorted(t)] for g, t in texts.items()}, params.order)
 
 
-def identify(docs: DataFrame, trees: Trees | None, name: str = "predicted", lengths: str = "code_bits") -> DataFrame:
-    """docs with the language of the shortest code, and the code lengths in bits, in the order of the languages' names."""
+def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
+    """docs with `predicted`, the language of the shortest code, and `code_bits`, the lengths in the order of the languages' names (underscores in front where docs has such columns)."""
+    name, lengths = (free_name(docs.columns, n) for n in ("predicted", "code_bits"))
     if trees is None:
         return docs.withColumns({name: F.lit(None).cast("string"), lengths: F.lit(None).cast("array<double>")})
     model = docs.sparkSession.sparkContext.broadcast(trees)
@@ -187,4 +188,4 @@ def identify(docs: DataFrame, trees: Trees | None, name: str = "predicted", leng
     names = F.array(*(F.lit(g) for g in trees.languages))
     x = docs.withColumn(key, F.arrow_udf(bits, "array<double>")(F.col("text")))
     best = F.element_at(names, F.array_position(F.col(key), F.array_min(key)).cast("int"))
-    return x.select(*docs.columns, best.alias(name), F.col(key).alias(lengths))
+    return x.select(*docs.columns, F.when(F.col(key).isNotNull(), best).alias(name), F.col(key).alias(lengths))
