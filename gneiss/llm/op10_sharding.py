@@ -5,7 +5,7 @@ the shard that most of its neighbours are in; between any two shards as many mov
 room below its capacity takes more. Cut edges fall, sizes stay even.
 
 Scale: a round is a join of edges and labels and grouped aggregations over integers; each round's labels (two numbers a document) are written to the shared folder. Lines that are in
-many documents link each with the next in order, never all with all, so a hot line costs one edge a document. Movers are ranked within the pair
+many documents link each with the next in order, never all with all, so a hot line costs one edge a document; it is worked on in ranges of ids. Movers are ranked within the pair
 of shards they move between; nothing but the sizes of shards is small.
 
 Order and ties: everything is decided by counts, then by a multiplicative hash of doc_id, then by doc_id: the result depends on the rows alone.
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Ids within which a line links its documents in order.
+RANGE = 1 << 16
 MULT, MOD = 2654435761, 4294967296
 
 
@@ -42,7 +44,11 @@ def links(docs: DataFrame, params: ShardParams = ShardParams()) -> DataFrame:
     """(src, dst, weight), both ways: neighbours in the order of doc_id among the documents that have a line in common; weight is the number of such lines."""
     lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.explode(F.split("text", "\n", -1)).alias("line"))
     lines = lines.where(F.length("line") >= params.min_chars).select("id", F.xxhash64("line").alias("line")).distinct()
-    before = lines.withColumn("prev", F.lag("id").over(Window.partitionBy("line").orderBy("id"))).where("prev IS NOT NULL")
+    # within ranges of ids, so that a hot line is no single task; the first of each range follows the first of the range before
+    lines = lines.withColumn("part", F.expr(f"id div {RANGE}"))
+    near = lines.withColumn("prev", F.lag("id").over(Window.partitionBy("line", "part").orderBy("id")))
+    heads = near.where("prev IS NULL").withColumn("prev", F.lag("id").over(Window.partitionBy("line").orderBy("part", "id")))
+    before = near.unionByName(heads).where("prev IS NOT NULL")
     one = before.groupBy("prev", "id").agg(F.count("*").alias("weight"))
     return one.select(F.explode(F.array(F.struct(F.col("prev").alias("src"), F.col("id").alias("dst"), "weight"), F.struct(F.col("id").alias("src"), F.col("prev").alias("dst"), "weight"))).alias("e")).select("e.*")
 
@@ -105,7 +111,9 @@ def oracle(params: ShardParams = ShardParams()) -> str:
     hash_of = lambda c: f"(({c} * {MULT}) % {MOD})"
     parts = [
         f"""lines AS (SELECT DISTINCT doc_id AS id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id IS NOT NULL) WHERE length(line) >= {params.min_chars})""",
-        """one AS (SELECT prev, id, count(*) AS weight FROM (SELECT id, lag(id) OVER (PARTITION BY line ORDER BY id) AS prev FROM lines) WHERE prev IS NOT NULL GROUP BY ALL)""",
+        f"""near AS (SELECT *, id // {RANGE} AS part, lag(id) OVER (PARTITION BY line, id // {RANGE} ORDER BY id) AS prev FROM lines)""",
+        """heads AS (SELECT id, lag(id) OVER (PARTITION BY line ORDER BY part, id) AS prev FROM near WHERE prev IS NULL)""",
+        """one AS (SELECT prev, id, count(*) AS weight FROM (SELECT id, prev FROM near UNION ALL SELECT id, prev FROM heads) WHERE prev IS NOT NULL GROUP BY ALL)""",
         """edges AS (SELECT prev AS src, id AS dst, weight FROM one UNION ALL SELECT id, prev, weight FROM one)""",
         f"""l0 AS MATERIALIZED (SELECT id, CAST(floor({hash_of("id")} * {params.shards} / {MOD}.0) AS INT) AS shard FROM (SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id IS NOT NULL))""",
     ]
