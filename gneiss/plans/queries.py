@@ -350,7 +350,7 @@ def context_full(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {_chunk_sql(20, 1024)}, {_SCORED}, {_CONTEXT}, own AS (SELECT path AS target, sum(strlen(content)) AS b FROM best GROUP BY path)
-SELECT target, count(*) AS files, min(file_place) AS first_place, coalesce(min(own.b), 0) AS own_bytes FROM pl LEFT JOIN own USING (target) WHERE target <> path GROUP BY target""")
+SELECT target, count(*) AS files, min(file_place) AS first_place, CAST(coalesce(min(own.b), 0) AS BIGINT) AS own_bytes FROM pl LEFT JOIN own USING (target) WHERE target <> path GROUP BY target""")
 def context_auto(spark, sf_dir):
     """Sizes of the packs in auto mode, without a budget."""
     x, paths = _context_inputs(spark, sf_dir)
