@@ -544,7 +544,7 @@ _SCORE = T.StructType([T.StructField("words", T.LongType()), T.StructField("code
 
 
 def score(docs: DataFrame, uri: str) -> DataFrame:
-    """docs, with n_words, bits (-log2 of the probability of its words) and perplexity (underscores in front where docs has such columns)."""
+    """docs, with n_words, bits (-log2 of the probability of its words) and perplexity, to 4 places (underscores in front where docs has such columns)."""
     names = [free_name(docs.columns, n) for n in ("n_words", "bits", "perplexity")]
 
     def run(text: pa.Array) -> pa.Array:
@@ -561,7 +561,7 @@ def score(docs: DataFrame, uri: str) -> DataFrame:
     key = free_name(docs.columns, "lm")
     x = docs.withColumn(key, F.arrow_udf(run, _SCORE)(F.col("text")))
     n, bits = F.col(f"{key}.words"), F.col(f"{key}.code") / UNIT
-    return x.select(*docs.columns, *(c.alias(k) for k, c in zip(names, (n, bits, F.when(n > 0, F.pow(F.lit(2.0), bits / n))))))
+    return x.select(*docs.columns, *(c.alias(k) for k, c in zip(names, (n, bits, F.when(n > 0, F.round(F.pow(F.lit(2.0), bits / n), 4))))))
 
 
 def oracle(params: LmParams = LmParams()) -> str:
@@ -585,4 +585,4 @@ p3 AS (SELECT s3.a, s3.b, s3.w, {code_of(f"share + {value_of('g')} * {value_of('
 scored AS (SELECT x.doc_id, coalesce(p3.p, coalesce(g2.g, 0) + coalesce(p2.p, coalesce(g1.g, 0) + coalesce(v.p, (SELECT p FROM unknown)))) AS c
   FROM x LEFT JOIN v USING (w) LEFT JOIN g1 ON g1.b = x.b LEFT JOIN p2 ON p2.b = x.b AND p2.w = x.w LEFT JOIN g2 ON g2.a = x.a AND g2.b = x.b LEFT JOIN p3 ON p3.a = x.a AND p3.b = x.b AND p3.w = x.w),
 r AS (SELECT doc_id, count(*) AS n, sum(c) AS c FROM scored GROUP BY doc_id)
-SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(c, 0) / {UNIT}.0 AS bits, CASE WHEN n > 0 THEN pow(2.0, (c / {UNIT}.0) / n) END AS perplexity FROM documents LEFT JOIN r USING (doc_id)"""
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(c, 0) / {UNIT}.0 AS bits, CASE WHEN n > 0 THEN round(pow(2.0, (c / {UNIT}.0) / n), 4) END AS perplexity FROM documents LEFT JOIN r USING (doc_id)"""
