@@ -17,7 +17,7 @@ class Config:
     js_file_bytes: int = 400_000
     script_file_bytes: int = 500_000
     preferred_exts: tuple[str, ...] = (".go", ".js", ".json", ".jsx", ".md", ".php", ".ts", ".tsx", ".yaml", ".yml")
-    allow_globs: tuple[str, ...] = ("README*", "Makefile", "Dockerfile", "Taskfile.yml", "Taskfile.yaml", "go.mod", "go.sum", ".github/workflows/*")
+    allow_globs: tuple[str, ...] = (".github/workflows/*", "Dockerfile", "Makefile", "README*", "Taskfile.yaml", "Taskfile.yml", "go.mod", "go.sum")
     deny_globs: tuple[str, ...] = ("*.bin", "*.crt", "*.db", "*.der", "*.exe", "*.key", "*.p12", "*.pem", "*.pfx", "*.ppk", "*.sqlite", "id_ed25519", "id_rsa")
     ignore_dirs: tuple[str, ...] = ()
     ignore_globs: tuple[str, ...] = ()

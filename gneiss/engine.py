@@ -41,7 +41,7 @@ class Engine:
         self.spark, self.base, self.config, self.log = spark, store, config or Config.from_env(), log
         self.switch_workspace(root)
 
-    # ------------------------------------------------------------ workspaces
+    # == workspaces
 
     def switch_workspace(self, root: str) -> dict:
         root = root.strip()
@@ -69,7 +69,7 @@ class Engine:
             raise FileNotFoundError(done)
         return done
 
-    # ------------------------------------------------------------ files
+    # == files
 
     def repo_list_files(self, glob: str = "", max=None) -> dict:
         x = select.listing(self.files(), glob, whole(max, 2000))
@@ -100,7 +100,7 @@ class Engine:
     def _target(self, path: str) -> DataFrame:
         return self.spark.range(1).select(F.lit(path).alias("target"))
 
-    # ------------------------------------------------------------ context
+    # == context
 
     def repo_context(self, path: str, mode=None, intent=None, focus="", maxFiles=None, maxChunksPerFile=None, maxTotalBytes=None, excludePaths=None, includeSameDir=True, includeImports=True, includeImporters=True, includeReferences=True) -> dict:
         path = self._path(path)
@@ -148,7 +148,7 @@ class Engine:
     def _chunk(r) -> dict:
         return {"path": r.path, "startLine": r.start_line, "endLine": r.end_line, "content": r.content}
 
-    # ------------------------------------------------------------ index
+    # == index
 
     def repo_reindex(self) -> dict:
         """A full build: selection, first-fit budget on metadata, chunks of what fits."""
@@ -200,7 +200,7 @@ class Engine:
         restrict = None if paths is None else self.spark.createDataFrame([(p,) for p in paths], "path string")
         return [r.asDict() for r in search.search_chunks(self.chunks(), query, whole(max, 20), restrict).collect()]
 
-    # ------------------------------------------------------------ notes
+    # == notes
 
     def memory_upsert(self, key: str, text: str, tags=None, path: str = "", meta: dict | None = None) -> dict:
         if not isinstance(key, str) or not key.strip():
@@ -228,11 +228,11 @@ class Engine:
     def _note(r) -> dict:
         return {"key": r.key, "text": r.text, "tags": r.tags, "path": r.path, "updatedAt": r.updated_at.strftime("%Y-%m-%dT%H:%M:%SZ"), "meta": r.meta}
 
-    # ------------------------------------------------------------ calls by name
+    # == calls by name
 
     TOOLS = (
-        "repo_list_files", "repo_read_file", "repo_search", "repo_related_files", "repo_context", "repo_switch_workspace", "repo_index_status", "repo_reindex",
-        "repo_clear_index", "repo_index_debug", "memory_upsert", "memory_search", "memory_clear",
+        "memory_clear", "memory_search", "memory_upsert", "repo_clear_index", "repo_context", "repo_index_debug", "repo_index_status", "repo_list_files", "repo_read_file",
+        "repo_reindex", "repo_related_files", "repo_search", "repo_switch_workspace",
     )
 
     def repo_switch_workspace(self, root: str) -> dict:

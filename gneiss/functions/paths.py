@@ -8,9 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Directories that indexing skips; tools skip the same but for the engine's own.
-OWN_DIR = ".memento-mcp"
-IGNORED_DIRS = ("node_modules", "vendor", "dist", "build", "out", ".vscode", ".idea")
-_MEDIA = r"\.(?:png|jpg|jpeg|gif|zip|pdf)$"
+OWN_DIR = ".gneiss"
+IGNORED_DIRS = ("build", "dist", "out", "vendor", "node_modules", ".idea", ".vscode")
+#: Extensions of JavaScript and TypeScript modules.
+_JS, _TS = ([f".{e}" for e in k.split()] for k in ("cjs js jsx mjs", "cts mts ts tsx"))
+JS_FAMILY = tuple(f".{e}" for e in "cjs js jsx mjs ts tsx".split())
+_MEDIA = r"\.(?:gif|jpe?g|pdf|png|zip)$"
 
 
 def col(c: Column | str) -> Column:
@@ -39,12 +42,12 @@ def walk_key(path) -> Column:
 
 def language(path) -> Column:
     e = ext(path)
-    return F.when(e == ".go", "go").when(e.isin(".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"), "ts/js").when(e == ".php", "php").otherwise("text")
+    return F.when(e == ".go", "go").when(e.isin(*JS_FAMILY), "ts/js").when(e == ".php", "php").otherwise("text")
 
 
 def outline_language(path) -> Column:
     e = ext(path)
-    return F.when(e == ".go", "go").when(e.isin(".js", ".jsx", ".mjs", ".cjs"), "javascript").when(e.isin(".ts", ".tsx", ".mts", ".cts"), "typescript").otherwise("")
+    return F.when(e == ".go", "go").when(e.isin(*_JS), "javascript").when(e.isin(*_TS), "typescript").otherwise("")
 
 
 def clean(path) -> Column:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import paths as P
 
-JS_EXTS = (".ts", ".tsx", ".js", ".jsx", ".d.ts", ".mjs", ".cjs")
-_Q = r"""['"]([^'"]+)['"]"""
+JS_EXTS = tuple(f".{e}" for e in "ts tsx js jsx d.ts mjs cjs".split())
+_Q = r"""["']([^"']+)["']"""
 #: (?d): only \n ends a line; \s without the vertical tab.
 _S = r"[\t\n\f\r ]"
 JS_PATTERNS = (
@@ -23,7 +23,7 @@ JS_PATTERNS = (
 )
 PHP_PATTERN = rf"(?dim)\b(?:include|require)(?:_once)?{_S}*\(?{_S}*{_Q}{_S}*\)?"
 PY_IMPORT = rf"(?dm)^{_S}*import{_S}+([^#\n]+)"
-_NAME = r"[A-Za-z_][A-Za-z0-9_\.]*"
+_NAME = r"[A-Za-z_][\w.]*"
 PY_FROM = rf"(?dm)^{_S}*from{_S}+({_NAME}|\.+{_NAME}|\.+){_S}+import{_S}+([^#\n]+)"
 GO_IMPORT = r'(?dm)^\s*import\s+(?:[\w.]+\s+)?"([^"]+)"'
 GO_BLOCK = r"(?ds)(?:^|\n)\s*import\s*\((.*?)\)"
@@ -51,7 +51,7 @@ def _join(directory, spec):
 
 
 def js_specifiers(files: DataFrame, cfg: Config = Config()) -> DataFrame:
-    x = _sources(files, (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"), cfg.js_file_bytes)
+    x = _sources(files, P.JS_FAMILY, cfg.js_file_bytes)
     return x.select("src", "dir", F.explode(F.array_distinct(F.concat(*map(_extract, JS_PATTERNS)))).alias("spec")).select("src", "dir", P.trim_space("spec").alias("spec")).where("spec <> ''").distinct()
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions import paths as P
 
 _JS = re.compile(r"[ \t\n\f\r]*(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?(?:(?:class|interface|type|enum|const|let|var)[ \t]+\w|function[ \t]*\*?[ \t]+\w)", re.A)
-_GENERIC = re.compile(r"[ \t\n\f\r]*(?:pub[ \t]+)?(?:fn|func|function|def|class|interface|struct|enum|module|trait|impl|type|object)[ \t]+\w", re.A | re.I)
+_GENERIC = re.compile(r"[ \t\n\f\r]*(?:pub[ \t]+)?(?:class|def|enum|fn|func|function|impl|interface|module|object|struct|trait|type)[ \t]+\w", re.A | re.I)
 
 
 def generic(text: str) -> str:
@@ -246,5 +246,5 @@ def summaries(files: DataFrame) -> DataFrame:
 def generic_declarations(files: DataFrame) -> DataFrame:
     """(path, line, text) of lines that begin a declaration: the relational form of the generic outline."""
     x = files.select("path", F.posexplode(F.split("content", "\n", -1)).alias("i", "text"))
-    x = x.where(F.col("text").rlike(r"(?i)^[\t\n\f\r ]*(pub[\t\n\f\r ]+)?(fn|func|function|def|class|interface|struct|enum|module|trait|impl|type|object)[\t\n\f\r ]+\w+"))
+    x = x.where(F.col("text").rlike(r"(?i)^[\t\n\f\r ]*(pub[\t\n\f\r ]+)?(class|def|enum|fn|func|function|impl|interface|module|object|struct|trait|type)[\t\n\f\r ]+\w+"))
     return x.select("path", (F.col("i") + 1).alias("line"), P.trim_space("text").alias("text"))

@@ -22,11 +22,11 @@ FILES = {
     "app/util.php": "<?php\n",
     "lib/db.php": "<?php\n",
     "pkg/__init__.py": "",
-    "pkg/main.py": "import pkg.util as u, os\nfrom pkg.sub import (helper)\nfrom . import local\n",
-    "pkg/util.py": "def f():\n    pass\n",
+    "pkg/main.py": "import pkg.util as u, os\nfrom pkg.sub import (helper)\n\nfrom . import local  # beside\n",
+    "pkg/util.py": "class U:\n    x = 1\n",
     "pkg/local.py": "class Local:\n    pass\n",
     "pkg/sub/helper.py": "",
-    "pkg/sub/worker.py": "from .. import util\n",
+    "pkg/sub/worker.py": "x = 0\nfrom .. import util  # the parent\n",
 }
 
 

@@ -47,17 +47,17 @@ def query(sql: str | None = None):
     return add
 
 
-# ---------------------------------------------------------------- selection
+# == selection
 
 _BASE = "regexp_extract(path, '([^/]*)$', 1)"
 _SQL_EXT = "lower(regexp_extract(path, '(\\.[^./]*)$', 1))"
-_IN_BAD_DIR = "regexp_matches(path, '(^|/)(node_modules|vendor|dist|build|out|\\.vscode|\\.idea{own}|\\.git[^/]*)/')"
+_IN_BAD_DIR = "regexp_matches(path, '(^|/)(build|dist|out|vendor|node_modules|\\.vscode|\\.idea{own}|\\.git[^/]*)/')"
 _DENY = f"regexp_matches({_BASE}, '^.*\\.(key|pem|p12|pfx|crt|der|ppk|sqlite|db|bin|exe)$')"
 _ALLOW = f"(regexp_matches({_BASE}, '^(README.*|Makefile|Dockerfile|go\\.mod|go\\.sum|Taskfile\\.ya?ml)$') OR regexp_matches(path, '^\\.github/workflows/[^/]*$'))"
-_CANDIDATES = f"""cand AS (SELECT * FROM files WHERE size > 0 AND size <= 1048576 AND NOT {_IN_BAD_DIR.format(own='|\\.memento-mcp')}
+_CANDIDATES = f"""cand AS (SELECT * FROM files WHERE size > 0 AND size <= 1048576 AND NOT {_IN_BAD_DIR.format(own='|\\.gneiss')}
  AND NOT regexp_matches({_BASE}, '(?i)\\.(png|jpg|jpeg|gif|zip|pdf)$') AND {_BASE} NOT IN ('', 'server')
- AND NOT {_DENY} AND ({_ALLOW} OR {_SQL_EXT} IN ('.go', '.ts', '.tsx', '.js', '.jsx', '.php', '.md', '.json', '.yaml', '.yml')))"""
-_PRIORITY = f"coalesce(list_position(['.go', '.ts', '.tsx', '.js', '.jsx', '.php', '.md', '.json', '.yaml', '.yml'], {_SQL_EXT}) - 1, 0)"
+ AND NOT {_DENY} AND ({_ALLOW} OR {_SQL_EXT} IN ('.yml', '.yaml', '.json', '.md', '.php', '.jsx', '.js', '.tsx', '.ts', '.go')))"""
+_PRIORITY = f"coalesce(list_position(string_split('.go .ts .tsx .js .jsx .php .md .json .yaml .yml', ' '), {_SQL_EXT}) - 1, 0)"
 _LISTED = f"""NOT {_IN_BAD_DIR.format(own='')} AND NOT regexp_matches({_BASE}, '\\.(png|jpg|jpeg|gif|zip|pdf)$') AND {_BASE} NOT IN ('', 'server')"""
 
 
@@ -139,7 +139,7 @@ def glob_matches(spark, sf_dir):
     return files(spark, sf_dir).select("path", *(P.matches_any("path", [g]).alias(f"g_{k}") for k, (g, _) in _GLOBS.items()), P.matches_any("path", ["[a"]).alias("g_bad"))
 
 
-# ---------------------------------------------------------------- chunks and search
+# == chunks and search
 
 
 def _chunk_sql(lines: int, size: int) -> str:
@@ -217,7 +217,7 @@ def occurrence_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", occurrences("text", "an").alias("n"))
 
 
-# ---------------------------------------------------------------- graphs and relations
+# == graphs and relations
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=[\"'']([^\"'']+)[\"'']', 1)) AS href FROM pages")
@@ -286,9 +286,9 @@ def importer_counts(spark, sf_dir):
     return graph.importers(e).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("importers"))
 
 
-# ---------------------------------------------------------------- outlines and context
+# == outlines and context
 
-_DECL_SQL = "(?i)^\\s*(pub\\s+)?(fn|func|function|def|class|interface|struct|enum|module|trait|impl|type|object)\\s+\\w+"
+_DECL_SQL = "(?i)^\\s*(pub\\s+)?(class|def|enum|fn|func|function|impl|interface|module|object|struct|trait|type)\\s+\\w+"
 
 
 @query(f"""WITH {FILES}, ln AS (SELECT path, unnest(string_split(content, chr(10))) AS l, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM files)
@@ -360,7 +360,7 @@ def context_auto(spark, sf_dir):
     return rest.groupBy("target").agg(F.count("*").alias("files"), F.min("file_place").cast("long").alias("first_place")).join(size, "target", "left").withColumn("own_bytes", F.coalesce("own_bytes", F.lit(0)))
 
 
-# ---------------------------------------------------------------- notes
+# == notes
 
 
 def _writes(spark, sf_dir):
@@ -390,7 +390,7 @@ def notes_search(spark, sf_dir):
     return notes.search(notes.upsert(_writes(spark, sf_dir)), " An ", ["USER "]).select("key", F.col("pos").cast("long").alias("pos"))
 
 
-# ---------------------------------------------------------------- sets and hashes
+# == sets and hashes
 
 
 @query("SELECT substr(sha256(text), 1, 32) AS hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1")
@@ -412,7 +412,7 @@ def set_operations(spark, sf_dir):
     return ids("event_type = 'click'").union(ids("event_type = 'purchase'")).distinct().subtract(ids("value > 1e9").intersect(e.select("user_id")))
 
 
-# ---------------------------------------------------------------- streams
+# == streams
 
 _OPS = "CASE WHEN event_type IN ('click', 'view', 'signup') THEN 'add' WHEN event_type IN ('purchase', 'logout') THEN 'del' END"
 
@@ -454,7 +454,7 @@ def stream_flush(spark, sf_dir):
     return store.read("present", "path string")
 
 
-@query(f"""WITH {FILES} SELECT path, regexp_matches(path, '(^|/)(node_modules|vendor|dist|build|out|\\.vscode|\\.idea|\\.memento-mcp|\\.git[^/]*)(/|$)') AS ignored, {_SQL_EXT} = '.go' AS go, {_SQL_EXT} IN ('.ts', '.js') AS js, {_SQL_EXT} = '.php' AS php FROM files""")
+@query(f"""WITH {FILES} SELECT path, regexp_matches(path, '(^|/)(build|dist|out|vendor|node_modules|\\.vscode|\\.idea|\\.gneiss|\\.git[^/]*)(/|$)') AS ignored, {_SQL_EXT} = '.go' AS go, {_SQL_EXT} IN ('.ts', '.js') AS js, {_SQL_EXT} = '.php' AS php FROM files""")
 def change_classes(spark, sf_dir):
     x = files(spark, sf_dir)
     return x.select("path", P.ignored_change("path").alias("ignored"), *(c.alias(k) for k, c in changes.class_flags("path").items()))

@@ -53,7 +53,7 @@ class GitStatusReader(SimpleDataSourceStreamReader):
         return {"poll": 0}
 
     def read(self, start):
-        done = subprocess.run(["git", "-C", self.root, "status", "--porcelain", "-z", "--untracked-files=all"], capture_output=True, text=True)
+        done = subprocess.run(["git", "-C", self.root, *"status --porcelain -z --untracked-files=all".split()], capture_output=True, text=True)
         add, gone = parse_porcelain(done.stdout) if done.returncode == 0 else (set(), set())
         rows = [("add", p) for p in sorted(add)] + [("del", p) for p in sorted(gone)]
         return iter(rows), {"poll": start["poll"] + 1}
@@ -182,7 +182,7 @@ def class_flags(path: str | Column) -> dict[str, Column]:
     e = P.ext(path)
     return {
         "go": (e == ".go") | b.isin("go.mod", "go.sum"),
-        "js": e.isin(".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"),
+        "js": e.isin(*P.JS_FAMILY),
         "php": e == ".php",
     }
 

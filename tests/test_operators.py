@@ -12,7 +12,7 @@ def files(spark, tree):
     return fixtures.repo(spark, tree)
 
 
-# ---------------------------------------------------------------- chunks
+# == chunks
 
 
 def test_chunk_bounds():
@@ -62,7 +62,7 @@ def test_chunks_equal_the_sequential_rule(text, max_lines, max_bytes):
     assert chunk.chunk_text(text, max_lines, max_bytes) == sequential(text, max_lines, max_bytes)
 
 
-# ---------------------------------------------------------------- selection
+# == selection
 
 
 def test_selection(spark):
@@ -73,9 +73,9 @@ def test_selection(spark):
 
 
 def test_listing(spark):
-    x = files(spark, {"alpha.txt": "", "sub/beta.go": "", "sub/gamma.md": "", "__init__.py": "", "dist/x": ""})
-    assert [r.path for r in select.listing(x).collect()] == ["__init__.py", "alpha.txt", "sub/beta.go", "sub/gamma.md"]
-    assert [r.path for r in select.listing(x, "sub/*.go").collect()] == ["sub/beta.go"]
+    x = files(spark, {"one.txt": "", "in/two.go": "", "in/three.md": "", "__init__.py": "", "dist/x": ""})
+    assert [r.path for r in select.listing(x).collect()] == ["__init__.py", "in/three.md", "in/two.go", "one.txt"]
+    assert [r.path for r in select.listing(x, "in/*.go").collect()] == ["in/two.go"]
     assert [r.path for r in select.listing(x, most=1).collect()] == ["__init__.py"]
 
 
@@ -93,7 +93,7 @@ def test_difference_to_index(spark):
     assert {r.path for r in select.deleted(old, now).collect()} == {"z"}
 
 
-# ---------------------------------------------------------------- search
+# == search
 
 
 def test_search_lines_context(spark):
@@ -121,7 +121,7 @@ def test_read_lines(spark):
     assert read(0, 0, 9) == [(1, "one"), (2, "two")]
 
 
-# ---------------------------------------------------------------- relations
+# == relations
 
 
 def test_related_go_ts_generic(spark):
@@ -147,7 +147,7 @@ def test_bonus(spark):
     assert [r[0] for r in x.select(related.bonus(F.col("r"))).collect()] == [6, 2, 0]
 
 
-# ---------------------------------------------------------------- outlines
+# == outlines
 
 
 def test_go_outline():
@@ -176,7 +176,7 @@ def test_generic_outline():
     assert outline.generic("\n# x\nimport os\nclass A:\n    def f(self):\n") == "# x\nimport os\nclass A:\nL4: class A:\nL5: def f(self):\n"
 
 
-# ---------------------------------------------------------------- context and notes
+# == context and notes
 
 
 def test_modes():
@@ -188,7 +188,7 @@ def test_modes():
 
 def test_follow_up():
     assert context.follow_up("a", "", []) is None
-    assert context.follow_up("a", "f", ["b", "c"])["arguments"] == {"path": "b", "mode": "full", "excludePaths": ["a", "c"], "focus": "f"}
+    assert context.follow_up("a", "f", ["b", "c"])["arguments"] == {"focus": "f", "excludePaths": ["a", "c"], "path": "b", "mode": "full"}
 
 
 def test_first_chunk_comes_first_without_focus(spark):
@@ -206,7 +206,7 @@ def test_notes_upsert_and_search(spark):
     assert [r.key for r in notes.search(n, "", [" B"]).collect()] == ["k"]
 
 
-# ---------------------------------------------------------------- streams
+# == streams
 
 
 def test_porcelain():

@@ -50,8 +50,8 @@ def test_globs(spark, glob, yes, no):
 
 
 def test_ignore_rules(spark):
-    assert col(spark, ["a/vendor/x", "vendor", ".github/x", ".memento-mcp/x", "a/b"], P.in_ignored_dir) == [True, False, True, True, False]
-    assert col(spark, [".memento-mcp/x"], lambda c: P.in_ignored_dir(c, False)) == [False]
+    assert col(spark, ["a/vendor/x", "vendor", ".github/x", ".gneiss/x", "a/b"], P.in_ignored_dir) == [True, False, True, True, False]
+    assert col(spark, [".gneiss/x"], lambda c: P.in_ignored_dir(c, False)) == [False]
     assert col(spark, ["X.PNG", "x.png", "server", "a/server", "serverx"], P.ignored_file) == [True, True, True, True, False]
     assert col(spark, ["X.PNG", "x.png"], lambda c: P.ignored_file(c, any_case=False)) == [False, True]
     assert col(spark, ["vendor", "a/dist/b"], P.ignored_change) == [True, True]
