@@ -52,7 +52,7 @@ def value(c: np.ndarray) -> np.ndarray:
     return np.exp2(-c.astype(np.float64) / UNIT)
 
 
-# ---------------------------------------------------------------- files
+# == files
 
 
 class Files:
@@ -80,7 +80,7 @@ class Files:
             return np.frombuffer(f.read(), dtype)
 
 
-# ---------------------------------------------------------------- Elias-Fano
+# == Elias-Fano
 
 _SELECT8 = np.zeros((256, 8), np.int64)
 for _b in range(256):
@@ -131,6 +131,9 @@ class EfWriter:
         self.high.write(np.packbits(buf, bitorder="little").tobytes())
         self.low.close(), self.high.close()
         high = self.files.get(f"{self.name}.high", U64)
+        # ones before each superblock of 8 words: where the next one or zero is far away
+        counts = np.concatenate([np.bitwise_count(np.asarray(high[i : i + CHUNK])).astype(np.int64) for i in range(0, len(high), CHUNK)])
+        self.files.put(f"{self.name}.sup", np.concatenate(([0], np.cumsum(counts)))[::8])
         for kind in (0, 1):  # the word that holds each 64th zero or one, and how many lie before that word
             before, at_all, rank_all = 0, [], []
             for i in range(0, len(high), CHUNK):
@@ -151,6 +154,8 @@ class Ef:
     def __init__(self, files: Files, name: str):
         self.n, self.universe, self.bits = files.get(f"{name}.meta", np.int64).tolist()
         self.low, self.high = files.get(f"{name}.low", U64), files.get(f"{name}.high", U64)
+        ones = np.array(files.get(f"{name}.sup", np.int64))
+        self.before = (np.arange(len(ones)) * 512 - ones, ones)
         self.hints = [(files.get(f"{name}.at{k}", np.int64), files.get(f"{name}.rank{k}", np.int64)) for k in (0, 1)]
 
     def select(self, k: np.ndarray, kind: int) -> np.ndarray:
@@ -161,7 +166,17 @@ class Ef:
         word = self.high[w] if kind else ~self.high[w]
         n = np.bitwise_count(word)
         go = np.flatnonzero(rem >= n)
+        steps = 0
         while len(go):
+            steps += 1
+            if steps == 5:  # a long run of the other bit: by binary search to the superblock
+                sup = np.searchsorted(self.before[kind], k[go], "right") - 1
+                rem[go] = k[go] - self.before[kind][sup]
+                w[go] = sup * 8
+                word[go] = self.high[w[go]] if kind else ~self.high[w[go]]
+                n[go] = np.bitwise_count(word[go])
+                go = go[rem[go] >= n[go]]
+                continue
             rem[go] -= n[go]
             w[go] += 1
             word[go] = self.high[w[go]] if kind else ~self.high[w[go]]
@@ -214,7 +229,7 @@ class Ef:
         return out
 
 
-# ---------------------------------------------------------------- the model
+# == the model
 
 
 class Level:
@@ -334,7 +349,7 @@ def _model(uri: str, order: int) -> Lm:
     return Lm(uri, order)
 
 
-# ---------------------------------------------------------------- counting
+# == counting
 
 _COUNTS = "part int, keys binary, counts binary"
 

@@ -89,3 +89,17 @@ def test_counts_over_several_emissions(docs, spark):
     texts = [" ".join(f"x{(i * j) % 97}" for j in range(50)) for i in range(300)]
     got = L._count(docs(texts), lambda h, first: h, 1, "t").where("key IS NOT NULL").groupBy().sum("n").first()[0]
     assert got == 300 * 50
+
+
+def test_elias_fano_over_long_gaps(tmp_path):
+    x = np.sort(np.concatenate((np.arange(3000), 900_000 + np.arange(3000) // 9, [2_000_000] * 5000)))
+    files = L.Files(f"file://{tmp_path}")
+    w = L.EfWriter(files, "a", len(x), 2_500_000)
+    w.add(x)
+    w.close()
+    ef = L.Ef(files, "a")
+    assert ef.get(np.arange(len(x))).tolist() == x.tolist()
+    high = np.unpackbits(np.asarray(ef.high).view(np.uint8), bitorder="little")
+    for kind in (0, 1):
+        at = np.flatnonzero(high == kind)
+        assert ef.select(np.arange(len(at)), kind).tolist() == at.tolist()
