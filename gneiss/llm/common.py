@@ -72,7 +72,7 @@ def free_name(columns, name: str) -> str:
     return name
 
 
-# ---------------------------------------------------------------- Arrow blocks
+# == Arrow blocks
 
 
 def string_parts(column) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +101,7 @@ def blocks(raw: np.ndarray, off: np.ndarray, most: int = BLOCK):
     trim()
 
 
-# ---------------------------------------------------------------- tokens
+# == tokens
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

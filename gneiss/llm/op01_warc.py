@@ -35,7 +35,7 @@ def _open(uri: str):
     return where, path
 
 
-# ---------------------------------------------------------------- reading
+# == reading
 
 
 class Fault(Exception):
@@ -127,7 +127,7 @@ def records(read):
         yield start, head, headers, body()
 
 
-# ---------------------------------------------------------------- normalising
+# == normalising
 
 
 def normalise_file(source: str, target: str) -> list[tuple]:
@@ -207,7 +207,7 @@ def read_records(index: DataFrame) -> DataFrame:
     return index.mapInArrow(run, INDEX + ", body binary")
 
 
-# ---------------------------------------------------------------- files to normalise
+# == files to normalise
 
 
 def pages_to_monolithic(pages: DataFrame, target: str) -> list[str]:
