@@ -238,7 +238,9 @@ def mahalanobis(docs: DataFrame, params: McdParams = McdParams(), name: str = "d
     model, groups = fit(docs, params)
     key = free_name(docs.columns, "mcd")
     gl, gs = _group_names(F.col("lang"), F.col("source"))
+    # written, so that its size is known when the join is planned: small, it is broadcast and the texts aren't shuffled
     table = groups.join(model, ["gl", "gs"], "left").select(F.col("gl").alias(f"{key}_l"), F.col("gs0").alias(f"{key}_s"), F.col("mu").alias(f"{key}_mu"), F.col("w").alias(f"{key}_w"))
+    table = materialise(table, "mcd-table")
     x = docs.select("*", gl.alias(f"{key}_l"), gs.alias(f"{key}_s"), _vectors(F.col("text")).alias(f"{key}_v"))
     v = F.col(f"{key}_v")
     d2 = F.when(v.isNotNull() & F.col(f"{key}_mu").isNotNull(), _distance([v[i] for i in range(P)], F.col(f"{key}_mu"), F.col(f"{key}_w")))
