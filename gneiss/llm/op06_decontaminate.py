@@ -1,8 +1,8 @@
 """Operator 6: benchmark decontamination by SimHash of item-sized windows.
 
 Items and documents are sequences of folded words; features are shingles of three words, weighted by their rarity among the items. In
-each document the windows of an item's size are fingerprinted; a multi-index of the items' fingerprints in four blocks of 16 bits, looked up under all
-values within a quarter of the radius of a window's block, gives every item within the radius; the exact weighted Jaccard similarity of the shingles decides.
+each document the windows of an item's size are fingerprinted; a multi-index of the items' fingerprints in four blocks of 16 bits, each item entered under all
+values within a quarter of the radius, gives every item within the radius; the exact weighted Jaccard similarity of the shingles decides.
 
 Which windows: similarity s needs shared shingles of weight s x the item's, so only windows whose shingles that occur in any item weigh as
 much for the lightest item of their size are fingerprinted. This leaves out no window that could pass.
@@ -32,9 +32,9 @@ SHINGLE = 3
 
 @dataclass(frozen=True)
 class LeakParams:
-    radius: int = 19  # of 64 bits
+    radius: int = 15  # of 64 bits
     similarity: float = 0.5  # weighted Jaccard of a window and an item
-    portion_bytes: int = 32 << 20
+    portion_bytes: int = 1 << 20  # an item of 200 bytes takes some 11 KB of index
 
 
 def shingles(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,24 +82,25 @@ class Index:
         self._multi_index()
 
     def _multi_index(self) -> None:
-        """An item stands once in each block's table; a window looks under all values within a quarter of the radius, which costs the few windows little."""
-        self.flips = np.array([sum(1 << b for b in c) for k in range(self.p.radius // 4 + 1) for c in combinations(range(16), k)], np.int64)
-        block = np.arange(4)[:, None]
-        keys = (((self.prints[None, :] >> (16 * block).astype(U64)) & U64(0xFFFF)).astype(np.int64) | block << 16).ravel()
+        """Each item stands in the four blocks' tables under all values within a quarter of the radius: a window looks once into each."""
+        flips = np.array([sum(1 << b for b in c) for k in range(self.p.radius // 4 + 1) for c in combinations(range(16), k)], np.int64)
+        keys, items = [], []
+        for b in range(4):
+            block = ((self.prints >> U64(16 * b)) & U64(0xFFFF)).astype(np.int64)
+            keys.append(((block[:, None] ^ flips) | b << 16).ravel())
+            items.append(np.repeat(np.arange(len(block), dtype=np.int32), len(flips)))
+        keys, items = np.concatenate(keys), np.concatenate(items)
         order = np.argsort(keys, kind="stable")
-        self.entries = np.tile(np.arange(len(self.prints), dtype=np.int32), 4)[order]
-        self.starts = np.searchsorted(keys[order], np.arange((4 << 16) + 1))
+        self.entries, self.starts = items[order], np.searchsorted(keys[order], np.arange((4 << 16) + 1))
 
     def lookup(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, distance) of the items within the radius; a pair may come more than once."""
         rows, items = [], []
         for b in range(4):
-            key = (((prints >> U64(16 * b)) & U64(0xFFFF)).astype(np.int64)[:, None] ^ self.flips) | b << 16
+            key = ((prints >> U64(16 * b)) & U64(0xFFFF)).astype(np.int64) | b << 16
             n = self.starts[key + 1] - self.starts[key]
-            row, col = np.nonzero(n)
-            n, at = n[row, col], self.starts[key[row, col]]
-            rows.append(np.repeat(row, n))
-            items.append(self.entries[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            rows.append(np.repeat(np.arange(len(prints)), n))
+            items.append(self.entries[np.repeat(self.starts[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
         row, item = np.concatenate(rows), np.concatenate(items)
         d = np.bitwise_count(prints[row] ^ self.prints[item])
         ok = d <= self.p.radius
@@ -148,8 +149,8 @@ class Index:
                 w = np.where(hit > 0, hit, self.other)
                 votes, total = self.prefix(s, w), np.concatenate(([0], np.cumsum(w)))
             right = (self.size == size) if size < n else (self.size >= n)
-            for i in range(0, len(start), 64):
-                at = start[i : i + 64]
+            for i in range(0, len(start), 4096):
+                at = start[i : i + 4096]
                 prints = np.packbits(votes[at + size] - votes[at] >= 0, axis=1, bitorder="little").view(U64).ravel()
                 row, item, d = self.lookup(prints)
                 ok = right[item]
