@@ -3,7 +3,7 @@
 A document is a sequence of line hashes. From each line starts one gram: the fewest lines that hold `gram_words` words.
 In each window (the fewest lines from a line on that hold `window_words` words) the gram with the least hash is selected, the
 last of ties. A run of equal lines with `window_words` words or more, wherever it occurs, so has a selected gram in common.
-Occurrences of a selected gram are joined with the first one and the one before (of the same range of ids); each match is extended line by line both ways, and
+Occurrences of a selected gram are joined with the first one and the one before; each match is extended line by line both ways, and
 the later of the two runs is deleted.
 
 Scale: the texts are read to hash their lines and read again to cut them, with one shuffle of the texts; all
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, bounded_batches, free_name, materialise, span_hash, string_parts
 
-#: Ids within which the occurrence before is sought.
+#: Ids within which the occurrence before is sought; from range to range the last one is carried over.
 RANGE = 1 << 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -153,12 +153,17 @@ def repeated_runs(docs: DataFrame, params: WinnowParams = WinnowParams()) -> Dat
     # of rows with an equal id, one stands for all
     x = materialise(x.groupBy("id").agg(F.min(F.struct("lines", "at", "gram")).alias("x")).select("id", "x.*"), "winnow-lines")
     seeds = x.where(F.size("at") > 0).select("id", F.explode(F.arrays_zip("at", "gram")).alias("g")).select("id", "g.at", "g.gram")
-    # the one before is sought within a range of ids, so a gram that is everywhere is no single task
-    order = Window.partitionBy("gram", F.expr(f"id div {RANGE}")).orderBy("id", "at")
-    more = seeds.groupBy("gram").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("gram", "first")
+    # the one before is sought within a range of ids, so a gram that is everywhere is no single task; the first of a range follows the last of the range before
+    seeds = seeds.withColumn("part", F.expr(f"id div {RANGE}"))
+    place = F.struct("id", "at")
+    more = seeds.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("gram", "first")
+    repeated = seeds.join(more, "gram")
+    ends = repeated.groupBy("gram", "part").agg(F.max(place).alias("end")).withColumn("carried", F.lag("end").over(Window.partitionBy("gram").orderBy("part"))).select("gram", "part", "carried")
+    near = F.lag(place).over(Window.partitionBy("gram", "part").orderBy("id", "at"))
     later = (
-        seeds.join(more, "gram")
-        .withColumn("before", F.lag(F.struct("id", "at")).over(order))
+        repeated.withColumn("near", near)
+        .join(ends, ["gram", "part"])
+        .withColumn("before", F.coalesce("near", "carried"))
         .where("before IS NOT NULL")
         .select("id", "at", F.explode(F.array_distinct(F.array("first", "before"))).alias("src"))
     )

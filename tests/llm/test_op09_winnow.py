@@ -89,6 +89,14 @@ def test_every_run_of_the_window_is_found(docs):
     assert got[51] == "short\nshort\nshort" and got[52] == "short"
 
 
+def test_ids_in_different_ranges(docs):
+    far = [5, 9, W.RANGE + 3, W.RANGE + 4, 7 * W.RANGE, 7 * W.RANGE + 1, -3 * W.RANGE, 1 << 50]
+    rows = [(far[k], "\n".join(block(10 + k, 4) + block(1, 6) + block(40 + k, 3) + (block(2, 5) if k % 2 else []))) for k in range(len(far))]
+    got = dict((r.doc_id, r.text) for r in W.drop_repeated_lines(docs(rows)).collect())
+    assert sorted(got.items(), key=str) == result(rows, brute(rows))
+    assert [i for i in far if block(1, 6)[0] in got[i]] == [min(far)] and [i for i in far if block(2, 5)[0] in got[i]] == [9]
+
+
 def test_edges(docs):
     t = "\n".join(block(1, 8))
     rows = [(1, t), (1, t), (2, t), (None, t), (3, None), (4, ""), (5, "\n\n\n"), (6, t + "\n" + line(6)), (7, "x " * 50_000)]
