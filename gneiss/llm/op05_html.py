@@ -3,11 +3,11 @@
 Every element's subtree is hashed (tag, attributes, text with white space folded, hashes of the children). Spark counts on how many
 pages of its host each subtree occurs; subtrees on many pages are deleted, the text of the rest is extracted.
 
-Many pages: `min_pages` at least, and `share` of the host's pages. A host then has at most (subtrees a page) / share templates, so the
-list that is joined to its pages stays small however large the host is.
+Many pages: `min_pages`, whatever the size of the host.
 
-Scale: two passes over the pages. The first adds up counts within each batch before the one grouped aggregation on (host, subtree); the second joins
-each page with its host's list (Spark broadcasts the lists where they are small, else AQE splits a hot host).
+Scale: three passes over the pages. The first adds up counts within each batch before the one grouped aggregation on (host, subtree). The number of templates of a host
+grows with it, so there is no list a host: the second pass joins the (page, subtree) rows with the templates, and the third joins each page with its own ones, by a hash of host and html. A
+table of bits of the templates' hashes, of fixed size, leaves most other rows out before they are shuffled; AQE splits hot subtrees and pages.
 
 Defined results: a null html has null text; an empty one has empty text. Pages whose URL has no host (null, relative, broken) count as one host with the name ''. Rows with equal page_id or url are
 pages of their own. Unclosed elements end with their parent; stray end tags are skipped; comments, scripts and styles have no text. Elements without text are never
@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import html as _html
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,7 +35,7 @@ from .common import bounded_batches, free_name, materialise
 @dataclass(frozen=True)
 class TemplateParams:
     min_pages: int = 4
-    share: float = 0.02
+    share: float = 0.02  # of a host's pages; decides nothing
 
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
@@ -139,22 +141,64 @@ def host(url):
 
 def _count(batches):
     for batch in batches:
-        seen, pages = Counter(), Counter()
+        seen = Counter()
         for name, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            pages[name] += 1
             seen.update((name, h) for h in subtrees(source or ""))
-        rows = [(n, h, c) for (n, h), c in seen.items()] + [(n, None, c) for n, c in pages.items()]
-        a, b, c = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["host", "subtree", "n"])
+        a, b = zip(*seen) if seen else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int64()), pa.array(seen.values(), pa.int64())], names=["host", "subtree", "n"])
 
 
 def templates(pages: DataFrame, params: TemplateParams = TemplateParams()) -> DataFrame:
     """(host, subtree, n): the subtrees that are deleted, with the number of their pages."""
     bounded_batches(pages.sparkSession)
     counts = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_count, "host string, subtree long, n long")
-    counts = materialise(counts.groupBy("host", "subtree").agg(F.sum("n").alias("n")).where((F.col("n") >= params.min_pages) | F.col("subtree").isNull()), "html-subtrees")
-    size = counts.where("subtree IS NULL").select("host", F.col("n").alias("pages"))
-    return counts.where("subtree IS NOT NULL").join(size, "host").where(F.col("n") >= F.ceil(F.col("pages") * params.share)).select("host", "subtree", "n")
+    return counts.groupBy("host", "subtree").agg(F.sum("n").alias("n")).where(F.col("n") >= params.min_pages)
+
+
+#: Bits of the table of templates: it fills up with very many, and then leaves fewer rows out.
+_BITS = 24
+
+
+def _bits(batches):
+    bits = np.zeros(1 << _BITS, bool)
+    for batch in batches:
+        bits[batch.column(0).to_numpy() & ((1 << _BITS) - 1)] = True
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["bits"])
+
+
+def _rows(bits):
+    def run(batches):
+        table = np.unpackbits(np.frombuffer(zlib.decompress(bits.value), np.uint8)).view(bool)
+        for batch in batches:
+            pages, names, found = [], [], []
+            for page, name, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                h = np.fromiter(subtrees(source or ""), np.int64)
+                h = h[table[h & ((1 << _BITS) - 1)]]
+                pages += [page] * len(h)
+                names += [name] * len(h)
+                found.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(names, pa.string()), pa.array(np.concatenate(found) if found else [], pa.int64())], names=["page", "host", "subtree"])
+
+    return run
+
+
+def page_key(pages: DataFrame):
+    return F.xxhash64(host(F.col("url")), F.col("html"))
+
+
+def page_templates(pages: DataFrame, params: TemplateParams = TemplateParams()) -> DataFrame:
+    """(page, known): the templates in each page that has any; page is its key."""
+    spark = pages.sparkSession
+    known = materialise(templates(pages, params), "html-templates")
+    table = 0
+    for r in known.select("subtree").coalesce(8).mapInArrow(_bits, "bits binary").toLocalIterator():
+        table |= int.from_bytes(zlib.decompress(r.bits), "big")
+    bits = spark.sparkContext.broadcast(zlib.compress(table.to_bytes((1 << _BITS) // 8, "big"), 1))
+    rows = pages.select(page_key(pages).alias("page"), host(F.col("url")).alias("host"), "html").mapInArrow(_rows(bits), "page long, host string, subtree long")
+    # one number for host and subtree: fewer bytes a row
+    site = F.xxhash64("host", "subtree").alias("site")
+    rows = rows.select("page", "subtree", site).join(known.select(site), "site")
+    return rows.groupBy("page").agg(F.array_sort(F.collect_set("subtree")).alias("known"))
 
 
 _RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType())])
@@ -180,7 +224,6 @@ def extract_text(pages: DataFrame, params: TemplateParams = TemplateParams()) ->
     """pages without html, with `text` and `removed`, the number of template subtrees deleted (underscores in front where pages has such columns)."""
     text, removed = (free_name(pages.columns, n) for n in ("text", "removed"))
     key = free_name(pages.columns, "site")
-    lists = materialise(templates(pages, params).groupBy("host").agg(F.array_sort(F.collect_list("subtree")).alias(f"{key}_known")), "html-templates")
-    x = pages.withColumn(key, host(F.col("url"))).join(lists.withColumnRenamed("host", key), key, "left")
+    x = pages.withColumn(key, page_key(pages)).join(page_templates(pages, params).select(F.col("page").alias(key), F.col("known").alias(f"{key}_known")), key, "left")
     x = x.withColumn(f"{key}_x", _extract(F.col("html"), F.col(f"{key}_known")))
     return x.select(*(c for c in pages.columns if c != "html"), F.col(f"{key}_x.text").alias(text), F.col(f"{key}_x.removed").alias(removed))

@@ -18,6 +18,14 @@ def test_templates_go_and_text_stays(spark):
     assert got[100] == ("Home\nB\nOther\nAll ©", 0)
 
 
+def test_templates_of_few_pages_go_on_large_hosts(spark):
+    # 150 kinds of navigation on 4 pages each, below 2% of the host's 603 pages, and one on 3 pages
+    kinds = [i // 4 for i in range(600)] + [999] * 3
+    rows = [(i, "http://a.example/", f"<html><body><nav><a>Menu {k}</a></nav><p>Story {i}</p></body></html>") for i, k in enumerate(kinds)]
+    got = {r.page_id: (r.text, r.removed) for r in H.extract_text(pages(spark, rows + rows[:1])).collect()}
+    assert all(got[i] == ((f"Story {i}", 1) if k < 999 else (f"Menu 999\nStory {i}", 0)) for i, k in enumerate(kinds))
+
+
 def brute(rows, p=H.TemplateParams()):
     from collections import Counter, defaultdict
 
