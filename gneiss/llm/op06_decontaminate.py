@@ -7,6 +7,9 @@ values within a quarter of the radius, gives every item within the radius; the e
 Which windows: similarity s needs shared shingles of weight s x the item's, so only windows whose shingles that occur in any item weigh as
 much for the lightest item of their size are fingerprinted. This leaves out no window that could pass.
 
+The radius misses windows near the similarity limit, whose fingerprints are some 17 bits apart. With `every`, as in the query and the pipeline, no fingerprint decides: an inverted index gives
+the items that share enough weight with a text, and every window that could pass is verified, so all leaks are found. The distance is reported only.
+
 Scale: one pass over the texts, no shuffle. The items' index goes to the executors as a broadcast; its size is bounded: the items are taken in
 portions of `portion_bytes` of text, with one pass over the documents for each (one for any usual set of benchmarks).
 
@@ -34,6 +37,7 @@ SHINGLE = 3
 class LeakParams:
     radius: int = 15  # of 64 bits
     similarity: float = 0.5  # weighted Jaccard of a window and an item
+    every: bool = False  # verify every window that could pass, within the radius or not
     portion_bytes: int = 1 << 20  # an item of 200 bytes takes some 11 KB of index
 
 
@@ -79,7 +83,18 @@ class Index:
         #: least weight of shared shingles that an item of each size needs
         self.sizes = np.unique(self.size)
         self.need = np.array([p.similarity * self.total[self.size == k].min() for k in self.sizes])
-        self._multi_index()
+        if p.every:
+            self._inverted()
+        else:
+            self._multi_index()
+
+    def _inverted(self) -> None:
+        """Of each known shingle: the items that have it."""
+        own = [np.unique(x) for x in self.items]
+        at = np.searchsorted(self.known, np.concatenate(own)) if own else np.zeros(0, np.int64)
+        order = np.argsort(at, kind="stable")
+        self.entries = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])[order]
+        self.starts = np.searchsorted(at[order], np.arange(len(self.known) + 1))
 
     def _multi_index(self) -> None:
         """Each item stands in the four blocks' tables under all values within a quarter of the radius: a window looks once into each."""
@@ -162,17 +177,60 @@ class Index:
                         best[item] = (a, sim, d)
         return [(item, a, sim, d) for item, (a, sim, d) in sorted(best.items())]
 
+    def search_every(self, s: np.ndarray, hit: np.ndarray) -> list[tuple[int, int, float, int]]:
+        """As search(), over all windows: an item's shared weight in a window is at most that of the window's shingles that the item has."""
+        at = np.flatnonzero(hit)
+        k = np.searchsorted(self.known, s[at])
+        n = self.starts[k + 1] - self.starts[k]
+        item = self.entries[np.repeat(self.starts[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        pos = np.repeat(at, n)
+        limit = self.p.similarity
+        shared = np.bincount(item, hit[pos], minlength=len(self.items))
+        order = np.argsort(item, kind="stable")
+        pos, ends = pos[order], np.searchsorted(item[order], np.arange(len(self.items) + 1))
+        out, votes, w, total = [], None, None, None
+        for i in np.flatnonzero((shared > 0) & (shared >= limit * self.total - 1e-6)).tolist():
+            size = min(int(self.size[i]), len(s))
+            p = pos[ends[i] : ends[i + 1]]
+            sums = np.concatenate(([0], np.cumsum(hit[p])))
+            if (sums[np.searchsorted(p, p + size)] - sums[:-1]).max() < limit * self.total[i] - 1e-6:
+                continue
+            if w is None:
+                w = np.where(hit > 0, hit, self.other)
+                total = np.concatenate(([0], np.cumsum(w)))
+            mine = np.zeros(len(s), np.int64)
+            mine[p] = hit[p]
+            run = np.concatenate(([0], np.cumsum(mine)))
+            both, whole = run[size:] - run[:-size], total[size:] - total[:-size]
+            most = both / np.maximum(1, whole + self.total[i] - both)
+            most[both >= whole + self.total[i]] = 1.0
+            best = None
+            # the most similar can only be among those that may be more similar than the best so far
+            for a in sorted(np.flatnonzero((both > 0) & (most >= limit - 1e-9)).tolist(), key=lambda a: (-most[a], a)):
+                if best and most[a] < best[1] - 1e-9:
+                    break
+                sim = self.similarity(i, s[a : a + size], int(whole[a]))
+                if sim >= limit and (best is None or (sim, -a) > (best[1], -best[0])):
+                    best = (a, sim)
+            if best:
+                if votes is None:
+                    votes = self.prefix(s, w)
+                f = np.packbits(votes[best[0] + size] - votes[best[0]] >= 0, bitorder="little").view(U64)[0]
+                out.append((i, *best, int(np.bitwise_count(f ^ self.prints[i]))))
+        return out
+
     def scan(self, raw: np.ndarray, off: np.ndarray):
         """(row, found) of the texts with leaks."""
         if not self.items:
             return
         least = self.need.min() - 1e-6
+        search = self.search_every if self.p.every else self.search
         for at, r, o in blocks(raw, off):
             s, first = shingles(*words(r, o))
             hit = self.hits(s)
             run = np.concatenate(([0], np.cumsum(hit)))
             for d in np.flatnonzero(run[first[1:]] - run[first[:-1]] >= least):
-                if found := self.search(s[first[d] : first[d + 1]], hit[first[d] : first[d + 1]]):
+                if found := search(s[first[d] : first[d + 1]], hit[first[d] : first[d + 1]]):
                     yield at + int(d), found
 
 

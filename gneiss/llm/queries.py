@@ -47,7 +47,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op06_decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return op06_decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), op06_decontaminate.LeakParams(every=True))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

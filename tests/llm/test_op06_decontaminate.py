@@ -100,3 +100,16 @@ def test_multi_index_finds_all_within_the_radius():
                 g ^= 1 << int(bit)
             row, item, d = ix.lookup(np.array([g], np.uint64))
             assert (k, p.radius) in set(zip(item.tolist(), d.tolist()))
+
+
+def test_query_finds_all_without_the_radius(spark, tmp_path):
+    from gneiss.llm.queries import op6_leaks
+
+    items = [(i, text(1000 + i, n)) for i, n in enumerate([20, 30, 30, 40, 40, 12] * 3)] + [(90, "a b c " * 8)]
+    docs = [(i, text(1100 + i, 40) + " " + damaged(t, i % 5) + " " + text(1200 + i, 30)) for i, t in items[:-1]]
+    docs += [(60, damaged(items[3][1], 2)), (61, " ".join(items[4][1].split()[:26])), (62, "a b c " * 5 + text(7, 9) + " a b c" * 4), (63, items[0][1] + " " + text(8, 5) + " " + items[0][1])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, SCHEMA).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id, r.first_word, round(r.similarity, 9)) for r in op6_leaks(spark, str(tmp_path)).collect()}
+    want = brute(docs, items, D.LeakParams(radius=64))
+    assert got == want and len(want - brute(docs, items)) >= 3  # at least three of them lie beyond the radius
