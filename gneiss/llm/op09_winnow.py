@@ -2,13 +2,15 @@
 
 A document is a sequence of line hashes. From each line starts one gram: the fewest lines that hold `gram_words` words.
 In each window (the fewest lines from a line on that hold `window_words` words) the gram with the least hash is selected, the
-last of ties. A run of equal lines with `window_words` words or more, wherever it occurs, so has a selected gram in common.
-Occurrences of a selected gram are joined with the first one and the one before; each match is extended line by line both ways, and
-the later of the two runs is deleted.
+last of ties. Occurrences of a selected gram are joined with the first one and the one before; each match is extended line by line both ways, and
+the later of the two runs is deleted. This finds most repeats of less than a window too, but compares with two occurrences only.
+
+So that every run with `window_words` words or more that occurred earlier goes, whatever its context, whole windows are looked up as well: the fewest lines from each line on, and the fewest up to each
+line. Such a run consists of such windows, each with an earlier occurrence; a window that isn't the first with its hash (64 bits) is deleted.
 
 Scale: the texts are read to hash their lines and read again to cut them, with one shuffle of the texts; all
-between works on hashes. A gram is compared with its first occurrence and the one before, never with all, so a passage that is in
-every document costs two rows a document. Document pairs bring each other's line hashes together once, not once a match.
+between works on hashes: two windows a line at most. A gram is compared with its first occurrence and the one before, a window with its first one, never with all, so a passage that is in
+every document costs a few rows a document. Document pairs bring each other's line hashes together once, not once a match.
 
 Order: by doc_id, then line. A null doc_id is left alone: such rows keep their text. Rows with equal doc_id count as one document of
 which the copies lose the same lines (matches are found in the least of their texts).
@@ -26,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import blocks, bounded_batches, free_name, materialise, span_hash, string_parts
+from .common import U64, _power, blocks, bounded_batches, free_name, materialise, mix, span_hash, string_parts
 
 #: Ids within which the occurrence before is sought; from range to range the last one is carried over.
 RANGE = 1 << 16
@@ -89,6 +92,24 @@ def selected(hashes: np.ndarray, words: np.ndarray, p: WinnowParams) -> list[tup
     return list(out.items())
 
 
+def windows(hashes: np.ndarray, words: np.ndarray, first: np.ndarray, p: WinnowParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, line after, hash) of the windows from each line on and up to each line, by first line; none crosses a document's end."""
+    n = len(hashes)
+    total = np.concatenate(([0], np.cumsum(words)))
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    stop = np.searchsorted(total, total[:-1] + p.window_words)
+    start = np.searchsorted(total, total[1:] - p.window_words, "right") - 1
+    on = np.flatnonzero(stop <= first[1:][doc])
+    upto = np.flatnonzero(start >= first[:-1][doc])
+    upto = upto[stop[start[upto]] != upto + 1]
+    a, b = np.concatenate((on, start[upto])), np.concatenate((stop[on], upto + 1))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    pw, inv = _power(n + 1)
+    sums = np.concatenate((np.zeros(1, U64), np.cumsum(hashes * pw[:n], dtype=U64)))
+    return a, b, mix((sums[b] - sums[a]) * inv[a] + (b - a).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 _signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
 
 
@@ -106,11 +127,17 @@ def _sequences(params: WinnowParams):
                         at_line += [i for i, _ in found]
                         at_gram += [_signed(x) for _, x in found]
                         ends.append(len(at_line))
+                    a, b, key = windows(h, w, first, params)
+                    w_ends = np.searchsorted(a, first)
+                    base = np.repeat(first[:-1], np.diff(w_ends))
                     n = len(o) - 1
                     lists = lambda x, e: pa.ListArray.from_arrays(pa.array(e, pa.int32()), x)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(at, n), lists(pa.array(h.view(np.int64)), first), lists(pa.array(at_line, pa.int32()), ends), lists(pa.array(at_gram, pa.int64()), ends)],
-                        names=["id", "lines", "at", "gram"],
+                        [
+                            batch.column(0).slice(at, n), lists(pa.array(h.view(np.int64)), first), lists(pa.array(at_line, pa.int32()), ends), lists(pa.array(at_gram, pa.int64()), ends),
+                            lists(pa.array(a - base, pa.int32()), w_ends), lists(pa.array(b - base, pa.int32()), w_ends), lists(pa.array(key.view(np.int64)), w_ends),
+                        ],
+                        names=["id", "lines", "at", "gram", "start", "stop", "window"],
                     )
 
     return run
@@ -149,9 +176,9 @@ def repeated_runs(docs: DataFrame, params: WinnowParams = WinnowParams()) -> Dat
     """(id, start, stop): the runs of lines, from 0 and without stop, that repeat an earlier run."""
     bounded_batches(docs.sparkSession)
     x = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text <> ''")
-    x = x.mapInArrow(_sequences(params), "id long, lines array<long>, at array<int>, gram array<long>")
+    x = x.mapInArrow(_sequences(params), "id long, lines array<long>, at array<int>, gram array<long>, start array<int>, stop array<int>, window array<long>")
     # of rows with an equal id, one stands for all
-    x = materialise(x.groupBy("id").agg(F.min(F.struct("lines", "at", "gram")).alias("x")).select("id", "x.*"), "winnow-lines")
+    x = materialise(x.groupBy("id").agg(F.min(F.struct("lines", "at", "gram", "start", "stop", "window")).alias("x")).select("id", "x.*"), "winnow-lines")
     seeds = x.where(F.size("at") > 0).select("id", F.explode(F.arrays_zip("at", "gram")).alias("g")).select("id", "g.at", "g.gram")
     # the one before is sought within a range of ids, so a gram that is everywhere is no single task; the first of a range follows the last of the range before
     seeds = seeds.withColumn("part", F.expr(f"id div {RANGE}"))
@@ -173,14 +200,31 @@ def repeated_runs(docs: DataFrame, params: WinnowParams = WinnowParams()) -> Dat
         .join(x.select(F.col("id").alias("src"), F.col("lines").alias("b")), "src")
         .select("id", "a", "b", "mine", "theirs")
     )
-    return both.mapInArrow(_extended, "id long, start int, stop int").distinct()
+    extended = both.mapInArrow(_extended, "id long, start int, stop int")
+    whole = x.where(F.size("window") > 0).select("id", F.explode(F.arrays_zip("start", "stop", "window")).alias("w")).select("id", "w.*")
+    origin = whole.groupBy("window").agg(F.min(F.struct("id", "start")).alias("origin"), F.count("*").alias("n")).where("n > 1").select("window", "origin")
+    again = whole.join(origin, "window").where(F.struct("id", "start") > F.col("origin")).select("id", "start", "stop")
+    return extended.unionByName(again).distinct()
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _covered(start: pa.Array, stop: pa.Array) -> pa.Array:
+    """The lines of each document's runs, in order."""
+    out = []
+    for a, b in zip(string_free(start), string_free(stop)):
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], np.maximum.accumulate(b[order])
+        head = np.concatenate(([True], a[1:] > b[:-1]))
+        a, b = a[head], b[np.concatenate((head[1:], [True]))]
+        out.append(np.concatenate([np.arange(i, j, dtype=np.int32) for i, j in zip(a, b)]))
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 def drop_repeated_lines(docs: DataFrame, params: WinnowParams = WinnowParams(), drop_emptied: bool = True) -> DataFrame:
     """docs, without the lines of later repeated runs. n_chars, if docs has it, becomes the length of the new text."""
     key = free_name(docs.columns, "winnow")
-    runs = repeated_runs(docs, params).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("stop") - 1))))).alias(f"{key}_cut"))
-    runs = runs.withColumnRenamed("id", f"{key}_id")
+    runs = repeated_runs(docs, params).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    runs = runs.select(F.col("id").alias(f"{key}_id"), _covered(F.col("runs.start"), F.col("runs.stop")).alias(f"{key}_cut"))
     x = docs.join(runs, F.col("doc_id").cast("long") == F.col(f"{key}_id"), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(f"{key}_cut", i))
     x = x.withColumn(key, F.when(F.col(f"{key}_cut").isNotNull(), kept))

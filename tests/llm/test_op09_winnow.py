@@ -97,6 +97,31 @@ def test_ids_in_different_ranges(docs):
     assert [i for i in far if block(1, 6)[0] in got[i]] == [min(far)] and [i for i in far if block(2, 5)[0] in got[i]] == [9]
 
 
+def all_pairs(rows):
+    """The lines of all runs with the window's words that occurred at any earlier place."""
+    at = [(i, t.split("\n"), k) for i, t in rows for k in range(t.count("\n") + 1)]
+    cut = {}
+    for i, x, a in at:
+        for j, y, b in at:
+            if (j, b) < (i, a) and x[a] == y[b]:
+                n = next((k for k in range(min(len(x) - a, len(y) - b)) if x[a + k] != y[b + k]), min(len(x) - a, len(y) - b))
+                if sum(len(v.split()) for v in x[a : a + n]) >= P.window_words:
+                    cut.setdefault(i, set()).update(range(a, a + n))
+    return cut
+
+
+def test_runs_of_the_window_go_in_any_context(docs):
+    r = np.random.default_rng(4)
+    pool = [line(900 + k, n) for k, n in enumerate([25, 25, 25, 10, 15, 30, 50, 0, 7, 60])]
+    rows = [(i, "\n".join([line(2000 + i)] + [pool[k] for k in r.integers(0, len(pool), r.integers(2, 7))])) for i in range(60)]
+    x, g = line(900, 25), line(901, 25)
+    rows += [(100 + 4 * k + n, t) for k, (u, v) in enumerate([(x, g), (g, x)]) for n, t in enumerate([v, f"{u}\n{v}", v, f"{u}\n{v}"])]
+    want, narrow = all_pairs(rows), brute(rows)
+    both = {i: want.get(i, set()) | narrow.get(i, set()) for i in {*want, *narrow}}
+    got = [(r.doc_id, r.text) for r in W.drop_repeated_lines(docs(rows)).collect()]
+    assert sorted(got, key=str) == result(rows, both) != result(rows, narrow)
+
+
 def test_edges(docs):
     t = "\n".join(block(1, 8))
     rows = [(1, t), (1, t), (2, t), (None, t), (3, None), (4, ""), (5, "\n\n\n"), (6, t + "\n" + line(6)), (7, "x " * 50_000)]
