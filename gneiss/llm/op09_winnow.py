@@ -2,22 +2,23 @@
 
 A document is a sequence of line hashes. From each line starts one gram: the fewest lines that hold `gram_words` words.
 In each window (the fewest lines from a line on that hold `window_words` words) the gram with the least hash is selected, the
-last of ties. Occurrences of a selected gram are joined with the first one and the one before; each match is extended line by line both ways, and
-the later of the two runs is deleted. This finds most repeats of less than a window too, but compares with two occurrences only.
+last of ties; a document of fewer words has one. The places of selected grams are joined; from each place a match is extended line by line both ways, and the later of two equal runs
+is deleted, for every earlier place of the gram.
 
-So that every run with `window_words` words or more that occurred earlier goes, whatever its context, whole windows are looked up as well: the fewest lines from each line on, and the fewest up to each
-line. Such a run consists of such windows, each with an earlier occurrence; a window that isn't the first with its hash (64 bits) is deleted.
+All earlier places at once: how far a place can be extended to the right with *some* earlier place is the largest k for which the gram and the k lines after it occurred earlier, and likewise to the
+left; so each place looks up these contexts by hash (64 bits, with the gram's), each by its first occurrence, and no two places are ever paired. Contexts needn't be longer than a window: a run of a window's words
+and more consists of windows, and equal windows select equal grams. So every run of `window_words` words and more that occurred earlier goes whole, whatever is around it. A shorter one of `gram_words` goes if a gram of
+it is selected at both places, as a document of less than a window may not do.
 
-Scale: the texts are read to hash their lines and read again to cut them, with one shuffle of the texts; all
-between works on hashes: two windows a line at most. A gram is compared with its first occurrence and the one before, a window with its first one, never with all, so a passage that is in
-every document costs a few rows a document. Document pairs bring each other's line hashes together once, not once a match.
+Scale: one pass over the texts gives a row a selected gram with the hashes of its contexts; grams of one place are dropped first. First occurrences are grouped minima with partial aggregation; the
+later ones are found by an anti-join on context *and* place, so a passage that is in every document is spread over all tasks. The texts are shuffled once, to be cut.
 
-Order: by doc_id, then line. A null doc_id is left alone: such rows keep their text. Rows with equal doc_id count as one document of
-which the copies lose the same lines (matches are found in the least of their texts).
+Order: by doc_id, then (for rows of equal doc_id) by a hash of the text, then by line. A null doc_id is left alone: such rows keep their text. Rows with equal doc_id and text are one document and lose
+the same lines; rows with equal doc_id and different texts are documents of their own.
 
-Defined results: null and empty texts stay as they are. Lines are compared byte by byte. Only lines that were in an earlier run go; the first
+Defined results: null and empty texts stay as they are. Lines are compared by the hash of their bytes. Only lines that were in an earlier run go; the first
 occurrence always stays. A document all of whose lines go is dropped (`drop_emptied`), or stays with an empty text. An empty table gives
-no rows. Columns besides doc_id and text pass through untouched.
+no rows. Columns besides doc_id and text pass through untouched, but for n_chars.
 """
 
 from __future__ import annotations
@@ -26,14 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import U64, _power, blocks, bounded_batches, free_name, materialise, mix, span_hash, string_parts
 
-#: Ids within which the occurrence before is sought; from range to range the last one is carried over.
-RANGE = 1 << 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -59,178 +58,139 @@ def line_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return span_hash(raw, starts, ends), count[ends] - count[starts], first
 
 
-def selected(hashes: np.ndarray, words: np.ndarray, p: WinnowParams) -> list[tuple[int, int]]:
-    """(line, gram hash) of the selected grams of one document."""
-    n = len(hashes)
-    total = np.concatenate(([0], np.cumsum(words)))
-    if total[-1] < p.gram_words:
-        return []
-    # the line after the gram, and after the window, that starts at each line; n + 1: there is none
-    gram = np.searchsorted(total, total[:-1] + p.gram_words)
-    window = np.searchsorted(total, total[:-1] + p.window_words)
-    k = int((gram <= n).sum())
-    mult = np.uint64(0xF1357AEA2E62A9C5)
-    g = []
-    for i in range(k):
-        x = hashes[i]
-        for j in range(i + 1, gram[i]):
-            x = (x ^ (x >> np.uint64(29))) * mult + hashes[j]
-        g.append(int(x))
-    if total[-1] < p.window_words:  # no whole window: one gram stands for the document
-        return [min(((i, g[i]) for i in range(k)), key=lambda t: (t[1], -t[0]))]
-    out = {}
-    for i in range(n):
-        if window[i] > n:
+def _least(g: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Place of the least of g in each range [start, stop), the last of ties, by a table of doubling ranges."""
+    size = stop - start
+    table = np.arange(len(g))
+    out = np.empty(len(size), np.int64)
+    step = 1
+    while len(size):
+        now = np.flatnonzero((size >= step) & (size < 2 * step))
+        a, b = table[start[now]], table[stop[now] - step]
+        out[now] = np.where(g[b] <= g[a], b, a)
+        if 2 * step > size.max():
             break
-        best = i
-        j = i + 1
-        while j < k and gram[j] <= window[i]:
-            if g[j] <= g[best]:
-                best = j
-            j += 1
-        out[best] = g[best]
-    return list(out.items())
-
-
-def windows(hashes: np.ndarray, words: np.ndarray, first: np.ndarray, p: WinnowParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first line, line after, hash) of the windows from each line on and up to each line, by first line; none crosses a document's end."""
+        a, b = table[: len(table) - step], table[step:]
+        table = np.where(g[b] <= g[a], b, a)
+        step *= 2
+    return out
+
+
+def seeds(hashes: np.ndarray, words: np.ndarray, first: np.ndarray, p: WinnowParams) -> tuple[np.ndarray, ...]:
+    """Of a block's selected grams: (line, line after, least line of a context to the left, last line after of one to the right, prefix sums and factors for the hashes)."""
     n = len(hashes)
     total = np.concatenate(([0], np.cumsum(words)))
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    stop = np.searchsorted(total, total[:-1] + p.window_words)
-    start = np.searchsorted(total, total[1:] - p.window_words, "right") - 1
-    on = np.flatnonzero(stop <= first[1:][doc])
-    upto = np.flatnonzero(start >= first[:-1][doc])
-    upto = upto[stop[start[upto]] != upto + 1]
-    a, b = np.concatenate((on, start[upto])), np.concatenate((stop[on], upto + 1))
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    pw, inv = _power(n + 1)
+    pw, inv = _power(n + 2)
     sums = np.concatenate((np.zeros(1, U64), np.cumsum(hashes * pw[:n], dtype=U64)))
-    return a, b, mix((sums[b] - sums[a]) * inv[a] + (b - a).astype(U64) * U64(0xD6E8FEB86659FD93))
+    size = np.diff(first)
+    begin, end = np.repeat(first[:-1], size), np.repeat(first[1:], size)
+    gram = np.searchsorted(total, total[:-1] + p.gram_words)
+    window = np.searchsorted(total, total[:-1] + p.window_words)
+    whole = np.flatnonzero(window <= end)
+    start, stop = whole, np.searchsorted(gram, window[whole], "right")
+    # documents of less than a window: one gram stands for all
+    held = total[first[1:]] - total[first[:-1]]
+    short = np.flatnonzero((held >= p.gram_words) & (held < p.window_words))
+    start = np.concatenate((start, first[short]))
+    stop = np.concatenate((stop, np.searchsorted(gram, first[short + 1], "right")))
+    last = np.minimum(gram, n)
+    g = span(sums, inv, np.arange(n), last)
+    at = np.sort(_least(g, start, stop))
+    at = at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
+    after = gram[at]
+    # as many lines as hold less than a window's words, not counting the gram's first line (to the right) or last (to the left)
+    right = np.minimum(end[at], np.searchsorted(total, total[at + 1] + p.window_words) - 1)
+    left = np.maximum(begin[at], np.searchsorted(total, total[after - 1] - p.window_words, "right"))
+    return at, after, np.minimum(left, at), np.maximum(right, after), sums, inv
+
+
+def span(sums: np.ndarray, inv: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of the lines from a up to b."""
+    return mix((sums[b] - sums[a]) * inv[a] + (b - a).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-_signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+_SEEDS = "id long, body long, at int, after int, gram long, lefts array<long>, rights array<long>"
 
 
-def _sequences(params: WinnowParams):
+def _seeds(params: WinnowParams):
+    def lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(values.view(np.int64)))
+
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                raw, off = string_parts(batch.column(1))
-                for at, r, o in blocks(raw, off):
+                raw, off = string_parts(batch.column(2))
+                for row, r, o in blocks(raw, off):
                     h, w, first = line_hashes(r, o)
-                    at_line, at_gram, ends = [], [], [0]
-                    for d in range(len(o) - 1):
-                        s = slice(first[d], first[d + 1])
-                        found = selected(h[s], w[s], params)
-                        at_line += [i for i, _ in found]
-                        at_gram += [_signed(x) for _, x in found]
-                        ends.append(len(at_line))
-                    a, b, key = windows(h, w, first, params)
-                    w_ends = np.searchsorted(a, first)
-                    base = np.repeat(first[:-1], np.diff(w_ends))
-                    n = len(o) - 1
-                    lists = lambda x, e: pa.ListArray.from_arrays(pa.array(e, pa.int32()), x)
+                    at, after, left, right, sums, inv = seeds(h, w, first, params)
+                    gram = span(sums, inv, at, after)
+                    doc = np.searchsorted(first, at, "right") - 1
+                    keys = []
+                    for n, salt, side in ((at - left, 0x94D049BB133111EB, 0), (right - after, 0xC2B2AE3D27D4EB4F, 1)):
+                        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+                        a, b = np.repeat(at, n), np.repeat(after, n)
+                        x = span(sums, inv, a, b + k) if side else span(sums, inv, a - k, b)
+                        keys.append(lists(mix(x * U64(salt) + np.repeat(gram, n)), n))
+                    take = pa.array(row + doc)
+                    line = first[doc]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column(0).slice(at, n), lists(pa.array(h.view(np.int64)), first), lists(pa.array(at_line, pa.int32()), ends), lists(pa.array(at_gram, pa.int64()), ends),
-                            lists(pa.array(a - base, pa.int32()), w_ends), lists(pa.array(b - base, pa.int32()), w_ends), lists(pa.array(key.view(np.int64)), w_ends),
+                            batch.column(0).take(take), batch.column(1).take(take), pa.array((at - line).astype(np.int32)), pa.array((after - line).astype(np.int32)),
+                            pa.array(gram.view(np.int64)), *keys,
                         ],
-                        names=["id", "lines", "at", "gram", "start", "stop", "window"],
+                        names=["id", "body", "at", "after", "gram", "lefts", "rights"],
                     )
 
     return run
 
 
-def _extended(batches):
-    """Runs (id, from, to) of lines to delete, of each pair of documents with its seeds."""
-    for batch in batches:
-        ids, froms, tos = [], [], []
-        a, b = (string_free(batch.column(i)) for i in (1, 2))
-        mine, theirs = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-        for k, doc in enumerate(batch.column(0).to_pylist()):
-            x, y, done = a[k], b[k], {}
-            for i, j in sorted(zip(mine[k], theirs[k])):
-                if done.get(i - j, -1) >= i:  # in a run that has been extended already
-                    continue
-                m = min(len(x) - i, len(y) - j)
-                differ = np.flatnonzero(x[i : i + m] != y[j : j + m])
-                end = i + (int(differ[0]) if len(differ) else m)
-                m = min(i, j)
-                differ = np.flatnonzero(x[i - m : i] != y[j - m : j])
-                start = i - m + (int(differ[-1]) + 1 if len(differ) else 0)
-                done[i - j] = end - 1
-                if end > i:
-                    ids.append(doc), froms.append(start), tos.append(end)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(froms, pa.int32()), pa.array(tos, pa.int32())], names=["id", "start", "stop"])
-
-
-def string_free(column) -> list[np.ndarray]:
-    """A list<long> column as numpy arrays."""
-    v, o = column.values.to_numpy(), column.offsets.to_numpy()
-    return [v[o[i] : o[i + 1]] for i in range(len(column))]
-
-
 def repeated_runs(docs: DataFrame, params: WinnowParams = WinnowParams()) -> DataFrame:
-    """(id, start, stop): the runs of lines, from 0 and without stop, that repeat an earlier run."""
+    """(id, body, start, stop): the runs of lines, from 0 and without stop, that repeat an earlier run; body is the hash of the text."""
     bounded_batches(docs.sparkSession)
-    x = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text <> ''")
-    x = x.mapInArrow(_sequences(params), "id long, lines array<long>, at array<int>, gram array<long>, start array<int>, stop array<int>, window array<long>")
-    # of rows with an equal id, one stands for all
-    x = materialise(x.groupBy("id").agg(F.min(F.struct("lines", "at", "gram", "start", "stop", "window")).alias("x")).select("id", "x.*"), "winnow-lines")
-    seeds = x.where(F.size("at") > 0).select("id", F.explode(F.arrays_zip("at", "gram")).alias("g")).select("id", "g.at", "g.gram")
-    # the one before is sought within a range of ids, so a gram that is everywhere is no single task; the first of a range follows the last of the range before
-    seeds = seeds.withColumn("part", F.expr(f"id div {RANGE}"))
-    place = F.struct("id", "at")
-    more = seeds.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("gram", "first")
-    repeated = seeds.join(more, "gram")
-    ends = repeated.groupBy("gram", "part").agg(F.max(place).alias("end")).withColumn("carried", F.lag("end").over(Window.partitionBy("gram").orderBy("part"))).select("gram", "part", "carried")
-    near = F.lag(place).over(Window.partitionBy("gram", "part").orderBy("id", "at"))
-    later = (
-        repeated.withColumn("near", near)
-        .join(ends, ["gram", "part"])
-        .withColumn("before", F.coalesce("near", "carried"))
-        .where("before IS NOT NULL")
-        .select("id", "at", F.explode(F.array_distinct(F.array("first", "before"))).alias("src"))
-    )
-    pairs = later.groupBy("id", F.col("src.id").alias("src")).agg(F.collect_list("at").alias("mine"), F.collect_list("src.at").alias("theirs"))
-    both = (
-        pairs.join(x.select("id", F.col("lines").alias("a")), "id")
-        .join(x.select(F.col("id").alias("src"), F.col("lines").alias("b")), "src")
-        .select("id", "a", "b", "mine", "theirs")
-    )
-    extended = both.mapInArrow(_extended, "id long, start int, stop int")
-    whole = x.where(F.size("window") > 0).select("id", F.explode(F.arrays_zip("start", "stop", "window")).alias("w")).select("id", "w.*")
-    origin = whole.groupBy("window").agg(F.min(F.struct("id", "start")).alias("origin"), F.count("*").alias("n")).where("n > 1").select("window", "origin")
-    again = whole.join(origin, "window").where(F.struct("id", "start") > F.col("origin")).select("id", "start", "stop")
-    return extended.unionByName(again).distinct()
-
-
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _covered(start: pa.Array, stop: pa.Array) -> pa.Array:
-    """The lines of each document's runs, in order."""
+    x = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("body"), "text").where("id IS NOT NULL AND text <> ''")
+    x = materialise(x.mapInArrow(_seeds(params), _SEEDS), "winnow-grams")
+    place = ["id", "body", "at"]
+    alone = x.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("p")).where("n = 1").select("p.*")
+    x = x.join(alone, place, "left_anti")
+    # side 0: the gram itself; -1, 1: with k lines before, after it
+    longer = lambda c, side: F.transform(c, lambda key, k: F.struct(F.lit(side).cast("byte").alias("side"), (k + 1).alias("k"), key.alias("key")))
+    own = F.array(F.struct(F.lit(0).cast("byte").alias("side"), F.lit(0).alias("k"), F.col("gram").alias("key")))
+    x = x.select(*place, "after", F.explode(F.concat(own, longer("lefts", -1), longer("rights", 1))).alias("c")).select(*place, "after", "c.*")
+    x = materialise(x, "winnow-contexts")
+    first = x.groupBy("key").agg(F.min(F.struct(*place)).alias("p")).select("key", "p.*")
+    later = x.join(first, ["key", *place], "left_anti")
+    reach = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("k"))), F.lit(0))
+    runs = later.groupBy(*place, "after").agg(reach(-1).alias("before"), reach(1).alias("more"))
+    return runs.select("id", "body", (F.col("at") - F.col("before")).alias("start"), (F.col("after") + F.col("more")).alias("stop"))
+
+
+@F.arrow_udf(T.StringType())
+def _without(text: pa.Array, start: pa.Array, stop: pa.Array) -> pa.Array:
+    """Each text without its runs of lines; null where no line is left or there are no runs."""
     out = []
-    for a, b in zip(string_free(start), string_free(stop)):
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], np.maximum.accumulate(b[order])
-        head = np.concatenate(([True], a[1:] > b[:-1]))
-        a, b = a[head], b[np.concatenate((head[1:], [True]))]
-        out.append(np.concatenate([np.arange(i, j, dtype=np.int32) for i, j in zip(a, b)]))
-    return pa.array(out, pa.list_(pa.int32()))
+    for t, a, b in zip(text.to_pylist(), start.to_pylist(), stop.to_pylist()):
+        if t is None:
+            out.append(None)
+            continue
+        lines = t.split("\n")
+        gone = np.zeros(len(lines) + 1, np.int64)
+        np.add.at(gone, a, 1), np.add.at(gone, b, -1)
+        kept = np.flatnonzero(np.cumsum(gone)[:-1] == 0).tolist()
+        out.append("\n".join([lines[i] for i in kept]) if kept else None)
+    return pa.array(out, pa.string())
 
 
 def drop_repeated_lines(docs: DataFrame, params: WinnowParams = WinnowParams(), drop_emptied: bool = True) -> DataFrame:
     """docs, without the lines of later repeated runs. n_chars, if docs has it, becomes the length of the new text."""
     key = free_name(docs.columns, "winnow")
-    runs = repeated_runs(docs, params).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    runs = runs.select(F.col("id").alias(f"{key}_id"), _covered(F.col("runs.start"), F.col("runs.stop")).alias(f"{key}_cut"))
-    x = docs.join(runs, F.col("doc_id").cast("long") == F.col(f"{key}_id"), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(f"{key}_cut", i))
-    x = x.withColumn(key, F.when(F.col(f"{key}_cut").isNotNull(), kept))
+    runs = repeated_runs(docs, params).groupBy("id", "body").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    runs = runs.select(F.col("id").alias(f"{key}_id"), F.col("body").alias(f"{key}_body"), F.col("runs").alias(f"{key}_runs"))
+    x = docs.join(runs, (F.col("doc_id").cast("long") == F.col(f"{key}_id")) & (F.xxhash64("text") == F.col(f"{key}_body")), "left")
+    hit = F.col(f"{key}_runs").isNotNull()
+    x = x.withColumn(key, _without(F.when(hit, F.col("text")), F.col(f"{key}_runs.start"), F.col(f"{key}_runs.stop")))
     if drop_emptied:
-        x = x.where(F.col(key).isNull() | (F.size(key) > 0))
-    new = {"text": F.when(F.col(key).isNull(), F.col("text")).otherwise(F.array_join(key, "\n"))}
+        x = x.where(~hit | F.col(key).isNotNull())
+    new = {"text": F.when(hit, F.coalesce(key, F.lit(""))).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col(key).isNull(), F.col("n_chars")).otherwise(F.length(new["text"])).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(hit, F.length(new["text"])).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return x.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))

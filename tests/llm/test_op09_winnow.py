@@ -16,36 +16,50 @@ def block(i, n):
     return [line(1000 * i + k) for k in range(n)]
 
 
+def count(lines):
+    return sum(len(x.split()) for x in lines)
+
+
+def all_pairs(rows, least):
+    """Of plain lists, none of the operator's code: the lines of all runs of `least` words that occurred at any earlier place."""
+    at = [(i, t.split("\n"), k) for i, t in sorted(rows) for k in range(t.count("\n") + 1)]
+    by_line = {}
+    for i, x, a in at:
+        by_line.setdefault(x[a], []).append((i, x, a))
+    cut = {}
+    for found in by_line.values():
+        for i, x, a in found:
+            for j, y, b in found:
+                if (j, b) < (i, a):
+                    n = next((k for k in range(min(len(x) - a, len(y) - b)) if x[a + k] != y[b + k]), min(len(x) - a, len(y) - b))
+                    if count(x[a : a + n]) >= least:
+                        cut.setdefault(i, set()).update(range(a, a + n))
+    return cut
+
+
 def brute(rows):
-    """The same rule over plain lists: selected grams, first and previous occurrence, extension, deletion."""
-    first = {}
-    for i, t in rows:
-        if i is not None and t:
-            key = [int(x) - (1 << 64) if x >> np.uint64(63) else int(x) for x in W.line_hashes(*string_parts(pa.array([t])))[0]]
-            if i not in first or key < first[i][0]:
-                first[i] = (key, t)
-    lines = {i: t.split("\n") for i, (_, t) in first.items()}
+    """Every pair of places of a selected gram, extended line by line. Rows have ids and texts of their own."""
+    lines = {i: t.split("\n") for i, t in rows if i is not None and t}
     places = {}
     for i in sorted(lines):
         with np.errstate(over="ignore"):
-            h, w, _ = W.line_hashes(*string_parts(pa.array(["\n".join(lines[i])])))
+            h, w, first = W.line_hashes(*string_parts(pa.array(["\n".join(lines[i])])))
             assert w.tolist() == [len(x.split()) for x in lines[i]]
-            for at, g in sorted(W.selected(h, w, P)):
-                places.setdefault(g, []).append((i, at))
+            at, after = W.seeds(h, w, first, P)[:2]
+        for a, b in zip(at.tolist(), after.tolist()):
+            assert P.gram_words <= count(lines[i][a:b]) and count(lines[i][a : b - 1]) < P.gram_words
+            places.setdefault(tuple(lines[i][a:b]), []).append((i, a))
     cut = {}
     for found in places.values():
-        found.sort()
-        for k in range(1, len(found)):
-            for j, b in {found[0], found[k - 1]}:
-                i, a = found[k]
-                x, y = lines[i], lines[j]
-                s, u = a, b
-                while s > 0 and u > 0 and x[s - 1] == y[u - 1]:
-                    s, u = s - 1, u - 1
-                e, v = a, b
-                while e < len(x) and v < len(y) and x[e] == y[v]:
-                    e, v = e + 1, v + 1
-                cut.setdefault(i, set()).update(range(s, e))
+        for i, a in found:
+            for j, b in found:
+                if (j, b) < (i, a):
+                    x, y, s, e = lines[i], lines[j], 0, 0
+                    while a - s > 0 and b - s > 0 and x[a - s - 1] == y[b - s - 1]:
+                        s += 1
+                    while a + e < len(x) and b + e < len(y) and x[a + e] == y[b + e]:
+                        e += 1
+                    cut.setdefault(i, set()).update(range(a - s, a + e))
     return cut
 
 
@@ -62,6 +76,10 @@ def result(rows, cut):
     return sorted(out, key=str)
 
 
+def run(docs, rows):
+    return sorted(((r.doc_id, r.text) for r in W.drop_repeated_lines(docs(rows)).collect()), key=str)
+
+
 def corpus():
     shared, long_line = block(1, 6), line(5, 60)
     rows = [(i, "\n".join(block(10 + i, 4) + (shared if i % 3 == 0 else []) + block(40 + i, 3))) for i in range(12)]
@@ -72,10 +90,15 @@ def corpus():
     return rows
 
 
+def pool_corpus(seed, n=60):
+    """Lines of all lengths in random order: every context occurs with every other."""
+    r = np.random.default_rng(seed)
+    pool = [line(900 + k, n) for k, n in enumerate([25, 25, 25, 10, 15, 30, 50, 0, 7, 60, 1, 1, 0])]
+    return [(i, "\n".join(pool[k] for k in r.integers(0, len(pool), r.integers(2, 12)))) for i in range(n)]
+
+
 def test_equals_brute_force(docs):
-    rows = corpus()
-    got = [(r.doc_id, r.text) for r in W.drop_repeated_lines(docs(rows)).collect()]
-    assert sorted(got, key=str) == result(rows, brute(rows))
+    assert run(docs, corpus()) == result(corpus(), brute(corpus()))
 
 
 def test_every_run_of_the_window_is_found(docs):
@@ -89,37 +112,40 @@ def test_every_run_of_the_window_is_found(docs):
     assert got[51] == "short\nshort\nshort" and got[52] == "short"
 
 
-def test_ids_in_different_ranges(docs):
-    far = [5, 9, W.RANGE + 3, W.RANGE + 4, 7 * W.RANGE, 7 * W.RANGE + 1, -3 * W.RANGE, 1 << 50]
-    rows = [(far[k], "\n".join(block(10 + k, 4) + block(1, 6) + block(40 + k, 3) + (block(2, 5) if k % 2 else []))) for k in range(len(far))]
-    got = dict((r.doc_id, r.text) for r in W.drop_repeated_lines(docs(rows)).collect())
-    assert sorted(got.items(), key=str) == result(rows, brute(rows))
-    assert [i for i in far if block(1, 6)[0] in got[i]] == [min(far)] and [i for i in far if block(2, 5)[0] in got[i]] == [9]
+def test_any_ids(docs):
+    """Dense, sparse, negative, and about powers of two."""
+    for far in (range(8), [k << 40 for k in range(8)], [65534, 65535, 65536, 65537, 131071, 131072, 1 << 31, 1 << 32], [-(1 << 63), -(1 << 62), -5, -1, 0, 1 << 62, (1 << 63) - 2, (1 << 63) - 1]):
+        far = list(far)
+        rows = [(far[k], "\n".join(block(10 + k, 4) + block(1, 6) + block(40 + k, 3) + (block(2, 5) if k % 2 else []))) for k in range(len(far))]
+        got = run(docs, rows)
+        assert got == result(rows, all_pairs(rows, P.window_words)) == result(rows, brute(rows))
+        assert [i for i in far if block(1, 6)[0] in dict(got)[i]] == [far[0]] and [i for i in far if block(2, 5)[0] in dict(got)[i]] == [far[1]]
 
 
-def all_pairs(rows):
-    """The lines of all runs with the window's words that occurred at any earlier place."""
-    at = [(i, t.split("\n"), k) for i, t in rows for k in range(t.count("\n") + 1)]
-    cut = {}
-    for i, x, a in at:
-        for j, y, b in at:
-            if (j, b) < (i, a) and x[a] == y[b]:
-                n = next((k for k in range(min(len(x) - a, len(y) - b)) if x[a + k] != y[b + k]), min(len(x) - a, len(y) - b))
-                if sum(len(v.split()) for v in x[a : a + n]) >= P.window_words:
-                    cut.setdefault(i, set()).update(range(a, a + n))
-    return cut
+def test_copies_leave_one(docs):
+    rows = [((k + 1) << 40, "\n".join(block(6, 9))) for k in range(5)]
+    assert run(docs, rows) == [rows[0]]
+
+
+def test_a_gram_in_other_contexts(docs):
+    p, g, q = (line(900 + k, 25) for k in range(3))
+    rows = [(1, f"{line(1, 25)}\n{g}\n{line(2, 25)}"), (2, f"{p}\n{g}\n{q}"), (3, f"{line(3, 25)}\n{g}\n{line(4, 25)}"), (4, f"{p}\n{g}\n{q}"), (5, f"{line(5)}\n{g}\n{q}\n{line(6)}")]
+    got = dict(run(docs, rows))
+    assert 4 not in got and got[5] == f"{line(5)}\n{line(6)}" and got == dict(result(rows, brute(rows)))
 
 
 def test_runs_of_the_window_go_in_any_context(docs):
-    r = np.random.default_rng(4)
-    pool = [line(900 + k, n) for k, n in enumerate([25, 25, 25, 10, 15, 30, 50, 0, 7, 60])]
-    rows = [(i, "\n".join([line(2000 + i)] + [pool[k] for k in r.integers(0, len(pool), r.integers(2, 7))])) for i in range(60)]
-    x, g = line(900, 25), line(901, 25)
-    rows += [(100 + 4 * k + n, t) for k, (u, v) in enumerate([(x, g), (g, x)]) for n, t in enumerate([v, f"{u}\n{v}", v, f"{u}\n{v}"])]
-    want, narrow = all_pairs(rows), brute(rows)
-    both = {i: want.get(i, set()) | narrow.get(i, set()) for i in {*want, *narrow}}
-    got = [(r.doc_id, r.text) for r in W.drop_repeated_lines(docs(rows)).collect()]
-    assert sorted(got, key=str) == result(rows, both) != result(rows, narrow)
+    for seed in range(3):
+        rows = [(i << 33, t) for i, t in pool_corpus(seed)]
+        cut, most, least = brute(rows), all_pairs(rows, P.gram_words), all_pairs(rows, P.window_words)
+        assert all(x <= cut.get(i, set()) for i, x in least.items()) and all(x <= most[i] for i, x in cut.items())
+        assert run(docs, rows) == result(rows, cut)
+
+
+def test_rows_of_equal_id_are_judged_by_their_own_text(docs):
+    a, b = block(1, 6), block(2, 6)
+    rows = [(0, "\n".join(a)), (7, "\n".join(a + block(3, 3))), (7, "\n".join(block(4, 6))), (7, "\n".join(b + block(5, 3))), (7, "\n".join(b + block(5, 3))), (9, "\n".join(b))]
+    assert run(docs, rows) == sorted([(0, "\n".join(a)), (7, "\n".join(block(3, 3))), (7, "\n".join(block(4, 6))), *[(7, "\n".join(b + block(5, 3)))] * 2], key=str)
 
 
 def test_edges(docs):
@@ -134,6 +160,20 @@ def test_edges(docs):
     assert W.drop_repeated_lines(docs([])).count() == 0
 
 
+def test_many_lines_take_linear_time(docs):
+    many = "\n".join(f"w{k} x" if k % 3 else "" for k in range(60_000))
+    rows = [(1, many), (2, "head\n" + many + "\ntail"), (3, "\n" * 100_000 + "y " * 60)]
+    got = dict(run(docs, rows))
+    assert got[1] == many and got[2] == "head\ntail" and got[3] == rows[2][1]
+
+
+def test_least_takes_the_last_of_ties():
+    g = np.random.default_rng(0).integers(0, 4, 300).astype(np.uint64)
+    start = np.random.default_rng(1).integers(0, 299, 500)
+    stop = np.minimum(300, start + np.random.default_rng(2).integers(1, 80, 500))
+    assert W._least(g, start, stop).tolist() == [max(range(a, b), key=lambda i: (-int(g[i]), i)) for a, b in zip(start.tolist(), stop.tolist())]
+
+
 def test_line_kernel():
     texts = ["a b\n\nc", "", "\n", "x", " y  z ", "é\r\n"]
     h, w, first = W.line_hashes(*string_parts(pa.array(texts)))
