@@ -6,7 +6,9 @@ with a fixed number of numpy calls, whatever the number of documents in it.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 
@@ -26,17 +28,24 @@ pa.set_memory_pool(pa.system_memory_pool())
 
 
 def shared_dir(spark) -> str:
-    """Folder that all executors share: spark.checkpoint.dir; where that is unset (tests), an own one is set."""
+    """Folder that all executors share: spark.checkpoint.dir. Where that is unset an own one is set, in local mode only (tests); on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gneiss-")
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def new_path(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _written[-1]
 
 
 def materialise(df, name: str):
@@ -44,7 +53,29 @@ def materialise(df, name: str):
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Deletes what materialise() wrote for the tables (None: nothing), once all that was made of them is written itself."""
+    for df in tables:
+        if df is not None:
+            _delete(df.sparkSession, df.written_to)
+
+
+def _delete(spark, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def clear(spark) -> None:
+    """Deletes all intermediate tables of this process. Results are read from them, so they are kept until the caller has written or taken what it needs."""
+    for path in list(_written):
+        _delete(spark, path)
 
 
 def bounded_batches(spark) -> None:
