@@ -10,11 +10,14 @@ import atexit
 import ctypes
 import shutil
 import tempfile
+import unicodedata
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -23,8 +26,6 @@ _PINV = pow(_P, -1, 1 << 64)
 BLOCK = 1 << 20
 #: Bytes of an Arrow batch between the JVM and Python.
 BATCH = str(4 << 20)
-# Arrow's own allocators keep what they have had
-pa.set_memory_pool(pa.system_memory_pool())
 
 
 def shared_dir(spark) -> str:
@@ -106,8 +107,16 @@ def free_name(columns, name: str) -> str:
 # == Arrow blocks
 
 
+@lru_cache(1)
+def _worker_pool() -> None:
+    """In a Python worker: Arrow's own allocators keep what they have had, the system's doesn't."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def string_parts(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; nulls are empty."""
+    if TaskContext.get() is not None:
+        _worker_pool()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -137,7 +146,7 @@ def blocks(raw: np.ndarray, off: np.ndarray, most: int = BLOCK):
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -159,20 +168,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def fold(raw: np.ndarray) -> np.ndarray:
-    """Lower case of ASCII and of the Latin-1 letters (two UTF-8 bytes, the first C3)."""
-    out = _LOWER[raw]
-    if len(raw) > 1:
-        up = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
-        out[1:][up] += 32
-    return out
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """Of each code point: 1 for letters, marks and numbers, and 2 more for upper case."""
+    kind = {"L": 1, "M": 1, "N": 1}
+    return np.fromiter((3 if c in ("Lu", "Lt") else kind.get(c[0], 0) for c in map(unicodedata.category, map(chr, range(0x110000)))), np.uint8, 0x110000)
+
+
+def code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, bytes, kind) of the characters beyond ASCII."""
+    at = np.flatnonzero(raw >= 0xC0)
+    lead = raw[at].astype(np.int64)
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    code = lead & (0x7F >> size)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        code[more] = code[more] << 6 | raw[np.minimum(at[more] + k, len(raw) - 1)] & 0x3F
+    return at, size, _kinds()[np.minimum(code, 0x10FFFF)] if len(at) else np.zeros(0, np.uint8)
+
+
+def fold(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) in lower case; bytes that aren't UTF-8 are folded as ASCII."""
+    if not len(raw) or raw.max() < 0x80:
+        return _LOWER[raw], off
+    try:
+        return string_parts(pc.utf8_lower(pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(raw))))
+    except pa.ArrowInvalid:
+        return _LOWER[raw], off
 
 
-def spans(raw: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes in `member`; no run crosses a document's end."""
+def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words: maximal runs of letters, marks and numbers; none crosses a document's end."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w = member[raw]
+    w = _WORD[raw]
+    at, size, kind = code_points(raw)
+    member = kind > 0
+    for k in range(4):
+        more = at[member & (size > k)]
+        if not len(more):
+            break
+        w[np.minimum(more + k, len(raw) - 1)] = True
     edge = np.zeros(len(raw) + 1, bool)
     edge[off] = True
     before = np.concatenate(([False], w[:-1]))
@@ -189,6 +227,7 @@ def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of each document's first word): words are runs of letters and digits, case folded."""
-    starts, ends = spans(raw, off, _WORD)
-    return span_hash(fold(raw), starts, ends), np.searchsorted(starts, off)
+    """(hash of each word, index of each document's first word): words are runs of letters, marks and numbers of any script, in lower case."""
+    raw, off = fold(raw, off)
+    starts, ends = word_spans(raw, off)
+    return span_hash(raw, starts, ends), np.searchsorted(starts, off)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _WORD, blocks, bounded_batches, fold, free_name, materialise, span_hash, spans, string_parts
+from .common import blocks, bounded_batches, code_points, fold, free_name, materialise, span_hash, string_parts, word_spans
 
 #: Fixed-point unit of the transformed statistics.
 ONE = 1024
@@ -63,15 +63,14 @@ def statistics(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for k in range(5):
         c = np.concatenate(([0], np.cumsum(_KIND[:, k].astype(np.int32)[raw], dtype=np.int64)))
         sums[:, k] = c[off[1:]] - c[off[:-1]]
-    if len(raw) > 1:  # upper case of the Latin-1 letters
-        up = np.zeros(len(raw) + 1, np.int64)
-        up[2:] = np.cumsum((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97))
-        sums[:, 0] += up[off[1:]] - up[off[:-1]]
-    starts, ends = spans(raw, off, _WORD)
+    at, _, kind = code_points(raw)  # upper case beyond ASCII
+    sums[:, 0] += np.diff(np.searchsorted(at[kind == 3], off))
+    raw, off = fold(raw, off)
+    starts, ends = word_spans(raw, off)
     first = np.searchsorted(starts, off)
     count = np.diff(first).astype(float)
     doc = np.repeat(np.arange(n), np.diff(first))
-    ids = span_hash(fold(raw), starts, ends) >> np.uint64(20)
+    ids = span_hash(raw, starts, ends) >> np.uint64(20)
     key = np.sort((doc.astype(np.uint64) << np.uint64(44)) | ids)
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]

@@ -583,7 +583,7 @@ def oracle(params: LmParams = LmParams()) -> str:
     code_of = lambda p: f"least(255, greatest(0, floor(-log2({p}) * {UNIT} + 0.5)))"
     value_of = lambda c: f"pow(2.0, -{c} / {UNIT}.0)"
     d = params.discount
-    return f"""WITH w AS MATERIALIZED (SELECT doc_id, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '(?:[0-9a-z]|[^\\x00-\\x7F])+') AS l FROM documents)),
+    return f"""WITH w AS MATERIALIZED (SELECT doc_id, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') AS l FROM documents)),
 c AS (SELECT w, count(*) AS n FROM w GROUP BY w),
 total AS (SELECT count(*) AS n FROM w),
 v AS MATERIALIZED (SELECT w, n, {code_of("n / ((SELECT n FROM total) + 1.0)")} AS p FROM c WHERE n >= {params.min_word}),

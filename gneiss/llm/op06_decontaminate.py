@@ -1,7 +1,7 @@
 """Operator 6: benchmark decontamination by SimHash of item-sized windows.
 
-Items and documents are sequences of folded words; features are shingles of three words, weighted by their rarity among the items. In
-each document the windows of an item's size are fingerprinted; a multi-index of the items' fingerprints in four blocks of 16 bits, each item entered under all
+Items and documents are sequences of folded words; features are shingles of three words. To compare a window with an item, shingles of the item are weighted by their rarity among all items and others
+as much as one that no item has. In each document the windows of an item's size are fingerprinted; a multi-index of the items' fingerprints in four blocks of 16 bits, each item entered under all
 values within a quarter of the radius, gives every item within the radius; the exact weighted Jaccard similarity of the shingles decides.
 
 Which windows: similarity s needs shared shingles of weight s x the item's, so only windows whose shingles that occur in any item weigh as
@@ -11,7 +11,7 @@ The radius misses windows near the similarity limit, whose fingerprints are some
 the items that share enough weight with a text, and every window that could pass is verified, so all leaks are found. The distance is reported only.
 
 Scale: one pass over the texts, no shuffle. The items' index goes to the executors as a broadcast; its size is bounded: the items are taken in
-portions of `portion_bytes` of text, with one pass over the documents for each (one for any usual set of benchmarks).
+portions of `portion_bytes` of text, with one pass over the documents for each (one for any usual set of benchmarks). Weights are counted over all items, so the result doesn't depend on the portions.
 
 Defined results: null and empty texts, and texts or items of fewer than three words, match nothing. A document shorter than an item is one
 window as a whole. Equal items match alike, each with its own item_id; rows with equal doc_id are judged each by its text (in the report each pair of ids comes once, with
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, bounded_batches, mix, string_parts, words
+from .common import U64, blocks, bounded_batches, materialise, mix, string_parts, words
 
 SHINGLE = 3
 
@@ -59,27 +59,27 @@ def shingles(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Of the items: shingle weights, fingerprints by size, and the multi-index."""
+    """Of the items: shingle weights, fingerprints by size, and the multi-index. `counts`: number of all items, their shingles (sorted) and in how many each is; None: these items are all."""
 
-    def __init__(self, ids: list[int], texts: list[str], p: LeakParams):
+    def __init__(self, ids: list[int | None], texts: list[str], p: LeakParams, counts: tuple[int, np.ndarray, np.ndarray] | None = None):
         self.p = p
         raw, off = string_parts(pa.array(texts, pa.string()))
         with np.errstate(over="ignore"):
             s, first = shingles(*words(raw, off))
-        self.ids = np.array([i for i, n in zip(ids, np.diff(first)) if n], np.int64)
+        self.ids = pa.array([i for i, n in zip(ids, np.diff(first)) if n], pa.int64())
         self.items = [s[a:b] for a, b in zip(first[:-1], first[1:]) if b > a]
-        n = len(self.items)
-        self.known, df = np.unique(np.concatenate([np.unique(x) for x in self.items]) if n else np.zeros(0, U64), return_counts=True)
+        if counts is None:
+            df = np.unique(np.concatenate([np.unique(x) for x in self.items]) if self.items else np.zeros(0, U64), return_counts=True)
+            counts = (len(self.items), *df)
+        n, self.known, df = counts
         self.weight = np.rint(16 * (np.log((1 + n) / (1 + df)) + 1)).astype(np.int64)
         self.other = int(np.rint(16 * (np.log(1 + n) + 1)))
         self.bitmap = np.zeros(1 << 22, bool)
         self.bitmap[(self.known >> U64(42)).astype(np.int64)] = True
         self.size = np.array([len(x) for x in self.items], np.int64)
-        item_w = [self.weights(x) for x in self.items]
-        self.total = np.array([w.sum() for w in item_w], np.int64)
+        self.total = np.array([self.hits(x).sum() for x in self.items], np.int64)
         self.tables = [dict(zip(*(a.tolist() for a in np.unique(x, return_counts=True)))) for x in self.items]
-        self.prints = np.array([self.prefix(x, w)[-1] >= 0 for x, w in zip(self.items, item_w)], bool).reshape(-1, 64)
-        self.prints = np.packbits(self.prints, axis=1, bitorder="little").view(U64).ravel()
+        self.prints = np.packbits(np.array([self.prefix(x)[-1] >= 0 for x in self.items], bool).reshape(-1, 64), axis=1, bitorder="little").view(U64).ravel()
         #: least weight of shared shingles that an item of each size needs
         self.sizes = np.unique(self.size)
         self.need = np.array([p.similarity * self.total[self.size == k].min() for k in self.sizes])
@@ -121,12 +121,6 @@ class Index:
         ok = d <= self.p.radius
         return row[ok], item[ok], d[ok]
 
-    def weights(self, s: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.full(len(s), self.other)
-        at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
-        return np.where(self.known[at] == s, self.weight[at], self.other)
-
     def hits(self, s: np.ndarray) -> np.ndarray:
         """Weight of the shingles that occur in items; 0 for others."""
         out = np.zeros(len(s), np.int64)
@@ -137,32 +131,38 @@ class Index:
         return out
 
     @staticmethod
-    def prefix(s: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Running sums of the weighted votes of each bit, from 0 on."""
-        bits = np.unpackbits(np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        out = np.zeros((len(s) + 1, 64), np.int64)
-        np.cumsum(np.where(bits == 1, w[:, None], -w[:, None]), axis=0, out=out[1:])
+    def prefix(s: np.ndarray) -> np.ndarray:
+        """Running sums of the votes of each bit, from 0 on."""
+        bits = np.unpackbits(np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8)
+        out = np.zeros((len(s) + 1, 64), np.int32)
+        np.cumsum(2 * bits - 1, axis=0, out=out[1:])
         return out
 
-    def similarity(self, item: int, s: np.ndarray, total: int) -> float:
+    def similarity(self, item: int, s: np.ndarray) -> float:
+        """Weighted Jaccard: shingles of the item weigh by their rarity among all items, others as much as one that no item has."""
         have = self.tables[item]
         u, n = np.unique(s, return_counts=True)
-        both = sum(int(w) * min(int(c), have.get(int(x), 0)) for x, c, w in zip(u, n, self.weights(u)))
+        both = total = 0
+        for x, c, w in zip(u.tolist(), n.tolist(), self.hits(u).tolist()):
+            if k := have.get(x):
+                both += w * min(c, k)
+                total += w * c
+            else:
+                total += self.other * c
         return both / (total + int(self.total[item]) - both)
 
     def search(self, s: np.ndarray, hit: np.ndarray) -> list[tuple[int, int, float, int]]:
         """(item, first word, similarity, distance) of the best window of each item in one text."""
         run = np.concatenate(([0], np.cumsum(hit)))
         n, best = len(s), {}
-        votes = total = None
+        votes = None
         for size, need in zip(self.sizes.tolist(), self.need.tolist()):
             size = min(size, n)
             start = np.flatnonzero(run[size:] - run[: n + 1 - size] >= need - 1e-6)
             if not len(start):
                 continue
             if votes is None:
-                w = np.where(hit > 0, hit, self.other)
-                votes, total = self.prefix(s, w), np.concatenate(([0], np.cumsum(w)))
+                votes = self.prefix(s)
             right = (self.size == size) if size < n else (self.size >= n)
             for i in range(0, len(start), 4096):
                 at = start[i : i + 4096]
@@ -172,7 +172,7 @@ class Index:
                 found = set(zip(row[ok].tolist(), item[ok].tolist(), d[ok].tolist()))
                 for r, item, d in sorted(found):
                     a = int(at[r])
-                    sim = self.similarity(item, s[a : a + size], int(total[a + size] - total[a]))
+                    sim = self.similarity(item, s[a : a + size])
                     if sim >= self.p.similarity and (item not in best or sim > best[item][1]):
                         best[item] = (a, sim, d)
         return [(item, a, sim, d) for item, (a, sim, d) in sorted(best.items())]
@@ -188,19 +188,16 @@ class Index:
         shared = np.bincount(item, hit[pos], minlength=len(self.items))
         order = np.argsort(item, kind="stable")
         pos, ends = pos[order], np.searchsorted(item[order], np.arange(len(self.items) + 1))
-        out, votes, w, total = [], None, None, None
+        out, votes = [], None
         for i in np.flatnonzero((shared > 0) & (shared >= limit * self.total - 1e-6)).tolist():
             size = min(int(self.size[i]), len(s))
             p = pos[ends[i] : ends[i + 1]]
             sums = np.concatenate(([0], np.cumsum(hit[p])))
             if (sums[np.searchsorted(p, p + size)] - sums[:-1]).max() < limit * self.total[i] - 1e-6:
                 continue
-            if w is None:
-                w = np.where(hit > 0, hit, self.other)
-                total = np.concatenate(([0], np.cumsum(w)))
-            mine = np.zeros(len(s), np.int64)
-            mine[p] = hit[p]
-            run = np.concatenate(([0], np.cumsum(mine)))
+            mine, weigh = np.zeros(len(s), np.int64), np.full(len(s), self.other)
+            mine[p] = weigh[p] = hit[p]
+            run, total = np.concatenate(([0], np.cumsum(mine))), np.concatenate(([0], np.cumsum(weigh)))
             both, whole = run[size:] - run[:-size], total[size:] - total[:-size]
             most = both / np.maximum(1, whole + self.total[i] - both)
             most[both >= whole + self.total[i]] = 1.0
@@ -209,12 +206,12 @@ class Index:
             for a in sorted(np.flatnonzero((both > 0) & (most >= limit - 1e-9)).tolist(), key=lambda a: (-most[a], a)):
                 if best and most[a] < best[1] - 1e-9:
                     break
-                sim = self.similarity(i, s[a : a + size], int(whole[a]))
+                sim = self.similarity(i, s[a : a + size])
                 if sim >= limit and (best is None or (sim, -a) > (best[1], -best[0])):
                     best = (a, sim)
             if best:
                 if votes is None:
-                    votes = self.prefix(s, w)
+                    votes = self.prefix(s)
                 f = np.packbits(votes[best[0] + size] - votes[best[0]] >= 0, bitorder="little").view(U64)[0]
                 out.append((i, *best, int(np.bitwise_count(f ^ self.prints[i]))))
         return out
@@ -234,19 +231,50 @@ class Index:
                     yield at + int(d), found
 
 
+def _item_shingles(batches):
+    """(portion, whether it is the item's first row, shingle): a row for each different shingle of an item."""
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            part = batch.column(1).to_numpy()
+            for row, r, o in blocks(*string_parts(batch.column(0))):
+                s, first = shingles(*words(r, o))
+                kinds = [np.unique(s[a:b]) for a, b in zip(first[:-1], first[1:])]
+                n = np.array([len(x) for x in kinds])
+                head = np.zeros(n.sum(), bool)
+                head[(np.cumsum(n) - n)[n > 0]] = True
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(part[row : row + len(n)], n)), pa.array(head), pa.array(np.concatenate([np.zeros(0, U64), *kinds]).view(np.int64))], names=["part", "first", "shingle"]
+                )
+
+
 def indexes(benchmark: DataFrame, params: LeakParams):
-    """Broadcast indexes of the items, of bounded size each."""
-    bounded_batches(benchmark.sparkSession)
+    """Broadcast indexes of the items, of bounded size each; weights are by all items, whatever the portions."""
+    spark = benchmark.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("i"), "text").where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(size // params.portion_bytes) + 1
+    part = F.pmod(F.xxhash64("text"), F.lit(n))
+    if n > 1:
+        # portion by portion: a portion's shingles with their counts among all items are bounded as its text is
+        own = items.select("text", part.cast("int").alias("part")).mapInArrow(_item_shingles, "part int, first boolean, shingle long")
+        own = materialise(own, "leak-shingles")
+        total = own.where("first").count()
+        df = own.groupBy("shingle").agg(F.count("*").alias("n"))
+        counts = materialise(own.select("part", "shingle").distinct().join(df, "shingle"), "leak-counts")
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("i", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Index([-1 if r.i is None else r.i for r in rows], [r.text for r in rows], params))
+        rows = items.where(part == k).orderBy("i", "text").collect()
+        known = None
+        if n > 1:
+            x = counts.where(F.col("part") == k).select("shingle", "n").toArrow()
+            s = x.column(0).to_numpy().view(U64)
+            order = np.argsort(s)
+            known = total, s[order], x.column(1).to_numpy()[order]
+        yield spark.sparkContext.broadcast(Index([r.i for r in rows], [r.text for r in rows], params, known))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
-    """(doc_id, item_id, first_word, similarity, distance) of each document and item with a window that passes. An item without id counts as -1."""
+    """(doc_id, item_id, first_word, similarity, distance) of each document and item with a window that passes. Items without id share a null one."""
 
     def run(index):
         def batches(it):
@@ -256,7 +284,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams
                     rows = [(r, *f) for r, found in x.scan(*string_parts(batch.column(1))) for f in found]
                     r, item, a, sim, d = (list(c) for c in zip(*rows)) if rows else ([], [], [], [], [])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(r, pa.int64())), pa.array(x.ids[np.array(item, np.int64)]), pa.array(a, pa.int32()), pa.array(sim, pa.float64()), pa.array(d, pa.int32())],
+                        [batch.column(0).take(pa.array(r, pa.int64())), x.ids.take(pa.array(item, pa.int64())), pa.array(a, pa.int32()), pa.array(sim, pa.float64()), pa.array(d, pa.int32())],
                         names=["doc_id", "item_id", "first_word", "similarity", "distance"],
                     )
 

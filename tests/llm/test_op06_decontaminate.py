@@ -1,12 +1,16 @@
+import math
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 
 from gneiss.llm import op06_decontaminate as D
 from gneiss.llm.common import string_parts, words
 
+WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 SCHEMA = "item_id long, text string"
 
 
@@ -35,47 +39,67 @@ DOCS = (
 
 
 def brute(docs, items, p=D.LeakParams()):
-    """Every window of every document against every item, without index or filter."""
-    ix = D.Index([i for i, t in items if t], [t for _, t in items if t], p)
+    """Every window of every document against every item, over tuples of words, without index or filter."""
+    grams = lambda t: [tuple(w[i : i + 3]) for w in [WORD.findall((t or "").lower())] for i in range(len(w) - 2)]
+    items = [(i, grams(t)) for i, t in items if grams(t)]
+    df = Counter(g for _, item in items for g in set(item))
+    other = round(16 * (math.log(1 + len(items)) + 1))
+    weight = {g: round(16 * (math.log((1 + len(items)) / (1 + n)) + 1)) for g, n in df.items()}
+
+    def bits(win):
+        s = np.array([hash_of(g) for g in win], np.uint64)
+        return np.packbits((2 * np.unpackbits(s.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(int) - 1).sum(0) >= 0, bitorder="little").view(np.uint64)[0]
+
     out = {}
     for doc, t in docs:
-        with np.errstate(over="ignore"):
-            s, _ = D.shingles(*words(*string_parts(pa.array([t or ""]))))
-        if not len(s):
-            continue
-        w = ix.weights(s)
-        for k, item in enumerate(ix.items):
-            n = min(len(item), len(s))
-            have = Counter(item.tolist())
+        s = grams(t)
+        for i, item in items if s else ():
+            n, have = min(len(item), len(s)), Counter(item)
             for a in range(len(s) - n + 1):
-                win = Counter(s[a : a + n].tolist())
-                if not win.keys() & have.keys():
-                    continue
-                f = np.packbits(ix.prefix(s[a : a + n], w[a : a + n])[-1] >= 0, bitorder="little").view(np.uint64)[0]
-                if np.bitwise_count(f ^ ix.prints[k]) > p.radius:
+                win = Counter(s[a : a + n])
+                if not win.keys() & have.keys() or np.bitwise_count(bits(s[a : a + n]) ^ bits(item)) > p.radius:
                     continue
-                weigh = dict(zip(np.concatenate((s, item)).tolist(), ix.weights(np.concatenate((s, item))).tolist()))
-                both = sum(weigh[x] * min(c, have[x]) for x, c in win.items() if x in have)
-                sim = both / (sum(weigh[x] * c for x, c in win.items()) + sum(weigh[x] * c for x, c in have.items()) - both)
-                key = (doc, int(ix.ids[k]))
-                if sim >= p.similarity and (key not in out or sim > out[key][1]):
-                    out[key] = (a, sim)
+                both = sum(weight[x] * min(c, have[x]) for x, c in win.items() if x in have)
+                sim = both / (sum((weight[x] if x in have else other) * c for x, c in win.items()) + sum(weight[x] * c for x, c in have.items()) - both)
+                if sim >= p.similarity and ((doc, i) not in out or sim > out[doc, i][1]):
+                    out[doc, i] = (a, sim)
     return {(d, i, a, round(s, 9)) for (d, i), (a, s) in out.items()}
 
 
+@lru_cache(None)
+def hash_of(gram):
+    with np.errstate(over="ignore"):
+        return D.shingles(*words(*string_parts(pa.array([" ".join(gram)]))))[0][0]
+
+
 def frames(spark):
     return spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, SCHEMA)
 
 
-@pytest.mark.parametrize("portion", [1 << 20, 400])
-def test_leaks_equal_brute_force(spark, portion):
+@pytest.mark.parametrize("every", [False, True])
+def test_leaks_equal_brute_force_whatever_the_portions(spark, every):
     docs, items = frames(spark)
-    p = D.LeakParams(portion_bytes=portion)
-    got = {(r.doc_id, r.item_id, r.first_word, round(r.similarity, 9)) for r in D.leaks(docs, items, p).collect()}
-    if portion > 1000:
-        assert got == brute([d for d in DOCS if d[0] != 90], ITEMS) | {(90, 2, 30_000, 1.0)}
-    assert {(i, i) for i in range(12)} <= {g[:2] for g in got} and len({(20 + i, i) for i in range(12) if i % 6 >= 3} & {g[:2] for g in got}) >= (4 if portion > 1000 else 1)
-    assert not {g[0] for g in got} & {*range(40, 60), 72, 80, 81, 82} and {(3, 50), (70, 4), (None, 1)} <= {g[:2] for g in got}
+    want = brute([d for d in DOCS if d[0] != 90], ITEMS, D.LeakParams(radius=64 if every else 15)) | {(90, 2, 30_000, 1.0)}
+    every_row = []
+    for portion in (1 << 20, 400):
+        p = D.LeakParams(portion_bytes=portion, every=every)
+        rows = D.leaks(docs, items, p).collect()
+        assert {(r.doc_id, r.item_id, r.first_word, round(r.similarity, 9)) for r in rows} == want
+        every_row.append(sorted(map(tuple, rows), key=str))
+    assert every_row[0] == every_row[1]
+    got = {g[:2] for g in want}
+    assert {(i, i) for i in range(12)} <= got and len({(20 + i, i) for i in range(12) if i % 6 >= 3} & got) >= (6 if every else 4)
+    assert not {g[0] for g in got} & {*range(40, 60), 72, 80, 81, 82} and {(3, 50), (70, 4), (None, 1)} <= got
+
+
+def test_items_without_id_and_other_scripts(spark):
+    a, b, c = text(1, 15), text(2, 15), "Один ДВА три — “Четыре” пять шесть Žena Élan sieben"
+    items = spark.createDataFrame([(None, a), (-1, b), (3, c)], SCHEMA)
+    docs = spark.createDataFrame([(1, a, "x", 1), (2, b, "y", 2), (3, "und: один два ТРИ «четыре» ПЯТЬ, шесть! žena élan Sieben", "z", 3)], "doc_id long, text string, item_id string, similarity int")
+    for portion in (1 << 20, 30):
+        p = D.LeakParams(every=True, portion_bytes=portion)
+        assert {(r.doc_id, r.item_id) for r in D.leaks(docs, items, p).collect()} == {(1, None), (2, -1), (3, 3)}
+        assert D.drop_leaks(docs, items, p).count() == 0 and D.drop_leaks(docs, items, p).columns == docs.columns
 
 
 def test_drop_leaks(spark):
