@@ -5,12 +5,12 @@ pages of its host each subtree occurs; subtrees on many pages are deleted, the t
 
 Many pages: `min_pages`, whatever the size of the host.
 
-Scale: three passes over the pages. The first adds up counts within each batch before the one grouped aggregation on (host, subtree). The number of templates of a host
+Scale: parsing takes time in proportion to the page, however broken it is. Three passes over the pages. The first adds up counts within each batch before the one grouped aggregation on (host, subtree). The number of templates of a host
 grows with it, so there is no list a host: the second pass joins the (page, subtree) rows with the templates, and the third joins each page with its own ones, by a hash of host and html. A
 table of bits of the templates' hashes, of fixed size, leaves most other rows out before they are shuffled; AQE splits hot subtrees and pages.
 
 Defined results: a null html has null text; an empty one has empty text. Pages whose URL has no host (null, relative, broken) count as one host with the name ''. Rows with equal page_id or url are
-pages of their own. Unclosed elements end with their parent; stray end tags are skipped; comments, scripts and styles have no text. Elements without text are never
+pages of their own. Unclosed elements end with their parent; stray end tags are skipped; tags that never end are text; comments, scripts and styles have no text. Elements without text are never
 templates. Empty tables give no rows. Columns besides url and html pass through.
 """
 
@@ -35,10 +35,10 @@ from .common import bounded_batches, free_name, materialise
 @dataclass(frozen=True)
 class TemplateParams:
     min_pages: int = 4
-    share: float = 0.02  # of a host's pages; decides nothing
 
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript".split())
@@ -49,10 +49,65 @@ _ENDS = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td"
 _P_ENDERS = _BLOCK - {"br", "body", "html", "td", "th", "tr", "title", "li", "dd", "dt"}
 
 
+class _Tags:
+    """Tags of a page in one pass. A tag ends at the first > outside quotes; one that never ends is text, as is one with an open quote."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")  # nothing ends beyond
+        self.seen = (-1, -1)  # from where a special character was looked for, and where it is
+        self.dead: set[int] = set()  # special characters from which no end is reached
+
+    def special(self, at: int) -> int:
+        a, b = self.seen
+        if not a <= at <= b:
+            m = _SPECIAL.search(self.source, at)
+            self.seen = (at, b := m.start() if m else len(self.source))
+        return b
+
+    def end(self, at: int) -> int:
+        """After the > that ends the tag whose name ends at `at`; -1: there is none. No character is passed twice in vain."""
+        source, passed = self.source, []
+        while at <= self.last:
+            k = self.special(at)
+            if k in self.dead or k >= len(source):
+                break
+            if source[k] == ">":
+                return k + 1
+            passed.append(k)
+            close = source.find(source[k], k + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(passed)
+        return -1
+
+    def __iter__(self):
+        """(start, end, 1 for an end tag, name or None, attributes); send() goes on from another place."""
+        source, at = self.source, 0
+        while m := _OPEN.search(source, at):
+            at = m.end()
+            if m[2]:
+                end = self.end(at) if at <= self.last else -1
+            elif source.startswith("<!--", m.start()):
+                end = source.find("-->", at)
+                end = len(source) if end < 0 else end + 3
+            else:
+                end = source.find(">", at) + 1 if at <= self.last else -1
+            if end < 0:
+                continue
+            go_on = yield m.start(), end, bool(m[1]), m[2], source[at:end - 1] if m[2] else ""
+            at = end
+            while go_on is not None:
+                at = go_on
+                go_on = yield None
+
+
 def parse(source: str) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, str, bool]]]:
-    """(elements: hash, start, end, characters of text), (pieces in order: start, end, tag or '' for text, silent)."""
+    """(elements: hash, start, end, characters of text), (pieces in order: start, end, tag, /tag or '' for text, silent)."""
     elements, pieces = [], []
     stack: list[list] = []  # tag, start, parts of the hash, characters of text, silent
+    opened: Counter = Counter()  # tags of the stack
     at = 0
 
     def text(a: int, b: int) -> None:
@@ -66,42 +121,43 @@ def parse(source: str) -> tuple[list[tuple[int, int, int, int]], list[tuple[int,
 
     def close(end: int) -> None:
         tag, start, parts, chars, _ = stack.pop()
+        opened[tag] -= 1
         h = xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"))
         elements.append((h - (1 << 63), start, end, chars))
-        pieces.append((end, end, tag, False))
+        pieces.append((end, end, f"/{tag}", False))
         if stack:
             stack[-1][2].append(f"\x1e{h:x}")
             stack[-1][3] += chars
 
-    for m in _TOKEN.finditer(source):
-        if m.start() < at:  # within a script or the like
-            continue
-        text(at, m.start())
-        at = m.end()
-        tag = m[2]
+    tags = iter(_Tags(source))
+    for start, end, ending, tag, rest in tags:
+        text(at, start)
+        at = end
         if tag is None:
             continue
         tag = tag.lower()
-        if m[1]:
-            if any(e[0] == tag for e in stack):
+        if ending:
+            if opened[tag]:
                 while stack[-1][0] != tag:
-                    close(m.start())
-                close(m.end())
+                    close(start)
+                close(end)
             continue
         while stack and (stack[-1][0] in _ENDS.get(tag, ()) or (stack[-1][0] == "p" and tag in _P_ENDERS)):
-            close(m.start())
-        attributes = sorted((k.lower(), v.strip("\"'")) for k, v in _ATTRIBUTE.findall(m[3]))
+            close(start)
+        attributes = sorted((k.lower(), v.strip("\"'")) for k, v in _ATTRIBUTE.findall(rest))
         silent = tag in _SILENT or bool(stack) and stack[-1][4]
-        stack.append([tag, m.start(), [tag, *(f"{k}={v}" for k, v in attributes)], 0, silent])
-        pieces.append((m.start(), m.start(), tag, silent))
-        if tag in _VOID or m[3].endswith("/"):
-            close(m.end())
+        stack.append([tag, start, [tag, *(f"{k}={v}" for k, v in attributes)], 0, silent])
+        opened[tag] += 1
+        pieces.append((start, start, tag, silent))
+        if tag in _VOID or rest.endswith("/"):
+            close(end)
         elif tag in _RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-            stop, after = (end.start(), end.end()) if end else (len(source), len(source))
+            stop = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+            stop, after = (stop.start(), stop.end()) if stop else (len(source), len(source))
             text(at, stop)
             at = after
             close(after)
+            tags.send(after)
     text(at, len(source))
     while stack:
         close(len(source))
@@ -122,12 +178,16 @@ def extract(source: str, templates: frozenset) -> tuple[str, int]:
             spans.append((a, -b))
     out, k = [], 0
     for a, b, tag, silent in pieces:
-        while k < len(spans) and spans[k][1] <= a and (b > a or spans[k][1] < a):
+        ends = tag.startswith("/")
+        # what begins where a template ends lies outside, as does what ends where it begins
+        while k < len(spans) and (spans[k][1] < a if ends else spans[k][1] <= a):
             k += 1
-        if k < len(spans) and spans[k][0] <= a and b <= spans[k][1]:
+        if k < len(spans) and (spans[k][0] < a if ends else spans[k][0] <= a):
+            if a == spans[k][0] and tag in _BLOCK:  # a deleted block still parts the lines around it
+                out.append("\n")
             continue
         if tag:
-            if tag in _BLOCK:
+            if tag.removeprefix("/") in _BLOCK:
                 out.append("\n")
         elif not silent:
             out.append(" ".join(re.sub(r"\s", " ", _html.unescape(source[a:b])).split(" ")))
