@@ -38,6 +38,11 @@ def shared_dir(spark) -> str:
         atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
+    if "://" not in base:  # a path of the default file system
+        p = spark._jvm.org.apache.hadoop.fs.Path(base)
+        base = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+        if base.startswith("file:/"):
+            base = "file:///" + base.removeprefix("file:").lstrip("/")
     return base.rstrip("/")
 
 

@@ -1,24 +1,29 @@
 """Operator 4: language-model scoring with an Elias-Fano n-gram trie.
 
-Word n-grams up to order 3 are counted over all documents and kept in a trie: level 1 is the vocabulary, a node's children on the next level
+Word n-grams up to `order` are counted over all documents and kept in a trie: level 1 is the vocabulary, a node's children on the next level
 lie side by side. Each level has Elias-Fano coded pointers (where each parent's children begin) and Elias-Fano coded ids, made
-monotone by adding the last value of the parent before; a child is found by a successor search from its parent's base. On level 3 a word's id is relative to its context: its position among the
-children of the middle word on level 2, a small number. Probabilities and back-off weights are 8-bit codes: eighths of a bit of -log2.
+monotone by adding the last value of the parent before; a child is found by a successor search from its parent's base. From level 3 on a word's id is relative to its context: its position among the
+children of the word before it on level 2, a small number. Probabilities and back-off weights are 8-bit codes: eighths of a bit of -log2.
 
 Smoothing: absolute discounting, interpolated: p(w | c) = max(n(c w) - D, 0) / n(c) + g(c) p(w | c without its first word), where g(c) is what is left of the
-mass. N-grams rarer than `min_count` are pruned and words rarer than `min_word` are unknown; no n-gram holds an unknown word, which is scored as
-one word with the mass of all rare words. A document's score is the sum of its words' codes, a whole number, so it doesn't depend on batches.
+mass. Every word is known (`min_word` 1); n-grams rarer than `min_count` aren't stored, so that what occurs again scores apart. A document's score is the sum of its words' codes, a whole number, so it
+doesn't depend on batches.
 
-Scale: counting is local sorting of 64-bit keys in each task, one shuffle of packed runs of keys, and merging by sorting: some 9 bytes a distinct n-gram, no
-row for each. Level 3 is counted with level 2 at hand, and holds only n-grams whose parts are there. The levels are written by one
-task that streams over the sorted, pruned n-grams in chunks (of the vocabulary and of each level above it holds the counts); all tasks map the files into memory, so workers share them. No count is capped; all grow with the corpus.
+Scale: counting is local sorting of 64-bit keys in each task, one shuffle of packed runs of keys to as many tasks as the number of words asks for (`part_tokens` each), and merging by sorting: some 9
+bytes a distinct n-gram, no row for each. Each level is cut between parents into segments of some `segment` n-grams: ranges of a sort by Spark, each with pointers and ids of its own, each written by its own task in
+bounded memory, as are the parts of the vocabulary. The driver sees a row a segment. Files are mapped into memory, so workers share them: where they lie in the shared folder if that is mounted (file:), otherwise from copies
+that Spark's file distribution brings to each node once. No count is capped; all grow with the corpus.
 
-Defined results: words are runs of letters and digits, case folded. A text without words (null, empty) has 0 words, 0 bits and null perplexity. Repeated rows count as often as they
-occur. An empty table gives no rows. Columns besides text pass through.
+Defined results: words are runs of letters, marks and numbers, in lower case. A text without words (null, empty) has 0 words, 0 bits and null perplexity. Repeated rows count as often as they
+occur. An empty table gives no rows. Columns besides text pass through. A level with so many nodes that parent and child don't fit in 63 bits is an error.
 """
 
 from __future__ import annotations
 
+import json
+import mmap
+import re
+import uuid
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,22 +31,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK, U64, blocks, bounded_batches, free_name, materialise, mix, new_path, string_parts, words
+from .common import BLOCK, U64, _delete, blocks, bounded_batches, discard, free_name, materialise, mix, new_path, string_parts, words
 
 UNIT = 8  # codes a bit
-LOW32 = (1 << 32) - 1
 CHUNK = 1 << 18
+#: Text bytes looked up at once: equal questions are asked once a block.
+WORK = 4 * BLOCK
 
 
 @dataclass(frozen=True)
 class LmParams:
-    min_word: int = 3
+    order: int = 3
+    min_word: int = 1
     min_count: int = 2
     discount: float = 0.75
+    segment: int = 1 << 22  # n-grams (or words) that one task writes
+    part_tokens: int = 1 << 21  # words of text for each task that merges counts
+    copy: bool | None = None  # map copies on each node; None: only where the shared folder isn't mounted
 
 
 def code(p: np.ndarray) -> np.ndarray:
@@ -55,29 +66,75 @@ def value(c: np.ndarray) -> np.ndarray:
 # == files
 
 
-class Files:
-    """Arrays below a folder. A file: folder is mapped into memory, any other is read."""
-
-    def __init__(self, uri: str):
-        self.uri = uri
-        self.fs, self.path = fs.FileSystem.from_uri(uri)
-
-    def writer(self, name: str):
-        self.fs.create_dir(self.path, recursive=True)
-        return self.fs.open_output_stream(f"{self.path}/{name}", compression=None)
-
-    def put(self, name: str, x: np.ndarray) -> None:
-        with self.writer(name) as f:
-            f.write(np.ascontiguousarray(x).tobytes())
-
-    def get(self, name: str, dtype) -> np.ndarray:
-        path = f"{self.path}/{name}"
-        if self.fs.get_file_info(path).size == 0:
-            return np.zeros(0, dtype)
-        if isinstance(self.fs, fs.LocalFileSystem):
-            return np.memmap(path, dtype, "r")
-        with self.fs.open_input_stream(path) as f:
-            return np.frombuffer(f.read(), dtype)
+def put(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """Several arrays in one file, each at a multiple of 8 bytes; it appears whole or not at all."""
+    where, path = fs.FileSystem.from_uri(folder)
+    where.create_dir(path, recursive=True)
+    index, at = {}, 0
+    for k, x in arrays.items():
+        index[k] = (x.dtype.str, len(x), at)
+        at += -(-x.nbytes // 8) * 8
+    head = json.dumps(index).encode()
+    head += b" " * (-len(head) % 8)
+    part = f"{path}/_{name}.{uuid.uuid4().hex}"
+    with where.open_output_stream(part, compression=None) as f:
+        f.write(len(head).to_bytes(8, "little") + head)
+        for x in arrays.values():
+            f.write(np.ascontiguousarray(x).tobytes() + bytes(-x.nbytes % 8))
+    where.move(part, f"{path}/{name}")
+
+
+def get(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The arrays of a file: mapped into memory if it is local or mounted, otherwise read."""
+    where, path = fs.FileSystem.from_uri(folder)
+    if isinstance(where, fs.LocalFileSystem):
+        with open(f"{path}/{name}", "rb") as f:
+            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    else:
+        with where.open_input_stream(f"{path}/{name}") as f:
+            data = f.read()
+    n = int.from_bytes(data[:8], "little")
+    return {k: np.frombuffer(data, dtype, size, 8 + n + at) for k, (dtype, size, at) in json.loads(data[8 : 8 + n]).items()}
+
+
+COPY = "copy:"
+
+
+def folder(model: str, name: str, train: bool = False) -> str:
+    """Of a part of the model: on a node, where its files are."""
+    uri = model.removeprefix(COPY)
+    full = f"{uri.rsplit('/', 1)[1]}-{name}"
+    if model.startswith(COPY) and not train:
+        return "file://" + SparkFiles.get(full)
+    return f"{uri}/{full}"
+
+
+class Pieces:
+    """An array in pieces; piece s begins with element starts[s]. load(s) gives it."""
+
+    def __init__(self, starts: np.ndarray, load):
+        self.starts, self.load = starts, lru_cache(None)(load)
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        if len(self.starts) == 1:
+            return self.load(0)[i]
+        out = None
+        for s, at in by_piece(self.starts, i):
+            x = self.load(s)[i[at] - self.starts[s]]
+            if out is None:
+                out = np.zeros(len(i), x.dtype)
+            out[at] = x
+        return self.load(0)[:0] if out is None else out
+
+
+def by_piece(starts: np.ndarray, i: np.ndarray):
+    """(piece, places in i) for the pieces in which any element lies."""
+    piece = np.searchsorted(starts, i, "right") - 1
+    order = np.argsort(piece, kind="stable")
+    piece = piece[order]
+    cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(i)), bool), piece[1:] != piece[:-1], np.ones(min(1, len(i)), bool))))
+    for a, b in zip(cut[:-1], cut[1:]):
+        yield int(piece[a]), order[a:b]
 
 
 # == Elias-Fano
@@ -88,75 +145,39 @@ for _b in range(256):
     _SELECT8[_b, : len(_at)] = _at
 
 
-class EfWriter:
-    """Streams a monotone sequence of n values below `universe` into files."""
-
-    def __init__(self, files: Files, name: str, n: int, universe: int):
-        self.files, self.name, self.n, self.universe = files, name, n, universe
-        self.bits = max(0, int(np.floor(np.log2(max(1, universe) / max(1, n)))))
-        self.low, self.high = files.writer(f"{name}.low"), files.writer(f"{name}.high")
-        self.rest, self.count = np.zeros(0, np.int64), 0
-        self.tail, self.tail_at = np.zeros(0, bool), 0  # bits of the last, unfinished word of the upper part
-        self.words = 0
-
-    def add(self, x: np.ndarray) -> None:
-        self.rest = np.concatenate((self.rest, x.astype(np.int64)))
-        if len(self.rest) >= CHUNK:
-            full = len(self.rest) // 64 * 64
-            self._write(self.rest[:full])
-            self.rest = self.rest[full:]
-
-    def _write(self, x: np.ndarray) -> None:
-        if self.bits and len(x):
-            b = (x[:, None] >> np.arange(self.bits)) & 1
-            self.low.write(np.packbits(b.astype(np.uint8).ravel(), bitorder="little").tobytes())
-        if len(x):
-            pos = (x >> self.bits) + np.arange(self.count, self.count + len(x))
-            buf = np.zeros(int(pos[-1]) + 1 - self.tail_at, bool)
-            buf[: len(self.tail)] = self.tail
-            buf[pos - self.tail_at] = True
-            whole = len(buf) // 64 * 64
-            self.high.write(np.packbits(buf[:whole], bitorder="little").tobytes())
-            self.tail, self.tail_at = buf[whole:], self.tail_at + whole
-        self.count += len(x)
-
-    def close(self) -> None:
-        self._write(self.rest)
-        assert self.count == self.n
-        self.low.write(bytes(-(-(self.n * self.bits) // 8) % 8 and 8 - (-(-(self.n * self.bits) // 8) % 8)) + bytes(16))
-        # a zero for each possible upper part, and two more, follow the last one
-        end = self.n + (self.universe >> self.bits) + 3
-        buf = np.zeros((end - self.tail_at + 63) // 64 * 64, bool)
-        buf[: len(self.tail)] = self.tail
-        self.high.write(np.packbits(buf, bitorder="little").tobytes())
-        self.low.close(), self.high.close()
-        high = self.files.get(f"{self.name}.high", U64)
-        # ones before each superblock of 8 words: where the next one or zero is far away
-        counts = np.concatenate([np.bitwise_count(np.asarray(high[i : i + CHUNK])).astype(np.int64) for i in range(0, len(high), CHUNK)])
-        self.files.put(f"{self.name}.sup", np.concatenate(([0], np.cumsum(counts)))[::8])
-        for kind in (0, 1):  # the word that holds each 64th zero or one, and how many lie before that word
-            before, at_all, rank_all = 0, [], []
-            for i in range(0, len(high), CHUNK):
-                w = np.asarray(high[i : i + CHUNK])
-                n = np.bitwise_count(w if kind else ~w).astype(np.int64)
-                upto = before + np.cumsum(n)
-                first = -(-before // 64) * 64
-                k = np.arange(first, upto[-1], 64)
-                at = np.searchsorted(upto, k, "right")
-                at_all.append(at + i), rank_all.append(upto[at] - n[at])
-                before = int(upto[-1])
-            self.files.put(f"{self.name}.at{kind}", np.concatenate(at_all).astype(np.int64))
-            self.files.put(f"{self.name}.rank{kind}", np.concatenate(rank_all).astype(np.int64))
-        self.files.put(f"{self.name}.meta", np.array([self.n, self.universe, self.bits], np.int64))
+def elias_fano(name: str, x: np.ndarray, universe: int) -> dict[str, np.ndarray]:
+    """The arrays of a monotone sequence of values below `universe`."""
+    n = len(x)
+    bits = max(0, int(np.floor(np.log2(max(1, universe) / max(1, n)))))
+    low = []
+    for i in range(0, n if bits else 0, 1 << 14):
+        b = (x[i : i + (1 << 14), None] >> np.arange(bits)) & 1
+        low.append(np.packbits(b.astype(np.uint8).ravel(), bitorder="little"))
+    low = np.concatenate([np.zeros(0, np.uint8), *low])
+    low = np.concatenate((low, np.zeros(-len(low) % 8 + 16, np.uint8))).view(U64)
+    # a zero for each possible upper part, and two more, follow the last one
+    bit = np.zeros((n + (universe >> bits) + 3 + 63) // 64 * 64, bool)
+    bit[(x >> bits) + np.arange(n)] = True
+    high = np.packbits(bit, bitorder="little").view(U64)
+    out = {"low": low, "high": high, "meta": np.array([n, universe, bits], np.int64)}
+    # ones before each superblock of 8 words: where the next one or zero is far away
+    ones = np.bitwise_count(high).astype(np.int64)
+    out["sup"] = np.concatenate(([0], np.cumsum(ones)))[::8]
+    for kind in (0, 1):  # the word that holds each 64th zero or one, and how many lie before that word
+        count = ones if kind else 64 - ones
+        upto = np.cumsum(count)
+        at = np.searchsorted(upto, np.arange(0, upto[-1], 64), "right")
+        out[f"at{kind}"], out[f"rank{kind}"] = at.astype(np.int64), upto[at] - count[at]
+    return {f"{name}.{k}": v for k, v in out.items()}
 
 
 class Ef:
-    def __init__(self, files: Files, name: str):
-        self.n, self.universe, self.bits = files.get(f"{name}.meta", np.int64).tolist()
-        self.low, self.high = files.get(f"{name}.low", U64), files.get(f"{name}.high", U64)
-        ones = np.array(files.get(f"{name}.sup", np.int64))
-        self.before = (np.arange(len(ones)) * 512 - ones, ones)
-        self.hints = [(files.get(f"{name}.at{k}", np.int64), files.get(f"{name}.rank{k}", np.int64)) for k in (0, 1)]
+    def __init__(self, arrays: dict[str, np.ndarray], name: str):
+        x = {k: arrays[f"{name}.{k}"] for k in ("meta", "low", "high", "sup", "at0", "rank0", "at1", "rank1")}
+        self.n, self.universe, self.bits = x["meta"].tolist()
+        self.low, self.high = x["low"], x["high"]
+        self.before = (np.arange(len(x["sup"])) * 512 - x["sup"], x["sup"])
+        self.hints = [(x[f"at{k}"], x[f"rank{k}"]) for k in (0, 1)]
 
     def select(self, k: np.ndarray, kind: int) -> np.ndarray:
         """Place of the k-th (from 0) one or zero."""
@@ -233,120 +254,169 @@ class Ef:
 
 
 class Level:
-    """A level below the vocabulary: children of each parent."""
-
-    def __init__(self, files: Files, k: int):
-        self.ptr, self.ids = Ef(files, f"ptr{k}"), Ef(files, f"ids{k}")
-        self.p = files.get(f"p{k}", np.uint8)
+    """A level below the vocabulary: children of each parent, in segments."""
+
+    def __init__(self, where: str, k: int):
+        meta = get(where, "meta")["starts"].reshape(-1, 2)
+        self.parents, self.nodes, self.size = meta[:-1, 0], meta[:-1, 1], int(meta[-1, 1])
+        self.segment = lru_cache(None)(lambda s: self._open(get(where, str(s))))
+        self.p = Pieces(self.nodes, lambda s: self.segment(s)[2])
+        self.g = Pieces(self.parents, lambda s: self.segment(s)[3])  # back-off weights of the parents
+
+    @staticmethod
+    def _open(x):
+        return Ef(x, "ptr"), Ef(x, "ids"), x["p"], x["g"]
+
+    def _each(self, parent: np.ndarray):
+        """(segment, its first parent and node, places of its parents)."""
+        if len(self.parents) == 1:
+            yield self.segment(0), 0, 0, slice(None)
+            return
+        for s, at in by_piece(self.parents, parent):
+            yield self.segment(s), int(self.parents[s]), int(self.nodes[s]), at
+
+    def starts(self, parent: np.ndarray) -> np.ndarray:
+        """First child of each parent."""
+        out = np.zeros(len(parent), np.int64)
+        for (ptr, *_), first, node, at in self._each(parent):
+            out[at] = ptr.get(parent[at] - first) + node
+        return out
 
-    def ranges(self, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, stop, base of the ids) of the parents' children."""
-        start, stop = self.ptr.get(parent), self.ptr.get(parent + 1)
-        base = np.zeros(len(parent), np.int64)
+    def find(self, parent: np.ndarray, child: np.ndarray) -> np.ndarray:
+        """Node of each parent's child; -1 where there is none. Equal questions are asked once, in order, so that the search goes through memory forwards."""
+        order = np.lexsort((child, parent))
+        p, c = parent[order], child[order]
+        new = np.ones(len(p), bool)
+        new[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
+        place = np.empty(len(p), np.int64)
+        place[order] = np.cumsum(new) - 1
+        p, c = p[new], c[new]
+        out = np.full(len(p), -1, np.int64)
+        for (ptr, ids, *_), first, node, at in self._each(p):
+            x = self._find(ptr, ids, p[at] - first, c[at])
+            out[at] = np.where(x >= 0, x + node, -1)
+        return out[place]
+
+    @staticmethod
+    def _find(ptr: Ef, ids: Ef, parent: np.ndarray, child: np.ndarray) -> np.ndarray:
+        # the parents come in order: each one's range once
+        head = np.ones(len(parent), bool)
+        head[1:] = parent[1:] != parent[:-1]
+        run = np.cumsum(head) - 1
+        kinds = parent[head]
+        start, stop = ptr.get(kinds), ptr.get(kinds + 1)
+        base = np.zeros(len(kinds), np.int64)
         i = np.flatnonzero((start > 0) & (start < stop))
-        base[i] = self.ids.get(start[i] - 1) + 1
-        return start, stop, base
-
-    def find(self, parent: np.ndarray, child: np.ndarray, ranges=None) -> np.ndarray:
-        start, stop, base = ranges or self.ranges(parent)
+        base[i] = ids.get(start[i] - 1) + 1
         out = np.full(len(child), -1, np.int64)
-        i = np.flatnonzero(start < stop)
-        x = base[i] + child[i]
-        ok = x < self.ids.universe
-        i, x = i[ok], x[ok]
-        if len(i):
-            out[i] = self.ids.find(x, start[i], stop[i])
+        x = base[run] + child
+        i = np.flatnonzero((start < stop)[run] & (x < ids.universe))
+        for a in range(0, len(i), 1 << 16):
+            j = i[a : a + (1 << 16)]
+            out[j] = ids.find(x[j], start[run[j]], stop[run[j]])
         return out
 
 
 class Lm:
-    def __init__(self, uri: str, order: int = 3):
-        files = Files(uri)
-        self.hashes, self.numbers = files.get("words.hash", U64), files.get("words.id", np.int64)
-        self.first = files.get("words.first", np.int64)
-        self.size = len(self.hashes)
-        self.p1 = files.get("p1", np.uint8)  # of each word, and last of the unknown one
-        self.g1 = files.get("g1", np.uint8) if order > 1 else None
-        self.level2 = Level(files, 2) if order > 1 else None
-        self.g2 = files.get("g2", np.uint8) if order > 2 else None
-        self.level3 = Level(files, 3) if order > 2 else None
+    """The levels up to `order` of a model."""
+
+    def __init__(self, model: str, order: int):
+        where = folder(model, "1")
+        meta = get(where, "meta")
+        self.size, self.unknown, self.bits, self.per = meta["meta"].tolist()
+        self.parts = set(meta["hashes"].tolist())  # segments that have words
+        self.hashes = lru_cache(None)(lambda s: [get(where, f"hash{s}")[k] for k in ("hash", "id", "first")])
+        self.p1 = Pieces(np.arange(0, max(1, self.size), self.per), lambda s: get(where, f"p{s}")["p"])
+        self.levels = {k: Level(folder(model, str(k)), k) for k in range(2, order + 1)}
 
     def ids(self, h: np.ndarray) -> np.ndarray:
-        """Number of each word; the number of words for unknown ones. The first 16 bits lead to a short run of sorted hashes."""
-        out = np.full(len(h), self.size, np.int64)
-        top = (h >> U64(48)).astype(np.int64)
-        lo, hi = self.first[top], self.first[top + 1]
-        end = hi.copy()
+        """Number of each word; the number of words for unknown ones. 16 bits of the hash lead to a short run of sorted hashes."""
+        order = np.argsort(h)
+        x = h[order]
+        new = np.ones(len(x), bool)
+        new[1:] = x[1:] != x[:-1]
+        place = np.empty(len(x), np.int64)
+        place[order] = np.cumsum(new) - 1
+        x = x[new]
+        out = np.full(len(x), self.size, np.int64)
+        cut = np.searchsorted(x, np.arange(1, 1 << self.bits, dtype=U64) << U64(64 - self.bits)) if self.bits else []
+        for s, (a, b) in enumerate(zip([0, *cut], [*cut, len(x)])):
+            if b > a and s in self.parts:
+                hashes, numbers, first = self.hashes(s)
+                at = np.searchsorted(hashes, x[a:b]) if len(hashes) < 1 << 12 else self._search(hashes, first, x[a:b])
+                i = np.flatnonzero(at < len(hashes))
+                i = i[hashes[at[i]] == x[a:b][i]]
+                out[a + i] = numbers[at[i]]
+        return out[place]
+
+    def _search(self, hashes: np.ndarray, first: np.ndarray, x: np.ndarray) -> np.ndarray:
+        top = ((x << U64(self.bits)) >> U64(48)).astype(np.int64)
+        lo, hi = first[top], first[top + 1]
         go = np.flatnonzero(lo < hi)
         while len(go):
             mid = (lo[go] + hi[go]) >> 1
-            less = self.hashes[mid] < h[go]
+            less = hashes[mid] < x[go]
             lo[go[less]] = mid[less] + 1
             hi[go[~less]] = mid[~less]
             go = go[lo[go] < hi[go]]
-        i = np.flatnonzero(lo < end)
-        i = i[self.hashes[lo[i]] == h[i]]
-        out[i] = self.numbers[lo[i]]
-        return out
+        return lo
 
-    def pairs(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each word and the next of its text: (node on level 2, or -1; start of the word's children)."""
+    def nodes(self, h: np.ndarray, first: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """(for each level k the node of the k words from each word on, or -1; of each word and the next, the position of the next among the children)."""
+        ids = self.ids(h)
         n = len(ids)
-        node, begin = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-        if n < 2:
-            return node, begin
-        ok = np.ones(n, bool)
-        ok[-1] = False
-        ok[first[1:][first[1:] > 0] - 1] = False
+        inner = np.ones(n, bool)  # the next word is of the same text
+        inner[first[1:][first[1:] > 0] - 1] = False
         known = ids < self.size
-        ok[:-1] &= known[1:]
-        i = np.flatnonzero(ok & known)
-        if not len(i):
-            return node, begin
-        # the ranges of a block's different words are looked up once
-        order = np.sort(ids[i])
-        kinds = order[np.concatenate(([True], order[1:] != order[:-1]))]
-        start, stop, base = self.level2.ranges(kinds)
-        at = np.zeros(self.size, np.int32)
-        at[kinds] = np.arange(len(kinds))
-        at = at[ids[i]]
-        begin[i] = start[at]
-        for a in range(0, len(i), 1 << 16):
-            s = slice(a, a + (1 << 16))
-            node[i[s]] = self.level2.find(ids[i[s]], ids[i[s] + 1], (start[at[s]], stop[at[s]], base[at[s]]))
-        return node, begin
-
-    def codes(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        levels, near = [np.where(known, ids, -1)], np.full(n, -1, np.int64)
+        for k in range(2, order + 1):
+            node = np.full(n, -1, np.int64)
+            if k == 2:
+                i = np.flatnonzero(inner[:-1] & known[:-1] & known[1:]) if n else np.zeros(0, np.int64)
+                child = ids[i + 1]
+            else:
+                above = levels[-1]
+                i = np.flatnonzero((above[:-1] >= 0) & (above[1:] >= 0)) if n else np.zeros(0, np.int64)
+                child = near[i + k - 2]
+            if len(i):
+                node[i] = self.levels[k].find(levels[-1][i], child)
+            if k == 2:
+                j = np.flatnonzero(node >= 0)
+                near[j] = node[j] - self._begins(ids[j])
+            levels.append(node)
+        return levels, near
+
+    def _begins(self, ids: np.ndarray) -> np.ndarray:
+        kinds, at = np.unique(ids, return_inverse=True)
+        return self.levels[2].starts(kinds)[at]
+
+    def codes(self, h: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
         """Code of each word of the texts."""
-        ids = self.ids(h)
-        out = self.p1[ids].astype(np.int64)
-        node, begin = self.pairs(ids, first)
-        inner = np.ones(len(ids), bool)
-        inner[first[:-1][first[:-1] < len(ids)]] = False
-        i = np.flatnonzero(inner)
-        if not len(i):
-            return out
-        pair = node[i - 1]
-        back = np.where(ids[i - 1] < self.size, self.g1[np.minimum(ids[i - 1], self.size - 1)] if self.size else 0, 0)
-        out[i] = np.where(pair >= 0, self.level2.p[np.maximum(pair, 0)] if len(self.level2.p) else 0, out[i] + back)
-        # third words: those whose two words before are a node
-        j = i[(i >= 2)]
-        j = j[inner[j - 1]]
-        j = j[node[j - 2] >= 0]
-        if len(j):
-            context, last = node[j - 2], node[j - 1]
-            found = np.full(len(j), -1, np.int64)
-            k = np.flatnonzero(last >= 0)
-            for a in range(0, len(k), 1 << 16):
-                s = k[a : a + (1 << 16)]
-                found[s] = self.level3.find(context[s], last[s] - begin[j[s] - 1])
-            out[j] = np.where(found >= 0, self.level3.p[np.maximum(found, 0)] if len(self.level3.p) else 0, out[j] + self.g2[context])
+        levels, _ = self.nodes(h, first, order)
+        i = np.flatnonzero(levels[0] >= 0)
+        out = np.full(len(h), self.unknown, np.int64)
+        if len(i):
+            out[i] = self.p1[levels[0][i]]
+        begins = np.repeat(first[:-1], np.diff(first))
+        at = np.arange(len(h))
+        for k in range(2, order + 1):
+            # words whose k - 1 words before are a node
+            i = at[at - begins >= k - 1]
+            i = i[levels[k - 2][i - k + 1] >= 0]
+            if not len(i):
+                break
+            node = levels[k - 1][i - k + 1]
+            hit = node >= 0
+            out[i[hit]] = self.levels[k].p[node[hit]]
+            miss = i[~hit]
+            if len(miss):
+                out[miss] += self.levels[k].g[levels[k - 2][miss - k + 1]]
         return out
 
 
 @lru_cache(2)
-def _model(uri: str, order: int) -> Lm:
-    return Lm(uri, order)
+def _model(model: str, order: int) -> Lm:
+    return Lm(model, order)
 
 
 # == counting
@@ -395,17 +465,16 @@ def _merge(least: int):
     return run
 
 
-def _count(docs: DataFrame, keys_of, least: int, name: str) -> DataFrame:
+def _count(docs: DataFrame, keys_of, least: int, parts: int, name: str) -> DataFrame:
     """(key, n) of the keys that keys_of gives for blocks of words, at least `least` times; key null: how many others there were."""
     bounded_batches(docs.sparkSession)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         held, size = [], 0
         with np.errstate(over="ignore"):
             for batch in batches:
                 raw, off = string_parts(batch.column(0))
-                for _, r, o in blocks(raw, off, 2 * BLOCK):
+                for _, r, o in blocks(raw, off, WORK):
                     x = keys_of(*words(r, o))
                     held.append(x)
                     size += len(x)
@@ -415,160 +484,193 @@ def _count(docs: DataFrame, keys_of, least: int, name: str) -> DataFrame:
             if size:
                 yield _emit(np.concatenate(held), parts)
 
-    x = docs.select("text").mapInArrow(run, _COUNTS).repartition(parts, "part").mapInArrow(_merge(least), "key long, n long")
+    x = docs.select("text").mapInArrow(run, _COUNTS).repartitionById(parts, "part").mapInArrow(_merge(least), "key long, n long")
     return materialise(x, name)
 
 
-def _sorted_batches(uri: str):
-    """Batches of a table that Spark wrote in order."""
-    where, path = fs.FileSystem.from_uri(uri)
-    for name in sorted(f.path for f in where.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")):
-        with where.open_input_file(name) as f:
-            for b in pq.ParquetFile(f).iter_batches(CHUNK, columns=["key", "n"]):
-                yield b.column(0).to_numpy(), b.column(1).to_numpy()
-
-
-def _once(spark, job) -> None:
-    """Runs job as one task on an executor."""
+def _tasks(df: DataFrame, job) -> list[int]:
+    """job(rows as arrays by column) once for each partition with rows, for the file it writes; what the jobs return: a number each."""
 
     def run(batches):
-        for _ in batches:
+        held = [b for b in batches if b.num_rows]
+        out = []
+        if held:
+            x = pa.Table.from_batches(held)
             with np.errstate(over="ignore"):
-                job()
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["done"])
+                out.append(job({k: x.column(k).to_numpy() for k in x.column_names}))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["done"])
+
+    return [r.done for r in df.mapInArrow(run, "done long").collect()]
 
-    spark.range(1, numPartitions=1).mapInArrow(run, "done long").collect()
 
+def _files(spark, path: str, least=None) -> list:
+    """(file, rows, least value of a column) of a sorted table, in order: a row for each task that wrote it."""
+    x = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"), F.min(F.lit(0) if least is None else least).alias("least"))
+    return sorted(x.collect(), key=lambda r: int(re.search(r"part-(\d+)", r.file.rsplit("/", 1)[1])[1]))
 
-def _write_words(uri: str, source: str, rare: int, p: LmParams):
-    def job():
-        files = Files(uri)
-        parts = list(_sorted_batches(source))
-        h = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in parts)]).view(U64)
-        n = np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)])
+
+def _write_words(model: str, counted: DataFrame, p: LmParams) -> int:
+    """The vocabulary: number by frequency, in segments by hash and by number; its size."""
+    spark = counted.sparkSession
+    rare = int(counted.where("key IS NULL").agg(F.sum("n")).first()[0] or 0)
+    path = new_path(spark, "lm-vocabulary")
+    counted.where("key IS NOT NULL").orderBy(F.desc("n"), "key").write.parquet(path)
+    files = _files(spark, path)
+    starts = np.concatenate(([0], np.cumsum([r.n for r in files]))).astype(int).tolist()
+    first = spark.createDataFrame([(r.file, a) for r, a in zip(files, starts)], "file string, start long")
+    x = spark.read.schema("key long, n long").parquet(path).select("key", "n", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    # a row for each file: bounded by the number of tasks
+    x = materialise(x.join(F.broadcast(first), "file").select("key", "n", (F.col("start") + F.col("row")).alias("number")), "lm-words-numbered")
+    size, per = starts[-1], p.segment
+    total = int(x.agg(F.sum("n")).first()[0] or 0) + rare + 1
+    parts = -(-size // per) or 1
+    bits = (parts - 1).bit_length()
+    where, train = folder(model, "1", True), folder(model, "1t", True)
+
+    def by_number(c):
+        s = int(c["number"][0]) // per
+        put(where, f"p{s}", {"p": code(c["n"] / total)})
+        put(train, str(s), {"n": c["n"]})
+        return s
+
+    def by_hash(c):
+        h = c["key"].view(U64)
         order = np.argsort(h)
-        number = np.empty(len(h), np.int64)
-        number[np.lexsort((h, -n))] = np.arange(len(h))  # frequent words have small numbers
-        files.put("words.hash", h[order]), files.put("words.id", number[order])
-        files.put("words.first", np.searchsorted(h[order] >> U64(48), np.arange((1 << 16) + 1, dtype=U64)))
-        by_number = np.empty(len(h), np.int64)
-        by_number[number] = n
-        total = int(n.sum()) + rare + 1
-        files.put("n1", by_number)
-        files.put("p1", code(np.append(by_number, rare + 1) / total))
-
-    return job
-
-
-def _write_level(uri: str, source: str, k: int, size: int, universe: int, p: LmParams):
-    """Level k from its sorted (parent << 32 | id, n): pointers, ids, probabilities, and the parents' back-off weights."""
-
-    def job():
-        files = Files(uri)
-        above = files.get(f"n{k - 1}", np.int64)
-        ids, ptr = EfWriter(files, f"ids{k}", size, universe), EfWriter(files, f"ptr{k}", len(above) + 1, size + 1)
-        left = np.ones(len(above))  # mass that each parent leaves to the shorter context
-        lower_p = files.get(f"p{k - 1}", np.uint8)
-        lower = Level(files, k - 1) if k > 2 else None
-        last_word = files.get(f"w{k - 1}", np.int32) if k > 2 else None
-        done, last, base_now = 0, -1, 0
-        with files.writer(f"n{k}") as out_n, files.writer(f"w{k}") as out_w, files.writer(f"share{k}") as out_s:
-            parent_before, at = -1, 0
-            for key, n in _sorted_batches(source):
-                parent, child = key >> 32, key & LOW32
-                # value: id plus the last value of the parent before, plus one
-                new = np.concatenate(([parent[0] != parent_before], parent[1:] != parent[:-1]))
-                first = np.flatnonzero(new)
-                begin = first if new[0] else np.concatenate(([0], first))
-                ends = np.append(begin[1:], len(key)) - 1
-                base = (last + 1 if new[0] else base_now) + np.concatenate(([0], np.cumsum(child[ends[:-1]] + 1)))
-                run = np.cumsum(new) - int(new[0])
-                x = base[run] + child
-                ids.add(x)
-                base_now, last = int(base[-1]), int(x[-1])
-                parent_before = int(parent[-1])
-                starts = first + at
-                gaps = np.diff(np.concatenate(([done - 1], parent[first])))
-                ptr.add(np.repeat(starts, gaps))
-                done += int(gaps.sum())
-                at += len(key)
-                share = np.maximum(n - p.discount, 0) / above[parent]
-                np.subtract.at(left, parent, share)
-                if lower is None:
-                    word = child
-                else:
-                    # the id is relative to the children of the parent's last word
-                    word = lower.ptr.get(last_word[parent].astype(np.int64)) + child
-                out_n.write(n.astype(np.int64).tobytes()), out_w.write((word if lower is None else np.zeros(len(word))).astype(np.int32).tobytes())
-                out_s.write(np.stack([share, word.astype(np.float64), parent.astype(np.float64)], 1).tobytes())
-            ptr.add(np.full(len(above) + 1 - done, at))
-        ids.close(), ptr.close()
-        g = code(np.clip(left, 0, 1))
-        files.put(f"g{k - 1}", g)
-        shares = files.get(f"share{k}", np.float64).reshape(-1, 3)
-        with files.writer(f"p{k}") as out:
-            for i in range(0, len(shares), CHUNK):
-                s, word, parent = np.asarray(shares[i : i + CHUNK]).T
-                out.write(code(s + value(g[parent.astype(np.int64)]) * value(lower_p[word.astype(np.int64)])).tobytes())
-        files.fs.delete_file(f"{files.path}/share{k}")
-
-    return job
+        h = h[order]
+        s = int(h[0] >> U64(64 - bits)) if bits else 0
+        put(where, f"hash{s}", {"hash": h, "id": c["number"][order], "first": np.searchsorted((h << U64(bits)) >> U64(48), np.arange((1 << 16) + 1, dtype=U64))})
+        return s
+
+    part = x.select("number", "n", F.expr(f"CAST(number div {per} AS INT)").alias("part"))
+    _tasks(part.repartitionById(parts, "part").sortWithinPartitions("number"), by_number)
+    part = x.select("key", "number", (F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)).alias("part"))
+    have = _tasks(part.repartitionById(1 << bits, "part"), by_hash)
+    unknown = int(code(np.array([(rare + 1) / total]))[0])
+    put(where, "meta", {"meta": np.array([size, unknown, bits, per], np.int64), "hashes": np.array(sorted(have), np.int64)})
+    _delete(spark, path), discard(x)
+    return size
+
+
+def _write_level(model: str, counted: DataFrame, k: int, bits: int, above: int, p: LmParams) -> int:
+    """Level k from its (parent << bits | id, n): pointers, ids, probabilities, and the parents' back-off weights, in segments; its size."""
+    spark = counted.sparkSession
+    n = counted.count()
+    if (max(n, above)).bit_length() + bits > 63:
+        raise ValueError(f"level {k} has {n} n-grams: with {bits} bits for a word they don't fit in 63 bits")
+    path = new_path(spark, f"lm-level{k}")
+    x = counted.withColumn("parent", F.shiftright("key", bits))
+    x.repartitionByRange(-(-n // p.segment) or 1, "parent").sortWithinPartitions("key").select("key", "n", "parent").write.parquet(path)
+    files = [f for f in _files(spark, path, F.col("parent")) if f.n] if n else []
+    nodes = np.concatenate(([0], np.cumsum([f.n for f in files]))).astype(np.int64)
+    # a segment's parents go from its first one to the next segment's first one
+    parents = np.array([0, *(f.least for f in files[1:]), above], np.int64)
+    where, train = folder(model, str(k), True), folder(model, f"{k}t", True)
+    if not files:
+        nodes = np.zeros(2, np.int64)
+    put(where, "meta", {"starts": np.stack([parents, nodes], 1).ravel()})
+    per = p.segment
+
+    def job(s: int) -> int:
+        if files:
+            source, name = fs.FileSystem.from_uri(files[s].file)
+            with source.open_input_file(name) as f:
+                t = pq.read_table(f, columns=["key", "n"])
+            key, count = t.column(0).to_numpy(), t.column(1).to_numpy()
+        else:
+            key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        first, stop = int(parents[s]), int(parents[s + 1])
+        up = get(folder(model, f"{k - 1}t", True), "meta")["starts"].reshape(-1, 2)[:-1, 1] if k > 2 else np.arange(0, max(1, above), per)
+        upper = Pieces(up, lambda i: get(folder(model, f"{k - 1}t", True), str(i))["n"])
+        parent, child = (key >> bits) - first, key & ((1 << bits) - 1)
+        # value: id plus the last value of the parent before, plus one
+        new = np.ones(len(key), bool)
+        new[1:] = parent[1:] != parent[:-1]
+        head = np.flatnonzero(new)
+        ends = np.append(head[1:], len(key))[: len(head)] - 1
+        base = np.concatenate(([0], np.cumsum(child[ends] + 1)))
+        values = base[np.cumsum(new) - 1] + child
+        held = np.bincount(parent, minlength=stop - first)
+        share = np.maximum(count - p.discount, 0) / upper[key >> bits] if len(key) else np.zeros(0)
+        g = code(np.clip(1 - np.bincount(parent, share, minlength=stop - first), 0, 1))
+        if k == 2:
+            suffix = child
+            lower = _model(model, 1).p1
+        else:
+            last = Pieces(up, lambda i: get(folder(model, f"{k - 1}t", True), str(i))["suffix"])[key >> bits] if len(key) else child
+            below = _model(model, k - 1).levels[k - 1]
+            suffix = (below.starts(last) + child if k == 3 else below.find(last, child)) if len(key) else child
+            lower = below.p
+        out = code(share + value(g[parent]) * value(lower[suffix])) if len(key) else np.zeros(0, np.uint8)
+        put(where, str(s), {**elias_fano("ptr", np.concatenate(([0], np.cumsum(held))), len(key) + 1), **elias_fano("ids", values, int(base[-1])), "p": out, "g": g})
+        put(train, str(s), {"n": count, "suffix": suffix})
+        return s
+
+    n_tasks = len(nodes) - 1
+    _tasks(spark.range(0, n_tasks, 1, n_tasks), lambda c: [job(s) for s in c["id"].tolist()][0])
+    put(train, "meta", {"starts": np.stack([parents, nodes], 1).ravel()})
+    _delete(spark, path)
+    return n
 
 
 def train(docs: DataFrame, params: LmParams = LmParams()) -> str:
-    """Counts all documents and writes the trie; its folder."""
+    """Counts all documents and writes the trie; its handle."""
     spark = docs.sparkSession
     uri = new_path(spark, "lm")
-    counted = _count(docs, lambda h, first: h, params.min_word, "lm-words")
-    kept = new_path(spark, "lm-vocabulary")
-    counted.where("key IS NOT NULL").write.parquet(kept)
-    rare = int(counted.where("key IS NULL").agg(F.sum("n")).first()[0] or 0)
-    _once(spark, _write_words(uri, kept, rare, params))
-
-    def level(k: int, keys_of) -> None:
-        counted = _count(docs, keys_of, params.min_count, f"lm-grams{k}").where("key IS NOT NULL")
-        path = new_path(spark, f"lm-level{k}")
-        counted.orderBy("key").write.parquet(path)
-        table = spark.read.schema(counted.schema).parquet(path)
-        parent = table.groupBy(F.shiftright("key", 32).alias("parent")).agg(F.max(F.col("key").bitwiseAND(F.lit(LOW32))).alias("most"), F.count("*").alias("n"))
-        size, universe = parent.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("most") + 1), F.lit(0))).first()
-        _once(spark, _write_level(uri, path, k, int(size), int(universe), params))
-
-    def two(h, first):
-        ids = _model(uri, 1).ids(h)
-        ok = np.ones(len(ids), bool)
-        if len(ids):
-            ok[first[1:][first[1:] > 0] - 1] = False
-        known = ids < _model(uri, 1).size
-        i = np.flatnonzero(ok[:-1] & known[:-1] & known[1:]) if len(ids) > 1 else np.zeros(0, np.int64)
-        return (ids[i].astype(U64) << U64(32)) | ids[np.minimum(i + 1, max(0, len(ids) - 1))].astype(U64) if len(i) else np.zeros(0, U64)
-
-    def three(h, first):
-        lm = _model(uri, 2)
-        ids = lm.ids(h)
-        node, begin = lm.pairs(ids, first)
-        i = np.flatnonzero((node[:-1] >= 0) & (node[1:] >= 0)) if len(ids) > 1 else np.zeros(0, np.int64)
-        return (node[i].astype(U64) << U64(32)) | (node[i + 1] - begin[i + 1]).astype(U64) if len(i) else np.zeros(0, U64)
-
-    level(2, two)
-    level(3, three)
-    return uri
+    copy = params.copy if params.copy is not None else not uri.startswith("file:")
+    model = (COPY if copy else "") + uri
+
+    def spread(k: int) -> None:
+        if copy:  # to each node once, when first asked for
+            spark.sparkContext.addFile(folder(model, str(k), True), recursive=True)
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = _count(docs, lambda h, first: h, params.min_word, least, "lm-words")
+    tokens = int(counted.agg(F.sum("n")).first()[0] or 0)
+    parts = max(least, tokens // params.part_tokens)
+    above = _write_words(model, counted, params)
+    bits = max(1, above.bit_length())
+    discard(counted)
+    spread(1)
+
+    def keys(k: int):
+        def of(h, first):
+            levels, near = _model(model, k - 1).nodes(h, first, k - 1)
+            node = levels[-1]
+            if not len(node):
+                return np.zeros(0, U64)
+            ok = (node[:-1] >= 0) & (node[1:] >= 0)
+            if k == 2:
+                ok[first[1:-1][(first[1:-1] > 0) & (first[1:-1] < len(node))] - 1] = False
+            i = np.flatnonzero(ok)
+            child = node[i + 1] if k == 2 else near[i + k - 2]
+            return node[i].astype(U64) << U64(bits) | child.astype(U64)
+
+        return of
+
+    for k in range(2, params.order + 1):
+        counted = _count(docs, keys(k), params.min_count, parts, f"lm-grams{k}")
+        above = _write_level(model, counted.where("key IS NOT NULL"), k, bits, above, params)
+        discard(counted)
+        spread(k)
+    for k in range(1, params.order + 1):
+        _delete(spark, folder(model, f"{k}t", True))
+    return model
 
 
 _SCORE = T.StructType([T.StructField("words", T.LongType()), T.StructField("code", T.LongType())])
 
 
-def score(docs: DataFrame, uri: str) -> DataFrame:
+def score(docs: DataFrame, model: str, order: int = LmParams().order) -> DataFrame:
     """docs, with n_words, bits (-log2 of the probability of its words) and perplexity, to 4 places (underscores in front where docs has such columns)."""
     names = [free_name(docs.columns, n) for n in ("n_words", "bits", "perplexity")]
 
     def run(text: pa.Array) -> pa.Array:
-        lm = _model(uri, 3)
+        lm = _model(model, order)
         n, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         with np.errstate(over="ignore"):
-            for _, r, o in blocks(*string_parts(text)):
+            for _, r, o in blocks(*string_parts(text), WORK):
                 h, first = words(r, o)
-                c = np.concatenate(([0], np.cumsum(lm.codes(h, first))))
+                c = np.concatenate(([0], np.cumsum(lm.codes(h, first, order))))
                 n.append(np.diff(first)), total.append(c[first[1:]] - c[first[:-1]])
         return pa.StructArray.from_arrays([pa.array(np.concatenate(n)), pa.array(np.concatenate(total))], names=["words", "code"])
 
