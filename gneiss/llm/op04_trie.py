@@ -284,7 +284,8 @@ class Level:
 
     def find(self, parent: np.ndarray, child: np.ndarray) -> np.ndarray:
         """Node of each parent's child; -1 where there is none. Equal questions are asked once, in order, so that the search goes through memory forwards."""
-        order = np.lexsort((child, parent))
+        wide = int(child.max()) + 1 if len(child) else 1
+        order = np.argsort(parent * wide + child) if len(child) and (int(parent.max()) + 1) * wide < 1 << 63 else np.lexsort((child, parent))
         p, c = parent[order], child[order]
         new = np.ones(len(p), bool)
         new[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
