@@ -4,13 +4,13 @@ Each document becomes a vector of transformed text statistics. For each (lang, s
 are found by concentration steps from two deterministic starts; documents whose squared Mahalanobis distance lies above
 a chi-square quantile are rejected.
 
-Scale: one pass over the texts gives eight small integers per document; all else works on these. A concentration step is
-two grouped aggregations (a histogram of distances, then exact integer sums of values and products of the h nearest), so a
-hot group is spread over all tasks by partial aggregation and nothing is collected on the driver. Sums of fixed-point
-integers don't depend on the order of rows, so a task that runs again gives the same estimates.
+Scale: one pass over the texts gives eight small integers per document, kept with a hash of the text; all else works on these, and the texts aren't read by Python again. A concentration step is
+two grouped aggregations (a histogram of distances, then exact integer sums of values and products of the h nearest). Each Arrow batch gives partial counts and sums a group, so a
+hot group is spread over all tasks and nothing is collected on the driver but whether all groups have settled. Sums of fixed-point
+integers don't depend on the order of rows, so a task that runs again gives the same estimates. The h nearest are cut at a 64th of an octave of distance: the bin of the h-th stays whole.
 
 Defined results: a null or empty text has no words and no vector: it is rejected. Null lang or source form groups of their
-own. Groups with fewer than `min_group` vectors are estimated together with the other small groups of their language; if even
+own. Rows of equal language, source and text share one verdict. Groups with fewer than `min_group` vectors are estimated together with the other small groups of their language; if even
 these are fewer, all their documents are kept (distance null). Repeated rows count and are returned as often as they occur.
 An empty table gives no rows. Columns besides text, lang and source pass through untouched, whatever their names.
 """
@@ -22,11 +22,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, bounded_batches, code_points, fold, free_name, materialise, span_hash, string_parts, word_spans
+from .common import blocks, bounded_batches, code_points, discard, fold, free_name, materialise, span_hash, string_parts, word_spans
 
 #: Fixed-point unit of the transformed statistics.
 ONE = 1024
@@ -44,7 +45,8 @@ class McdParams:
     support: float = 0.75  # share of a group's vectors on which the determinant is minimised
     quantile: float = 0.9999  # of chi-square with P degrees of freedom; beyond it a document is rejected
     min_group: int = 64
-    steps: int = 6  # concentration steps from each start
+    steps: int = 30  # concentration steps at most; they end when no group's log-determinant falls by more than `settled`
+    settled: float = 0.001
 
 
 _KIND = np.zeros((256, 5), np.int64)  # letters' upper case, digits, white space, symbols, characters
@@ -131,29 +133,30 @@ def consistency(support: float, k: int) -> float:
     return support / chi2_cdf(chi2_quantile(support, k), k + 2) if support < 1 else 1.0
 
 
-_V = [f"v{i}" for i in range(P)]
 _PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+SIZE = P + len(_PAIRS)  # of a model: location, and the inverse of the scatter's triangular root
 _MODEL = T.StructType([
     T.StructField("gl", T.StringType()), T.StructField("gs", T.StringType()), T.StructField("start", T.IntegerType()),
-    T.StructField("mu", T.ArrayType(T.DoubleType())), T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("logdet", T.DoubleType()),
+    T.StructField("m", T.ArrayType(T.DoubleType())), T.StructField("logdet", T.DoubleType()),
 ])
 
 
 def _row(gl, gs, start, mu, scatter) -> tuple:
     low = np.linalg.cholesky(scatter)
     inv = np.linalg.inv(low)
-    return gl, gs, int(start), (mu / ONE).tolist(), [float(inv[i, j]) for i, j in _PAIRS], float(2 * np.log(np.diag(low)).sum())
+    return gl, gs, int(start), [*(mu / ONE).tolist(), *(float(inv[i, j]) for i, j in _PAIRS)], float(2 * np.log(np.diag(low)).sum())
 
 
 def _from_sums(batches):
-    """Location and scatter of each group from exact sums, with the floor on the spread."""
+    """Location and scatter of each group from exact sums (number, values, products), with the floor on the spread."""
     for pdf in batches:
         rows = []
         for r in pdf.itertuples(index=False):
-            n, mu = r.n, np.array(r.s, float) / r.n
+            n, x = float(r.x[0]), np.array(r.x[1:], float)
+            mu = x[:P] / n
             c = np.zeros((P, P))
-            for (i, j), x in zip(_PAIRS, r.c):
-                c[i, j] = c[j, i] = x / n - mu[i] * mu[j]
+            for (i, j), v in zip(_PAIRS, x[P:]):
+                c[i, j] = c[j, i] = v / n - mu[i] * mu[j]
             rows.append(_row(r.gl, r.gs, r.start, mu, c / ONE**2 + np.diag(FLOOR**2)))
         yield pd.DataFrame(rows, columns=_MODEL.names)
 
@@ -167,7 +170,7 @@ def _starts(batches):
             sd = np.sqrt(sd**2 + FLOOR**2)
             rows.append(_row(r.gl, r.gs, 0, mu, np.diag(sd**2)))
             c = np.zeros((P, P))
-            for (i, j), x in zip(_PAIRS, r.c):
+            for (i, j), x in zip(_PAIRS, r.x):
                 c[i, j] = c[j, i] = x / r.n
             d = np.sqrt(np.maximum(np.diag(c), 1e-9))
             cor = np.where(np.eye(P) > 0, 1.0, np.sin(np.pi / 2 * np.clip(c / np.outer(d, d), -1, 1)) * 0.9)
@@ -177,10 +180,83 @@ def _starts(batches):
         yield pd.DataFrame(rows, columns=_MODEL.names)
 
 
-def _distance(v, mu, w):
-    """Squared Mahalanobis distance as one expression over columns."""
-    y = [sum((w[k] * (v[j] / F.lit(float(ONE)) - mu[j]) for k, (r, j) in enumerate(_PAIRS) if r == i), F.lit(0.0)) for i in range(P)]
-    return sum((t * t for t in y), F.lit(0.0))
+def distances(v: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Squared Mahalanobis distance of each row of fixed-point vectors from its model."""
+    x = v / ONE - m[:, :P]
+    out = np.zeros(len(v))
+    for i in range(P):
+        y = np.zeros(len(v))
+        for k, (r, j) in enumerate(_PAIRS):
+            if r == i:
+                y += m[:, P + k] * x[:, j]
+        out += y * y
+    return out
+
+
+def _matrix(column, width: int) -> np.ndarray:
+    """A list column without nulls, of lists of equal length."""
+    return column.flatten().to_numpy().reshape(-1, width)
+
+
+def _per_group(batch, x: np.ndarray):
+    """Sums of the rows of x by the batch's groups (columns gl and gs): (index of a row of each group, sums). A batch with many groups costs one sort."""
+    code = np.zeros(batch.num_rows, np.int64)
+    for k in (0, 1):
+        d = pa.compute.dictionary_encode(batch.column(k))
+        code = code * len(d.dictionary) + d.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    head = np.flatnonzero(np.concatenate(([True], code[order][1:] != code[order][:-1])))
+    return order[head], np.add.reduceat(x[order], head, axis=0)
+
+
+def _bins(batches):
+    """(gl, gs, start, bin, n): how many vectors lie at each distance from each start's model."""
+    for batch in batches:
+        if batch.num_rows:
+            v, m = _matrix(batch.column(2), P), _matrix(batch.column(3), 2 * SIZE)
+            for start in (0, 1):
+                b = np.floor(np.log2(distances(v, m[:, start * SIZE : (start + 1) * SIZE]) + 1e-6) * BINS_PER_OCTAVE).astype(np.int64)
+                kinds = pa.Table.from_arrays([batch.column(0), batch.column(1), pa.array(b)], names=["gl", "gs", "bin"]).group_by(["gl", "gs", "bin"]).aggregate([([], "count_all")])
+                kinds = kinds.combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays(
+                    [kinds.column("gl"), kinds.column("gs"), pa.array(np.full(kinds.num_rows, start, np.int32)), kinds.column("bin"), kinds.column("count_all")], names=["gl", "gs", "start", "bin", "n"]
+                )
+
+
+def _moments(batches):
+    """(gl, gs, start, x): number and exact sums of the values and products of the vectors up to each start's last bin."""
+    for batch in batches:
+        if batch.num_rows:
+            v, m, last = _matrix(batch.column(2), P), _matrix(batch.column(3), 2 * SIZE), _matrix(batch.column(4), 2)
+            products = np.stack([np.ones(len(v), np.int64), *v.T, *(v[:, i] * v[:, j] for i, j in _PAIRS)], 1)
+            for start in (0, 1):
+                b = np.floor(np.log2(distances(v, m[:, start * SIZE : (start + 1) * SIZE]) + 1e-6) * BINS_PER_OCTAVE).astype(np.int64)
+                at, sums = _per_group(batch, products * (b <= last[:, start])[:, None])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(np.full(len(at), start, np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * (SIZE + 1), pa.int32()), pa.array(sums.ravel()))],
+                    names=["gl", "gs", "start", "x"],
+                )
+
+
+def _signs(batches):
+    """(gl, gs, x): sums of the products of the signs about the medians."""
+    for batch in batches:
+        if batch.num_rows:
+            s = np.sign(_matrix(batch.column(2), P) - _matrix(batch.column(3), P)).astype(np.int64)
+            at, sums = _per_group(batch, np.stack([s[:, i] * s[:, j] for i, j in _PAIRS], 1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * len(_PAIRS), pa.int32()), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), lists], names=["gl", "gs", "x"])
+
+
+def _summed(partial: DataFrame, keys: list[str]) -> DataFrame:
+    """Partial lists x added up, element by element: (keys, x)."""
+    each = partial.select(*keys, F.posexplode("x").alias("pos", "v")).groupBy(*keys, "pos").agg(F.sum("v").alias("v"))
+    return each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("x")).select(*keys, F.col("x.v").alias("x"))
+
+
+def _medians(x: DataFrame, value) -> DataFrame:
+    """(gl, gs, n, med): number of rows and medians of the values. They are integers of a small range, so an exact percentile keeps a bounded table of counts."""
+    return x.groupBy("gl", "gs").agg(F.count("*").alias("n"), F.array(*(F.percentile(value(i), F.lit(0.5)) for i in range(P))).alias("med"))
 
 
 def _group_names(lang, source):
@@ -188,70 +264,77 @@ def _group_names(lang, source):
     return name(lang), name(source)
 
 
-def fit(docs: DataFrame, params: McdParams = McdParams()) -> tuple[DataFrame, DataFrame]:
-    """(models: gl, gs, mu, w of each group; groups: gl, gs0 and the group gs that stands for it)."""
+def vectors(docs: DataFrame, params: McdParams = McdParams()) -> DataFrame:
+    """(gl, gs0, body, v, gs) of each document: its language, source and text's hash, its vector (null: no words), and the group that stands for its source."""
     bounded_batches(docs.sparkSession)
     gl, gs = _group_names(F.col("lang"), F.col("source"))
-    seen = materialise(
-        docs.select(gl.alias("gl"), gs.alias("gs0"), _vectors(F.col("text")).alias("v"))
-        .where("v IS NOT NULL")
-        .select("gl", "gs0", *(F.col("v")[i].alias(f"v{i}") for i in range(P))),
-        "mcd-vectors",
-    )
-    groups = materialise(seen.groupBy("gl", "gs0").count().select("gl", "gs0", F.when(F.col("count") >= params.min_group, F.col("gs0")).otherwise("*").alias("gs")), "mcd-groups")
-    x = seen.join(groups, ["gl", "gs0"]).drop("gs0")
-    # the values are integers of a small range, so an exact percentile keeps a bounded table of counts
-    med = x.groupBy("gl", "gs").agg(F.count("*").alias("n"), F.array(*(F.percentile(c, F.lit(0.5)) for c in _V)).alias("med")).where(F.col("n") >= params.min_group)
-    med = materialise(med, "mcd-median")
-    off = x.join(med, ["gl", "gs"]).select("gl", "gs", "n", "med", *((F.col(c) - F.col("med")[i]).alias(c) for i, c in enumerate(_V)))
-    model = off.groupBy("gl", "gs").agg(
-        F.first("n").alias("n"), F.first("med").alias("med"), F.array(*(F.percentile(F.abs(c), F.lit(0.5)) for c in _V)).alias("mad"),
-        F.array(*(F.sum(F.signum(_V[i]) * F.signum(_V[j])) for i, j in _PAIRS)).alias("c"),
-    )
-    model = materialise(model.mapInPandas(_starts, _MODEL), "mcd-start")
+    seen = docs.select(gl.alias("gl"), gs.alias("gs0"), F.xxhash64("text").alias("body"), _vectors(F.col("text")).alias("v"))
+    seen = materialise(seen.sortWithinPartitions("gl", "gs0"), "mcd-vectors")  # a batch then holds few groups
+    groups = seen.where("v IS NOT NULL").groupBy("gl", "gs0").count().select("gl", "gs0", F.when(F.col("count") >= params.min_group, F.col("gs0")).otherwise("*").alias("gs"))
+    return seen.join(materialise(groups, "mcd-groups"), ["gl", "gs0"], "left")
+
+
+def fit(x: DataFrame, params: McdParams = McdParams()) -> DataFrame:
+    """(gl, gs, m) of each group of vectors() that is large enough."""
+    x = x.where("v IS NOT NULL").select("gl", "gs", "v")
+    med = materialise(_medians(x, lambda i: F.col("v")[i]).where(F.col("n") >= params.min_group), "mcd-median")
+    off = x.join(med.select("gl", "gs", "med"), ["gl", "gs"])
+    mad = _medians(off, lambda i: F.abs(F.col("v")[i] - F.col("med")[i])).select("gl", "gs", F.col("med").alias("mad"))
+    signs = _summed(off.select("gl", "gs", "v", "med").mapInArrow(_signs, "gl string, gs string, x array<long>"), ["gl", "gs"])
+    model = materialise(med.join(mad, ["gl", "gs"]).join(signs, ["gl", "gs"]).mapInPandas(_starts, _MODEL), "mcd-start")
     size = med.select("gl", "gs", F.ceil(F.col("n") * params.support).alias("h"))
+    both = lambda t, c: t.groupBy("gl", "gs").agg(F.sort_array(F.collect_list(F.struct("start", c))).alias("y")).select("gl", "gs", F.col(f"y.{c}").alias(c))
     for _ in range(params.steps):
-        d2 = _distance([F.col(c) for c in _V], F.col("mu"), F.col("w"))
-        near = x.join(model, ["gl", "gs"]).select("gl", "gs", "start", *_V, F.floor(F.log2(d2 + 1e-6) * BINS_PER_OCTAVE).alias("bin"))
-        counts = near.groupBy("gl", "gs", "start", "bin").count()
-        upto = F.sum("count").over(_by("gl", "gs", "start").orderBy("bin"))
+        now = both(model, "m").select("gl", "gs", F.flatten("m").alias("m"))
+        counts = x.join(now, ["gl", "gs"]).select("gl", "gs", "v", "m").mapInArrow(_bins, "gl string, gs string, start int, bin long, n long").groupBy("gl", "gs", "start", "bin").agg(F.sum("n").alias("n"))
         # the bin in which the h-th nearest lies: that bin stays whole, as ties do
-        edge = counts.withColumn("upto", upto).join(size, ["gl", "gs"]).where(F.col("upto") >= F.col("h")).groupBy("gl", "gs", "start").agg(F.min("bin").alias("edge"))
-        sums = near.join(edge, ["gl", "gs", "start"]).where("bin <= edge").groupBy("gl", "gs", "start").agg(
-            F.count("*").alias("n"), F.array(*(F.sum(c) for c in _V)).alias("s"), F.array(*(F.sum(F.col(_V[i]) * F.col(_V[j])) for i, j in _PAIRS)).alias("c")
-        )
-        model = materialise(sums.mapInPandas(_from_sums, _MODEL), "mcd-step")
-    best = model.groupBy("gl", "gs").agg(F.min_by(F.struct("mu", "w"), F.struct("logdet", "start")).alias("m"))
-    scale = 1 / np.sqrt(consistency(params.support, P))
-    return materialise(best.select("gl", "gs", "m.mu", F.transform("m.w", lambda a: a * F.lit(float(scale))).alias("w")), "mcd-model"), groups
-
-
-def _by(*columns):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*columns)
+        upto = F.sum("n").over(Window.partitionBy("gl", "gs", "start").orderBy("bin"))
+        last = counts.withColumn("upto", upto).join(size, ["gl", "gs"]).where(F.col("upto") >= F.col("h")).groupBy("gl", "gs", "start").agg(F.min("bin").alias("last"))
+        edge = materialise(now.join(both(last, "last"), ["gl", "gs"]), "mcd-edge")
+        sums = x.join(edge, ["gl", "gs"]).select("gl", "gs", "v", "m", "last").mapInArrow(_moments, "gl string, gs string, start int, x array<long>")
+        new = materialise(_summed(sums, ["gl", "gs", "start"]).mapInPandas(_from_sums, _MODEL), "mcd-step")
+        fell = new.join(model.select("gl", "gs", "start", F.col("logdet").alias("old")), ["gl", "gs", "start"]).agg(F.max(F.col("old") - F.col("logdet"))).first()[0]
+        discard(edge, model)
+        model = new
+        if fell is None or fell < params.settled:
+            break
+    best = model.groupBy("gl", "gs").agg(F.min_by("m", F.struct("logdet", "start")).alias("m"))
+    scale = float(1 / np.sqrt(consistency(params.support, P)))
+    # written, so that its size is known when it is joined: small, it is broadcast
+    return materialise(best.select("gl", "gs", F.transform("m", lambda a, i: F.when(i < P, a).otherwise(a * F.lit(scale))).alias("m")), "mcd-model")
+
+
+@F.arrow_udf(T.DoubleType())
+def _distance(v: pa.Array, m: pa.Array) -> pa.Array:
+    ok = pa.compute.and_(v.is_valid(), m.is_valid())
+    out = np.zeros(len(v))
+    at = ok.to_numpy(zero_copy_only=False)
+    out[at] = distances(_matrix(v.filter(ok), P), _matrix(m.filter(ok), SIZE))
+    return pa.array(out, mask=~at)
+
+
+def _judged(docs: DataFrame, params: McdParams) -> DataFrame:
+    """(gl, gs0, body, d2, outlier): one row for each different text of a language and source."""
+    x = vectors(docs, params)
+    d2 = x.join(fit(x, params), ["gl", "gs"], "left").select("gl", "gs0", "body", F.col("v").isNull().alias("empty"), _distance("v", "m").alias("d2"))
+    out = F.col("empty") | F.coalesce(F.col("d2") > chi2_quantile(params.quantile, P), F.lit(False))
+    return d2.groupBy("gl", "gs0", "body").agg(F.first("empty").alias("empty"), F.first("d2").alias("d2")).select("gl", "gs0", "body", "d2", out.alias("outlier"))
+
+
+def _joined(docs: DataFrame, judged: DataFrame, key: str, how: str) -> DataFrame:
+    gl, gs = _group_names(F.col("lang"), F.col("source"))
+    x = docs.select("*", gl.alias(f"{key}_gl"), gs.alias(f"{key}_gs0"), F.xxhash64("text").alias(f"{key}_body"))
+    return x.join(judged.select(*(F.col(c).alias(f"{key}_{c}") for c in judged.columns)), [f"{key}_gl", f"{key}_gs0", f"{key}_body"], how)
 
 
 def mahalanobis(docs: DataFrame, params: McdParams = McdParams(), name: str = "d2") -> DataFrame:
-    """docs, with the squared robust distance as column `name` (null: no group large enough) and `name`_outlier."""
-    model, groups = fit(docs, params)
+    """docs, with the squared robust distance as column `name` (null: no words, or no group large enough) and `name`_outlier."""
     key = free_name(docs.columns, "mcd")
-    gl, gs = _group_names(F.col("lang"), F.col("source"))
-    # written, so that its size is known when the join is planned: small, it is broadcast and the texts aren't shuffled
-    table = groups.join(model, ["gl", "gs"], "left").select(F.col("gl").alias(f"{key}_l"), F.col("gs0").alias(f"{key}_s"), F.col("mu").alias(f"{key}_mu"), F.col("w").alias(f"{key}_w"))
-    table = materialise(table, "mcd-table")
-    x = docs.select("*", gl.alias(f"{key}_l"), gs.alias(f"{key}_s"), _vectors(F.col("text")).alias(f"{key}_v"))
-    v = F.col(f"{key}_v")
-    d2 = F.when(v.isNotNull() & F.col(f"{key}_mu").isNotNull(), _distance([v[i] for i in range(P)], F.col(f"{key}_mu"), F.col(f"{key}_w")))
-    cut = chi2_quantile(params.quantile, P)
-    return (
-        x.join(table, [f"{key}_l", f"{key}_s"], "left")
-        .withColumn(key, d2)
-        .select(*docs.columns, F.col(key).alias(name), (v.isNull() | (F.col(key).isNotNull() & (F.col(key) > cut))).alias(f"{name}_outlier"))
-    )
+    x = _joined(docs, _judged(docs, params), key, "left")
+    return x.select(*docs.columns, F.col(f"{key}_d2").alias(name), F.col(f"{key}_outlier").alias(f"{name}_outlier"))
 
 
 def keep_inliers(docs: DataFrame, params: McdParams = McdParams()) -> DataFrame:
     """The documents that aren't rejected, with docs' columns."""
-    name = free_name(docs.columns, "mcd_d2")
-    return mahalanobis(docs, params, name).where(~F.col(f"{name}_outlier")).select(*docs.columns)
+    key = free_name(docs.columns, "mcd")
+    return _joined(docs, _judged(docs, params).where("outlier").select("gl", "gs0", "body"), key, "left_anti").select(*docs.columns)

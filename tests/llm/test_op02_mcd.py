@@ -51,23 +51,73 @@ def test_determinant_is_near_the_least_of_all_subsets(spark, docs):
         return np.linalg.slogdet(np.cov(v[list(i)].T, bias=True) + np.diag(M.FLOOR**2))[1]
 
     best = min(map(det, combinations(range(len(v)), h)))
-    model = M.fit(x, p)[0].first()
-    low = np.zeros((M.P, M.P))
-    for (i, j), a in zip(M._PAIRS, model.w):
-        low[i, j] = a
+    low = root(M.fit(M.vectors(x, p), p).first().m)[1]
     have = -2 * np.log(np.abs(np.diag(low))).sum() - M.P * np.log(M.consistency(p.support, M.P))
     assert best - 1e-6 <= have <= best + 0.35
 
 
-def test_distance_is_mahalanobis(docs):
-    x = table(docs)
-    model = M.fit(x)[0].first()
+def root(m):
     low = np.zeros((M.P, M.P))
-    for (i, j), a in zip(M._PAIRS, model.w):
+    for (i, j), a in zip(M._PAIRS, m[M.P :]):
         low[i, j] = a
+    return np.array(m[: M.P]), low
+
+
+def test_distance_is_mahalanobis(docs):
+    x = table(docs)
+    mu, low = root(M.fit(M.vectors(x)).first().m)
     got = M.mahalanobis(x).select("d2", M._vectors("text").alias("v")).collect()
     for r in got:
-        assert abs(np.sum((low @ (np.array(r.v) / M.ONE - np.array(model.mu))) ** 2) - r.d2) < 1e-6 * max(1, r.d2)
+        assert abs(np.sum((low @ (np.array(r.v) / M.ONE - mu)) ** 2) - r.d2) < 1e-6 * max(1, r.d2)
+
+
+def plain_mcd(v, p, seed=0, starts=200):
+    """By random subsets of P + 1 vectors, concentrated with exactly h vectors until they stay: the distances."""
+    r, h = np.random.default_rng(seed), int(np.ceil(len(v) * p.support))
+    best = None
+    for _ in range(starts):
+        at = r.choice(len(v), M.P + 1, replace=False)
+        for _ in range(100):
+            mu, c = v[at].mean(0), np.cov(v[at].T, bias=True) + np.diag(M.FLOOR**2)
+            d2 = np.einsum("ij,ij->i", v - mu, np.linalg.solve(c, (v - mu).T).T)
+            new = np.sort(np.argsort(d2, kind="stable")[:h])
+            if np.array_equal(new, at):
+                break
+            at = new
+        det = np.linalg.slogdet(c)[1]
+        if best is None or det < best[0]:
+            best = det, d2
+    return best[1] / M.consistency(p.support, M.P)
+
+
+def test_kept_documents_are_those_of_a_plain_estimate(spark, docs):
+    from test_pipeline import prose as other
+
+    # three groups, one with a fifth of outliers, one small (estimated with the other small ones of its language)
+    rows = [(i, prose(i, 6), "en", "a", 0) for i in range(150)] + [(200 + i, t[: 400 + 97 * i] + f" {i}", "en", "a", 0) for i, t in enumerate(JUNK * 8)]
+    rows += [(300 + i, other(i), "de", "a", 0) for i in range(120)] + [(450 + i, "X9 " * (100 + i), "de", "a", 0) for i in range(6)]
+    rows += [(500 + i, other(200 + i), "fr", f"s{i % 4}", 0) for i in range(100)] + [(650 + i, "q#! " * (60 + i), "fr", f"s{i % 4}", 0) for i in range(5)]
+    p, x = M.McdParams(), docs(rows)
+    got = {r.doc_id for r in M.keep_inliers(x, p).select("doc_id").collect()}
+    v = {r.doc_id: np.array(r.v) / M.ONE for r in x.select("doc_id", M._vectors("text").alias("v")).collect()}
+    want = set()
+    for lang in ("en", "de", "fr"):
+        ids = [r[0] for r in rows if r[2] == lang]
+        d2 = plain_mcd(np.array([v[i] for i in ids]), p)
+        want |= {i for i, d in zip(ids, d2) if d <= M.chi2_quantile(p.quantile, M.P)}
+    assert got == want and 330 < len(got) < 371 and not got & {*range(200, 232), *range(450, 456), *range(650, 655)}
+
+
+def test_groups_spread_over_batches_give_the_same(spark, docs):
+    """Partial sums of many batches and partitions, and groups in any order."""
+    rows = [(i, prose(i), ["en", "de", None][i % 3], f"s{i % 2}", 0) for i in range(480)] + [(1000 + i, t, "en", "s0", 0) for i, t in enumerate(JUNK)]
+    one = {(r.doc_id, r.d2, r.d2_outlier) for r in M.mahalanobis(docs(rows).coalesce(1)).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        many = {(r.doc_id, r.d2, r.d2_outlier) for r in M.mahalanobis(docs(rows[::-1]).repartition(5)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert one == many and len(one) == 484
 
 
 def test_chi_square():
