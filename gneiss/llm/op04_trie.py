@@ -41,7 +41,7 @@ from .common import BLOCK, U64, _delete, blocks, bounded_batches, discard, free_
 UNIT = 8  # codes a bit
 CHUNK = 1 << 18
 #: Text bytes looked up at once: equal questions are asked once a block.
-WORK = 4 * BLOCK
+WORK = 2 * BLOCK
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ class LmParams:
     min_word: int = 1
     min_count: int = 2
     discount: float = 0.75
-    segment: int = 1 << 22  # n-grams (or words) that one task writes
+    segment: int = 1 << 20  # n-grams (or words) that one task writes
     part_tokens: int = 1 << 21  # words of text for each task that merges counts
     copy: bool | None = None  # map copies on each node; None: only where the shared folder isn't mounted
 
@@ -213,6 +213,17 @@ class Ef:
             word = np.where(up, word >> U64(half), part)
         return out + _SELECT8[word.astype(np.int64), rem]
 
+    def after(self, k: np.ndarray, place: np.ndarray, kind: int) -> np.ndarray:
+        """Place of the k-th one or zero, the next one after `place`: mostly in the same word."""
+        w, s = place >> 6, (place & 63).astype(U64)
+        word = self.high[w] if kind else ~self.high[w]
+        word = (word >> s) & ~U64(1)
+        out = place + np.bitwise_count((word & (~word + U64(1))) - U64(1))
+        far = np.flatnonzero(word == 0)
+        if len(far):
+            out[far] = self.select(k[far], kind)
+        return out
+
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), np.int64)
@@ -225,28 +236,39 @@ class Ef:
     def get(self, i: np.ndarray) -> np.ndarray:
         return (self.select(i, 1) - i) << self.bits | self.lows(i)
 
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and at i + 1."""
+        a = self.select(i, 1)
+        b = self.after(i + 1, a, 1)
+        return (a - i) << self.bits | self.lows(i), (b - i - 1) << self.bits | self.lows(i + 1)
+
     def find(self, x: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Place of x by successor search in [start, stop); -1 where the successor isn't x."""
         h = x >> self.bits
-        z = self.select(h, 0)
-        hi = np.minimum(z - h, stop)
-        lo = np.zeros(len(x), np.int64)
+        # the values with this upper part lie between the zeros before and after them
+        z = np.full(len(x), -1, np.int64)
         i = np.flatnonzero(h > 0)
-        lo[i] = self.select(h[i] - 1, 0) - (h[i] - 1)
-        lo = np.maximum(lo, start)
+        z[i] = self.select(h[i] - 1, 0)
+        lo = np.maximum(z + 1 - h, start)
+        z[i] = self.after(h[i], z[i], 0)
+        if len(i) < len(x):
+            j = np.flatnonzero(h == 0)
+            z[j] = self.select(h[j], 0)
+        end = np.minimum(z - h, stop)
         want = x & ((1 << self.bits) - 1)
-        end = hi.copy()
-        open_ = np.flatnonzero(lo < hi)
-        while len(open_):
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self.lows(mid) < want[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
-            open_ = open_[lo[open_] < hi[open_]]
         out = np.full(len(x), -1, np.int64)
-        i = np.flatnonzero(lo < end)
-        i = i[self.lows(lo[i]) == want[i]]
-        out[i] = lo[i]
+        # few values share an upper part: halve the long ranges, then look at what is left one by one
+        go = np.flatnonzero(lo < end)
+        lo, hi, want = lo[go], end[go], want[go]
+        while len(go):
+            mid = (lo + hi) >> 1
+            v = self.lows(mid)
+            hit = v == want
+            out[go[hit]] = mid[hit]
+            lo = np.where(v < want, mid + 1, lo)
+            hi = np.where(v > want, mid, hi)
+            on = np.flatnonzero(~hit & (lo < hi))
+            go, lo, hi, want = go[on], lo[on], hi[on], want[on]
         return out
 
 
@@ -261,42 +283,47 @@ class Level:
         self.parents, self.nodes, self.size = meta[:-1, 0], meta[:-1, 1], int(meta[-1, 1])
         self.segment = lru_cache(None)(lambda s: self._open(get(where, str(s))))
         self.p = Pieces(self.nodes, lambda s: self.segment(s)[2])
-        self.g = Pieces(self.parents, lambda s: self.segment(s)[3])  # back-off weights of the parents
 
     @staticmethod
     def _open(x):
         return Ef(x, "ptr"), Ef(x, "ids"), x["p"], x["g"]
 
     def _each(self, parent: np.ndarray):
-        """(segment, its first parent and node, places of its parents)."""
-        if len(self.parents) == 1:
-            yield self.segment(0), 0, 0, slice(None)
-            return
-        for s, at in by_piece(self.parents, parent):
-            yield self.segment(s), int(self.parents[s]), int(self.nodes[s]), at
+        """(segment, its first parent and node, slice of its parents), of parents in order."""
+        cut = [0, *np.searchsorted(parent, self.parents[1:]).tolist(), len(parent)]
+        for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+            if b > a:
+                yield self.segment(s), int(self.parents[s]), int(self.nodes[s]), slice(a, b)
 
     def starts(self, parent: np.ndarray) -> np.ndarray:
         """First child of each parent."""
-        out = np.zeros(len(parent), np.int64)
-        for (ptr, *_), first, node, at in self._each(parent):
-            out[at] = ptr.get(parent[at] - first) + node
-        return out
+        kinds, place = np.unique(parent, return_inverse=True)
+        out = np.zeros(len(kinds), np.int64)
+        for (ptr, *_), first, node, at in self._each(kinds):
+            out[at] = ptr.get(kinds[at] - first) + node
+        return out[place]
 
-    def find(self, parent: np.ndarray, child: np.ndarray) -> np.ndarray:
-        """Node of each parent's child; -1 where there is none. Equal questions are asked once, in order, so that the search goes through memory forwards."""
+    def find(self, parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(node of each parent's child, or -1; its code, or else the back-off code of the parent).
+
+        Equal questions are asked once, in order, so that the search goes through memory forwards."""
         wide = int(child.max()) + 1 if len(child) else 1
         order = np.argsort(parent * wide + child) if len(child) and (int(parent.max()) + 1) * wide < 1 << 63 else np.lexsort((child, parent))
         p, c = parent[order], child[order]
         new = np.ones(len(p), bool)
         new[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
-        place = np.empty(len(p), np.int64)
+        place = np.empty(len(p), np.int32)
         place[order] = np.cumsum(new) - 1
         p, c = p[new], c[new]
-        out = np.full(len(p), -1, np.int64)
-        for (ptr, ids, *_), first, node, at in self._each(p):
-            x = self._find(ptr, ids, p[at] - first, c[at])
-            out[at] = np.where(x >= 0, x + node, -1)
-        return out[place]
+        nodes, codes = np.full(len(p), -1, np.int64), np.zeros(len(p), np.uint8)
+        for part, first, node, at in self._each(p):
+            x = self._find(*part[:2], p[at] - first, c[at])
+            hit = np.flatnonzero(x >= 0)
+            y = part[3][p[at] - first]
+            y[hit] = part[2][x[hit]]
+            x[hit] += node
+            nodes[at], codes[at] = x, y
+        return nodes[place], codes[place]
 
     @staticmethod
     def _find(ptr: Ef, ids: Ef, parent: np.ndarray, child: np.ndarray) -> np.ndarray:
@@ -304,9 +331,8 @@ class Level:
         head = np.ones(len(parent), bool)
         head[1:] = parent[1:] != parent[:-1]
         run = np.cumsum(head) - 1
-        kinds = parent[head]
-        start, stop = ptr.get(kinds), ptr.get(kinds + 1)
-        base = np.zeros(len(kinds), np.int64)
+        start, stop = ptr.pair(parent[head])
+        base = np.zeros(len(start), np.int64)
         i = np.flatnonzero((start > 0) & (start < stop))
         base[i] = ids.get(start[i] - 1) + 1
         out = np.full(len(child), -1, np.int64)
@@ -362,56 +388,46 @@ class Lm:
             go = go[lo[go] < hi[go]]
         return lo
 
-    def nodes(self, h: np.ndarray, first: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """(for each level k the node of the k words from each word on, or -1; of each word and the next, the position of the next among the children)."""
+    def nodes(self, h: np.ndarray, first: np.ndarray, order: int, found=None) -> tuple[list[np.ndarray], np.ndarray]:
+        """(for each level k the node of the k words from each word on, or -1; of each word and the next, the position of the next among the children).
+
+        found(k, last words, nodes, codes) is called for each level's questions: words after a node of the level above, in the same text."""
         ids = self.ids(h)
         n = len(ids)
         inner = np.ones(n, bool)  # the next word is of the same text
         inner[first[1:][first[1:] > 0] - 1] = False
         known = ids < self.size
         levels, near = [np.where(known, ids, -1)], np.full(n, -1, np.int64)
+        none = 1 << 40  # no parent has such a child
         for k in range(2, order + 1):
             node = np.full(n, -1, np.int64)
-            if k == 2:
-                i = np.flatnonzero(inner[:-1] & known[:-1] & known[1:]) if n else np.zeros(0, np.int64)
-                child = ids[i + 1]
-            else:
-                above = levels[-1]
-                i = np.flatnonzero((above[:-1] >= 0) & (above[1:] >= 0)) if n else np.zeros(0, np.int64)
-                child = near[i + k - 2]
+            i = np.flatnonzero(levels[-1] >= 0)
+            i = i[i + k - 1 < n]
+            i = i[inner[i + k - 2]]
+            child = levels[0][i + 1] if k == 2 else near[i + k - 2]
+            if found is None:
+                ok = child >= 0
+                i, child = i[ok], child[ok]
             if len(i):
-                node[i] = self.levels[k].find(levels[-1][i], child)
+                node[i], codes = self.levels[k].find(levels[-1][i], np.where(child < 0, none, child))
+                if found:
+                    found(k, i + k - 1, node[i], codes)
             if k == 2:
                 j = np.flatnonzero(node >= 0)
-                near[j] = node[j] - self._begins(ids[j])
+                near[j] = node[j] - self.levels[2].starts(ids[j])
             levels.append(node)
         return levels, near
 
-    def _begins(self, ids: np.ndarray) -> np.ndarray:
-        kinds, at = np.unique(ids, return_inverse=True)
-        return self.levels[2].starts(kinds)[at]
-
     def codes(self, h: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
         """Code of each word of the texts."""
-        levels, _ = self.nodes(h, first, order)
+        steps = []
+        levels, _ = self.nodes(h, first, order, lambda *x: steps.append(x[1:]))
         i = np.flatnonzero(levels[0] >= 0)
         out = np.full(len(h), self.unknown, np.int64)
         if len(i):
             out[i] = self.p1[levels[0][i]]
-        begins = np.repeat(first[:-1], np.diff(first))
-        at = np.arange(len(h))
-        for k in range(2, order + 1):
-            # words whose k - 1 words before are a node
-            i = at[at - begins >= k - 1]
-            i = i[levels[k - 2][i - k + 1] >= 0]
-            if not len(i):
-                break
-            node = levels[k - 1][i - k + 1]
-            hit = node >= 0
-            out[i[hit]] = self.levels[k].p[node[hit]]
-            miss = i[~hit]
-            if len(miss):
-                out[miss] += self.levels[k].g[levels[k - 2][miss - k + 1]]
+        for at, node, code in steps:
+            out[at] = np.where(node >= 0, code, out[at] + code)
         return out
 
 
@@ -431,7 +447,7 @@ def _emit(keys: np.ndarray, parts: int):
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     n, keys = np.diff(np.append(at, len(keys))).astype(np.uint32), keys[at]
     part = (mix(keys) % U64(parts)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.int16) if parts < 1 << 15 else part, kind="stable")  # by digits where 16 bits do
     keys, n, part = keys[order], n[order], part[order]
     cut = np.searchsorted(part, np.arange(parts + 1))
     some = [p for p in range(parts) if cut[p + 1] > cut[p]]
@@ -599,7 +615,7 @@ def _write_level(model: str, counted: DataFrame, k: int, bits: int, above: int,
         else:
             last = Pieces(up, lambda i: get(folder(model, f"{k - 1}t", True), str(i))["suffix"])[key >> bits] if len(key) else child
             below = _model(model, k - 1).levels[k - 1]
-            suffix = (below.starts(last) + child if k == 3 else below.find(last, child)) if len(key) else child
+            suffix = (below.starts(last) + child if k == 3 else below.find(last, child)[0]) if len(key) else child
             lower = below.p
         out = code(share + value(g[parent]) * value(lower[suffix])) if len(key) else np.zeros(0, np.uint8)
         put(where, str(s), {**elias_fano("ptr", np.concatenate(([0], np.cumsum(held))), len(key) + 1), **elias_fano("ids", values, int(base[-1])), "p": out, "g": g})
