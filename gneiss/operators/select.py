@@ -5,6 +5,7 @@ files: path, size, mod_time and, where content is read, content.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,23 +48,36 @@ def priority(path, cfg: Config = Config()):
     return out
 
 
-def first_fit(x: DataFrame, most: int, size: str, order: list, by: list[str] | None = None) -> DataFrame:
-    """x with column `fits`: in order, a row that would go beyond `most` is skipped and later, smaller ones may still fit.
+def _fold(most: int, used: int):
+    """Of each list of (size, bytes given back): the places, from 1, of what fits."""
 
-    That is sequential by nature, so a group (all of x where `by` is empty) is folded as one list of sizes: metadata only. Rows are
+    def run(sizes: pa.Array, back: pa.Array) -> pa.Array:
+        out = []
+        for s, b in zip(sizes.to_pylist(), back.to_pylist()):
+            total, taken = used, []
+            for k, n in enumerate(s or ()):
+                if n is not None and total + n <= most:
+                    total += n - (b[k] or 0)
+                    taken.append(k + 1)
+            out.append(taken)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    run.__annotations__ = {"sizes": pa.Array, "back": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<int>")
+
+
+def first_fit(x: DataFrame, most: int, size: str, order: list, by: list[str] | None = None, used: int = 0, back: str | None = None) -> DataFrame:
+    """x with column `fits`: in order, a row that would go beyond `most` is skipped and later, smaller ones may still fit. `used`: bytes at the start; `back`: a column of bytes that a row which fits gives back.
+
+    That is sequential by nature, so a group (all of x where `by` is empty) is folded as one list of sizes: metadata only, in linear time. Rows are
     told apart by their place in the order, so equal rows are separate.
     """
     by = by or []
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     x = x.withColumn("_place", place)
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken"))
-
-    def step(s, r):
-        ok = s["used"] + r["size"] <= most
-        return F.when(ok, F.struct((s["used"] + r["size"]).alias("used"), F.concat(s["taken"], F.array(r["place"])).alias("taken"))).otherwise(s)
-
-    listed = F.array_sort(F.collect_list(F.struct(F.col("_place").alias("place"), F.col(size).cast("long").alias("size"))))
-    taken = x.groupBy(*by).agg(F.aggregate(listed, start, step).alias("s")).select(*by, F.explode("s.taken").alias("_place"), F.lit(True).alias("_in"))
+    row = F.struct(F.col("_place").alias("place"), F.col(size).cast("long").alias("size"), (F.col(back).cast("long") if back else F.lit(0).cast("long")).alias("back"))
+    listed = x.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("l"))
+    taken = listed.select(*by, F.explode(_fold(most, used)(F.col("l.size"), F.col("l.back"))).alias("_place"), F.lit(True).alias("_in"))
     return x.join(taken, [*by, "_place"], "left").withColumn("fits", F.coalesce("_in", F.lit(False))).drop("_place", "_in")
 
 

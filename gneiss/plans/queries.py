@@ -15,7 +15,6 @@ from ..functions import paths as P
 from ..operators import chunk, context, graph, notes, outline, related, search, select
 from ..streaming import changes
 from ..sources.store import Store
-from . import fixtures
 
 _EXTS = [".go", ".ts", ".md", ".txt", ".py", ".json", ".PNG", ".yaml", "", ".php", ".key", ".js", ".db"]
 _EXT = "CASE doc_id % 13 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_EXTS)) + " END"
@@ -33,6 +32,47 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FILES = f"files AS (SELECT doc_id, {_PATH} AS path, CAST(strlen(text) AS BIGINT) AS size, doc_id * 1000 AS mod_time, text AS content FROM documents)"
+# documents as source files: each imports the one 13 ids before it, which has the same extension, and declares a few things; what a language can't read is in comments
+_UP = "repeat('../', length(path) - length(replace(path, '/', '')))"
+_N = "CAST(doc_id AS VARCHAR(20))"
+_NL = "chr(10)"
+
+
+def _lines(*parts: str) -> str:
+    return " || ".join(f"{x} || {_NL}" for x in parts)
+
+
+_TS = ("'/** File ' || {n} || '. */'", "'export function f' || {n} || '(a) {{'", "'  return a;'", "'}}'")
+_GO = (
+    "'// F' || {n} || ' says so.'", "'func F' || {n} || '(a int, b string) (int, error) {{'", "chr(9) || 'return a, nil'", "'}}'", "''", "'// T' || {n} || ' has three.'", "'type T' || {n} || ' struct {{'",
+    "chr(9) || 'x, y int'", "chr(9) || 'Name string'", "'}}'", "''", "'type I' || {n} || ' interface {{'", "chr(9) || 'Do(a int) error'", "'}}'", "''", "'const K' || {n} || ' int = 3'", "''",
+)
+_of = lambda parts: tuple(x.format(n=_N) for x in parts)
+_IMPORT = {
+    ".ts": f"'import {{ a }} from ' || chr(34) || {_UP} || regexp_replace(dst, '[.]ts$', '') || chr(34) || ';' || {_NL}",
+    ".js": f"'const a = require(' || chr(34) || {_UP} || dst || chr(34) || ');' || {_NL}",
+    ".php": f"'require ' || chr(34) || {_UP} || dst || chr(34) || ';' || {_NL}",
+    ".py": f"'import ' || replace(regexp_replace(dst, '[.]py$', ''), '/', '.') || {_NL}",
+    ".go": f"'import ' || chr(34) || 'm/' || regexp_replace(dst, '/[^/]*$', '') || chr(34) || {_NL} || {_NL}",
+}
+_REST = f"'// ' || replace(text, {_NL}, {_NL} || '// ') || {_NL}"
+_HEAD = {".php": f"'<?php' || {_NL}", ".go": f"'package p' || {_NL} || {_NL}"}
+_BODY = {
+    ".ts": f"{_lines(*_of(_TS))} || {_REST}", ".js": f"{_lines(*_of(_TS))} || {_REST}", ".php": f"'function f' || {_N} || '() {{}}' || {_NL} || text", ".py": f"'def f' || {_N} || '(x): pass' || {_NL} || text",
+    ".go": f"{_lines(*_of(_GO))} || {_REST}",
+}
+_EMPTY = "''"
+_CODE = "CASE " + " ".join(f"WHEN path LIKE '%{e}' THEN {_HEAD.get(e, _EMPTY)} || coalesce({_IMPORT[e]}, '') || {_BODY[e]}" for e in _IMPORT) + " ELSE text END"
+
+
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_PATH} AS path", "text")
+    x = x.join(x.selectExpr("doc_id + 13 AS doc_id", "path AS dst"), "doc_id", "left").selectExpr("doc_id", "path", f"{_CODE} AS content")
+    mod = spark.range(1).selectExpr("CAST(-1 AS BIGINT) AS doc_id", "'go.mod' AS path", "'module m' || chr(10) AS content")
+    return x.unionByName(mod).selectExpr("*", "CAST(octet_length(content) AS BIGINT) AS size", "doc_id AS mod_time")
+
+
+CODE = f"""{FILES}, nx AS (SELECT f.doc_id, f.path, f.content AS text, p.path AS dst FROM files f LEFT JOIN files p ON p.doc_id = f.doc_id - 13), code AS (SELECT doc_id, path, dst, {_CODE} AS content FROM nx)"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -71,6 +111,14 @@ def list_files(spark, sf_dir):
     return select.listing(files(spark, sf_dir))
 
 
+@query(f"WITH {FILES} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM files WHERE {_LISTED} ORDER BY string_split(path, '/') LIMIT 100")
+def list_files_first(spark, sf_dir):
+    """The first of the walk, in its order."""
+    from pyspark.sql import Window
+
+    return select.listing(files(spark, sf_dir), most=100).withColumn("place", F.row_number().over(Window.orderBy(P.walk_key("path"))).cast("long"))
+
+
 @query(f"WITH {FILES} SELECT path FROM files WHERE {_LISTED} AND regexp_matches(path, '^src1[0-4]/[^/]*/[^/]*1[^/]\\.md$') ORDER BY string_split(path, '/') LIMIT 2000")
 def list_files_glob(spark, sf_dir):
     return select.listing(files(spark, sf_dir), "src1[0-4]/*/*1?.md")
@@ -197,9 +245,9 @@ def search_with_context(spark, sf_dir):
     return search.search_lines(files(spark, sf_dir), "InTh", 0, context=2)
 
 
-@query("WITH " + _HITS.format(fold="l", q="Inth", n=0) + " SELECT path, CAST(i AS INT) AS line, l AS snippet FROM s WHERE hit ORDER BY string_split(path, '/'), i LIMIT 50")
+@query("WITH " + _HITS.format(fold="l", q="an", n=0) + " SELECT path, CAST(i AS INT) AS line, l AS snippet FROM s WHERE hit ORDER BY string_split(path, '/'), i LIMIT 50")
 def search_case_sensitive(spark, sf_dir):
-    return search.search_lines(files(spark, sf_dir), "Inth", case_sensitive=True)
+    return search.search_lines(files(spark, sf_dir), "an", case_sensitive=True)
 
 
 @query(f"""WITH {FILES}, ln AS (SELECT unnest(string_split(content, chr(10))) AS text, CAST(unnest(range(1, len(string_split(content, chr(10))) + 1)) AS INT) AS line FROM files WHERE doc_id = 14),
@@ -225,34 +273,62 @@ def page_links(spark, sf_dir):
     return graph.links(table(spark, sf_dir, "pages"))
 
 
-@query("SELECT 'js' AS lang, * FROM (VALUES ('src/a.ts', 'src/b.ts'), ('src/a.ts', 'src/lib/index.tsx'), ('src/c.js', 'src/a.ts'), ('src/c.js', 'src/d.mjs'), ('src/lib/index.tsx', 'src/b.ts')) t(src, dst)")
+_SRC = f"NOT {_IN_BAD_DIR.format(own='')}"
+_EDGES = f"""e AS (SELECT CASE WHEN path LIKE '%.php' THEN 'php' WHEN path LIKE '%.py' THEN 'py' ELSE 'js' END AS lang, path AS src, dst FROM code WHERE {_SRC} AND dst IS NOT NULL AND strlen(content) <= 400000
+  AND (path LIKE '%.ts' OR path LIKE '%.js' OR path LIKE '%.php' OR (path LIKE '%.py' AND dst LIKE '%.py' AND dst NOT LIKE '.%')))"""
+
+
+@query(f"WITH {CODE}, {_EDGES} SELECT * FROM e WHERE lang = 'js'")
 def js_edges(spark, sf_dir):
-    return graph.js_edges(fixtures.repo(spark))
+    return graph.js_edges(code(spark, sf_dir))
 
 
-@query("SELECT 'php' AS lang, * FROM (VALUES ('app/main.php', 'app/util.php'), ('app/main.php', 'lib/db.php')) t(src, dst)")
+@query(f"WITH {CODE}, {_EDGES} SELECT * FROM e WHERE lang = 'php'")
 def php_edges(spark, sf_dir):
-    return graph.php_edges(fixtures.repo(spark))
+    return graph.php_edges(code(spark, sf_dir))
 
 
-@query("SELECT 'py' AS lang, * FROM (VALUES ('pkg/main.py', 'pkg/util.py'), ('pkg/main.py', 'pkg/sub/helper.py'), ('pkg/main.py', 'pkg/local.py'), ('pkg/main.py', 'pkg/__init__.py'), ('pkg/sub/worker.py', 'pkg/util.py'), ('pkg/sub/worker.py', 'pkg/__init__.py')) t(src, dst)")
+@query(f"WITH {CODE}, {_EDGES} SELECT * FROM e WHERE lang = 'py'")
 def py_edges(spark, sf_dir):
-    return graph.py_edges(fixtures.repo(spark))
+    return graph.py_edges(code(spark, sf_dir))
+
+
+_GO_DIRS = "g AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS dir, regexp_replace(dst, '/[^/]*$', '') AS imported FROM code WHERE path LIKE '%.go')"
+
+
+@query(f"WITH {CODE}, {_GO_DIRS} SELECT a.path AS src, b.path AS dst, count(*) AS n FROM g a JOIN g b ON b.dir = a.imported GROUP BY ALL")
+def go_package_edges(spark, sf_dir):
+    return graph.go_package_edges(code(spark, sf_dir))
 
 
-@query("""SELECT target, path, score, string_split(reasons, '+') AS reasons FROM (VALUES
-('src/b.ts', 'src/a.ts', 15, 'imported_by+same_dir'), ('src/b.ts', 'src/lib/index.tsx', 10, 'imported_by'), ('src/b.ts', 'src/c.js', 5, 'same_dir'), ('src/b.ts', 'src/d.mjs', 5, 'same_dir'),
-('go/pkg/a.go', 'go/pkg/a_test.go', 6, 'same_dir'), ('go/pkg/a.go', 'go/pkg/b.go', 5, 'same_dir'), ('go/pkg/a.go', 'cmd/main.go', 10, 'imports_target_package'),
-('cmd/main.go', 'go/pkg/a.go', 8, 'imported_package'), ('cmd/main.go', 'go/pkg/a_test.go', 8, 'imported_package'), ('cmd/main.go', 'go/pkg/b.go', 8, 'imported_package'),
-('docs/guide.md', 'README.md', 2, 'mention')) t(target, path, score, reasons)""")
+@query(f"WITH {CODE}, {_GO_DIRS} SELECT DISTINCT a.path AS target, b.path AS src FROM g a JOIN g b ON b.imported = a.dir WHERE a.path <> b.path AND NOT {_IN_BAD_DIR.format(own='').replace('path', 'b.path')}")
+def go_importers(spark, sf_dir):
+    return graph.go_importers(code(spark, sf_dir))
+
+
+@query(f"""WITH {CODE}, {_EDGES}, d AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS dir FROM code),
+t AS (SELECT * FROM d WHERE path LIKE '%.ts' OR path LIKE '%.js' OR path LIKE '%.php' OR path LIKE '%.py'),
+c AS (SELECT t.path AS target, e.dst AS path, 9 AS w, CASE WHEN lang = 'php' THEN 'includes' ELSE 'imports' END AS reason FROM t JOIN e ON e.src = t.path
+ UNION ALL SELECT t.path, e.src, 10, CASE WHEN lang = 'php' THEN 'included_by' ELSE 'imported_by' END FROM t JOIN e ON e.dst = t.path
+   AND CASE lang WHEN 'php' THEN t.path LIKE '%.php' WHEN 'py' THEN t.path LIKE '%.py' ELSE t.path LIKE '%.ts' OR t.path LIKE '%.js' END
+ UNION ALL SELECT t.path, d.path, 5, 'same_dir' FROM t JOIN d USING (dir) WHERE d.path <> t.path AND NOT regexp_matches(d.path, '\\.(png|jpg|jpeg|gif|zip|pdf)$')),
+s AS (SELECT target, path, sum(w) AS score, list_sort(list(DISTINCT reason)) AS reasons FROM c GROUP BY ALL)
+SELECT target, path, CAST(score AS BIGINT) AS score, reasons FROM s QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, path) <= 20""")
 def related_files(spark, sf_dir):
-    targets = spark.createDataFrame([("src/b.ts",), ("go/pkg/a.go",), ("cmd/main.go",), ("docs/guide.md",)], "target string")
-    return related.related(fixtures.repo(spark), targets).select("target", "path", "score", "reasons")
+    """The best related files of every JS, TypeScript, PHP and Python file."""
+    x = code(spark, sf_dir)
+    targets = x.where(P.ext("path").isin(".ts", ".js", ".php", ".py")).select(F.col("path").alias("target"))
+    return related.related(x, targets, related.RelatedOptions(20)).select("target", "path", "score", "reasons")
 
 
-@query("""SELECT 'go/pkg/a.go' AS target, * FROM (VALUES ('cmd/main.go', CAST(14 AS BIGINT), 'go_types_refs_target'), ('go/pkg/b.go', CAST(15 AS BIGINT), 'go_types_refs_target'), ('go/pkg/b.go', CAST(12 AS BIGINT), 'go_types_used_by_target')) t(path, w, reason)""")
+@query("""WITH u AS (SELECT CAST(l_orderkey AS VARCHAR) AS package, CAST(l_suppkey AS VARCHAR) AS file, CAST(l_partkey AS VARCHAR) AS def_file, CAST(l_quantity AS BIGINT) AS n FROM lineitem),
+t AS (SELECT DISTINCT def_file AS target FROM u), per AS (SELECT package, def_file, sum(n) AS n FROM u GROUP BY ALL), f AS (SELECT DISTINCT package, file FROM u)
+SELECT target, file AS path, CAST(sum(12 + least(3, n)) AS BIGINT) AS w, 'go_types_refs_target' AS reason FROM per JOIN t ON def_file = target JOIN f USING (package) WHERE file <> target GROUP BY target, file
+UNION ALL SELECT target, def_file, CAST(sum(7 + least(5, n)) AS BIGINT), 'go_types_used_by_target' FROM f JOIN t ON file = target JOIN per USING (package) WHERE def_file <> target GROUP BY target, def_file""")
 def go_symbol_uses(spark, sf_dir):
-    return related.go_uses(spark.createDataFrame([("go/pkg/a.go",)], "target string"), fixtures.symbol_uses(spark))
+    """Orders as packages, suppliers as their files, parts as the files that define what is used."""
+    u = table(spark, sf_dir, "lineitem").selectExpr("CAST(l_orderkey AS STRING) AS package", "CAST(l_suppkey AS STRING) AS file", "CAST(l_partkey AS STRING) AS def_file", "CAST(l_quantity AS BIGINT) AS n")
+    return related.go_uses(u.select(F.col("def_file").alias("target")).distinct(), u)
 
 
 @query("""WITH e AS (SELECT l_orderkey AS src, l_partkey AS dst, 9 AS w, 'imports' AS reason FROM lineitem UNION ALL SELECT l_orderkey, l_suppkey, 10, 'imported_by' FROM lineitem),
@@ -277,7 +353,7 @@ def same_directory(spark, sf_dir):
 def mentions(spark, sf_dir):
     hay = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("hay"))
     needle = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("needle"))
-    return hay.join(needle, F.contains(F.col("hay"), F.col("needle"))).select("doc_id", "item_id")
+    return related.find_all(hay, "doc_id", "hay", needle, "needle").join(needle, "needle").select("doc_id", "item_id")
 
 
 @query("WITH e AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem) SELECT dst AS node, count(*) AS importers FROM e GROUP BY dst")
@@ -291,10 +367,10 @@ def importer_counts(spark, sf_dir):
 _DECL_SQL = "(?i)^\\s*(pub\\s+)?(class|def|enum|fn|func|function|impl|interface|module|object|struct|trait|type)\\s+\\w+"
 
 
-@query(f"""WITH {FILES}, ln AS (SELECT path, unnest(string_split(content, chr(10))) AS l, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM files)
+@query(f"""WITH {CODE}, ln AS (SELECT path, unnest(string_split(content, chr(10))) AS l, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM code)
 SELECT path, CAST(i AS INT) AS line, trim(l) AS text FROM ln WHERE regexp_matches(l, '{_DECL_SQL}')""")
 def declarations(spark, sf_dir):
-    return outline.generic_declarations(files(spark, sf_dir))
+    return outline.generic_declarations(code(spark, sf_dir).where("doc_id >= 0"))
 
 
 @query(f"""WITH {FILES}, ln AS (SELECT doc_id, unnest(string_split(content, chr(10))) AS l, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM files),
@@ -306,14 +382,26 @@ def generic_outlines(spark, sf_dir):
     return outline.outlines(x.withColumn("path", F.concat(F.col("path").cast("string"), F.lit(".txt")))).select(F.regexp_replace("path", r"\.txt$", "").cast("long").alias("doc_id"), "outline")
 
 
-@query()
+_TS_DECL = f"'export function f' || {_N} || '(a) {{' || {_NL}"
+_REQUIRE = f"CASE WHEN path LIKE '%.js' AND dst IS NOT NULL THEN {_IMPORT['.js']} ELSE '' END"
+_TS_LINE = "CASE WHEN dst IS NULL THEN '2' ELSE '3' END"
+_GO_OUT = (
+    "'package p'", "'// F' || {n} || ' says so.'", "'func F' || {n} || '(a int, b string) (int, error)'", "'// T' || {n} || ' has three.'", "'type T' || {n} || ' struct {{ /* 3 fields */ }}'",
+    "'type I' || {n} || ' interface {{'", "chr(9) || 'Do(a int) error'", "'}}'", "'const K' || {n} || ' int'",
+)
+_go_line = lambda k: f"'L' || CASE WHEN dst IS NULL THEN '{k}' ELSE '{k + 2}' END || ': "
+_GO_SUM = ("'package p'", f"{_go_line(4)}func F' || {_N}", f"{_go_line(9)}type T' || {_N} || ' struct'", f"{_go_line(14)}type I' || {_N} || ' interface'", f"{_go_line(18)}const K' || {_N}")
+_IS_CODE = "(path LIKE '%.go' OR path LIKE '%.ts' OR path LIKE '%.js')"
+
+
+@query(f"""WITH {CODE} SELECT path, CASE WHEN path LIKE '%.go' THEN {_lines(*_of(_GO_OUT))} ELSE {_REQUIRE} || '/** File ' || {_N} || '. */' || {_NL} || {_TS_DECL} END AS outline FROM code WHERE {_IS_CODE}""")
 def code_outlines(spark, sf_dir):
-    return outline.outlines(fixtures.repo(spark))
+    return outline.outlines(code(spark, sf_dir).where(P.ext("path").isin(".go", ".ts", ".js")))
 
 
-@query()
+@query(f"""WITH {CODE} SELECT path, CASE WHEN path LIKE '%.go' THEN {_lines(*_GO_SUM)} ELSE CASE WHEN {_REQUIRE} = '' THEN '' ELSE 'L1: ' || {_REQUIRE} END || 'L' || {_TS_LINE} || ': ' || {_TS_DECL} END AS outline FROM code WHERE {_IS_CODE}""")
 def code_summaries(spark, sf_dir):
-    return outline.summaries(fixtures.repo(spark))
+    return outline.summaries(code(spark, sf_dir).where(P.ext("path").isin(".go", ".ts", ".js")))
 
 
 _SCORED = """sc AS (SELECT *, CAST(CASE WHEN contains(lower(content), 'inth') THEN 10 + (length(lower(content)) - length(replace(lower(content), 'inth', ''))) // 4 ELSE 0 END + CASE WHEN start_line <= 5 THEN 1 ELSE 0 END AS INT) AS score FROM chunks),
@@ -335,7 +423,7 @@ def _context_inputs(spark, sf_dir):
     x = files(spark, sf_dir)
     targets = x.select(F.col("path").alias("target"))
     toxic = table(spark, sf_dir, "labels").where("toxic = 1")
-    near = related.top(related.scores(related.same_dir(x.select("path"), targets)), 30)
+    near = related.top(related.scores(related.same_dir(x.select("path"), targets, 30)), 30)
     return x, context.file_list(targets, near, exclude=x.join(toxic, "doc_id", "left_semi"))
 
 
@@ -349,15 +437,18 @@ def context_full(spark, sf_dir):
     return out.select("target", "path", "file_place", "start_line", "end_line", F.md5("content").alias("content_md5"), "rank", "total", "fits")
 
 
-@query(f"""WITH RECURSIVE {_chunk_sql(20, 1024)}, {_SCORED}, {_CONTEXT}, own AS (SELECT path AS target, sum(strlen(content)) AS b FROM best GROUP BY path)
-SELECT target, count(*) AS files, min(file_place) AS first_place, CAST(coalesce(min(own.b), 0) AS BIGINT) AS own_bytes FROM pl LEFT JOIN own USING (target) WHERE target <> path GROUP BY target""")
+@query(f"""WITH RECURSIVE {_chunk_sql(20, 1024)}, {_SCORED}, {_CONTEXT}, own AS (SELECT path AS target, sum(strlen(content)) AS b FROM best GROUP BY path),
+al AS (SELECT path, unnest(string_split(content, chr(10))) AS l, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM files),
+hd AS (SELECT path, string_agg(l || chr(10), '' ORDER BY i) AS head FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY i) AS r FROM al WHERE regexp_matches(l, '\\S')) WHERE r <= 3 GROUP BY path),
+dc AS (SELECT path, string_agg('L' || i || ': ' || trim(l) || chr(10), '' ORDER BY i) AS decl FROM al WHERE regexp_matches(l, '{_DECL_SQL}') GROUP BY path),
+ol AS (SELECT path, coalesce(head, '') || coalesce(decl, '') AS outline FROM files LEFT JOIN hd USING (path) LEFT JOIN dc USING (path)),
+tt AS (SELECT pl.target, pl.path, file_place, outline, sum(strlen(outline)) OVER (PARTITION BY pl.target ORDER BY file_place) + coalesce(own.b, 0) AS total FROM pl JOIN ol USING (path) LEFT JOIN own ON own.target = pl.target AND pl.target IN (SELECT path FROM pl WHERE path = target) WHERE pl.target <> pl.path AND outline <> '')
+SELECT target, path, CAST(file_place AS INT) AS file_place, md5(outline) AS outline_md5, CAST(total AS BIGINT) AS total, total <= 4000 AS fits FROM tt""")
 def context_auto(spark, sf_dir):
-    """Sizes of the packs in auto mode, without a budget."""
+    """Packs in auto mode: outlines of the related files within what the targets' own chunks leave of 4000 bytes."""
     x, paths = _context_inputs(spark, sf_dir)
-    own, rest = context.auto(paths, x, chunk.chunks(x, SMALL), context.ContextOptions(focus="inth", max_bytes=0))
-    size = chunk.chunks(x, SMALL)
-    size = context.best_chunks(size, context.ContextOptions(focus="inth")).groupBy(F.col("path").alias("target")).agg(F.sum(F.octet_length("content")).alias("own_bytes"))
-    return rest.groupBy("target").agg(F.count("*").alias("files"), F.min("file_place").cast("long").alias("first_place")).join(size, "target", "left").withColumn("own_bytes", F.coalesce("own_bytes", F.lit(0)))
+    _, rest = context.auto(paths, x, chunk.chunks(x, SMALL), context.ContextOptions(focus="inth", max_bytes=4000))
+    return rest.select("target", "path", "file_place", F.md5("outline").alias("outline_md5"), "total", "fits")
 
 
 # == notes
@@ -366,17 +457,11 @@ def context_auto(spark, sf_dir):
 def _writes(spark, sf_dir):
     x = table(spark, sf_dir, "conversations")
     return x.select(
-        F.row_number().over(_order("conv_id", "turn")).alias("seq"), F.col("conv_id").cast("string").alias("key"), "text", F.array(F.concat(F.lit(" "), F.upper("role")), "role", F.lit("")).alias("tags"), F.lit("./docs/../n.md").alias("path")
+        F.expr("CAST(conv_id AS BIGINT) * 1000000 + turn").alias("seq"), F.col("conv_id").cast("string").alias("key"), "text", F.array(F.concat(F.lit(" "), F.upper("role")), "role", F.lit("")).alias("tags"), F.lit("./docs/../n.md").alias("path")
     )
 
 
-def _order(*c):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*c)
-
-
-_NOTES = """w AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS seq, CAST(conv_id AS VARCHAR) AS key, text, role FROM conversations),
+_NOTES = """w AS (SELECT CAST(conv_id AS BIGINT) * 1000000 + turn AS seq, CAST(conv_id AS VARCHAR) AS key, text, role FROM conversations),
 notes AS (SELECT key, min(seq) AS pos, arg_max(text, seq) AS text, [lower(arg_max(role, seq))] AS tags, 'n.md' AS path FROM w WHERE regexp_matches(text, '\\S') GROUP BY key)"""
 
 
@@ -460,7 +545,16 @@ def change_classes(spark, sf_dir):
     return x.select("path", P.ignored_change("path").alias("ignored"), *(c.alias(k) for k, c in changes.class_flags("path").items()))
 
 
-@query("SELECT CAST(unnest(['a.go', 'new.go', 'c.go', 'b.go', 'old.go']) AS VARCHAR) AS path, unnest(['add', 'add', 'add', 'del', 'del']) AS op")
+_CODES = {"view": " M", "click": "??", "purchase": "D ", "signup": "R ", "logout": "C "}
+_CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CODES.items()) + " END"
+
+
+@query("""WITH e AS (SELECT user_id, event_type AS t, 'f' || event_id AS p, 'g' || event_id AS q FROM events)
+SELECT DISTINCT user_id, op, path FROM (SELECT user_id, 'add' AS op, p AS path FROM e WHERE t IN ('view', 'click') UNION ALL SELECT user_id, 'del', p FROM e WHERE t IN ('purchase', 'signup')
+UNION ALL SELECT user_id, 'add', q FROM e WHERE t IN ('signup', 'logout'))""")
 def git_status(spark, sf_dir):
-    add, gone = changes.parse_porcelain(" M a.go\0D  b.go\0R  old.go\0new.go\0?? c.go\0")
-    return spark.createDataFrame([(p, "add") for p in sorted(add)] + [(p, "del") for p in sorted(gone)], "path string, op string")
+    """The events of each user as the answer of one status call: changed, new, deleted, renamed and copied files."""
+    e = table(spark, sf_dir, "events").selectExpr("user_id", "event_id", f"{_CASE} AS code").where("code IS NOT NULL")
+    entry = F.concat("code", F.lit(" f"), F.col("event_id").cast("string"), F.lit("\0"), F.when(F.col("code").isin("R ", "C "), F.concat(F.lit("g"), F.col("event_id").cast("string"), F.lit("\0"))).otherwise(F.lit("")))
+    blob = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", entry.alias("x")))), lambda s: s["x"]), "").alias("blob"))
+    return blob.select("user_id", F.inline(changes.status_paths("blob")))

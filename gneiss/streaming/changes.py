@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import os
 import subprocess
+import time
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..functions import paths as P
@@ -39,6 +43,16 @@ def parse_porcelain(blob: str, new_first: bool = False) -> tuple[set[str], set[s
     return add, gone
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("path", T.StringType())])))
+def status_paths(blob: pa.Array) -> pa.Array:
+    """(op, path) of each status text of a column, by parse_porcelain."""
+    out = []
+    for b in blob.to_pylist():
+        add, gone = parse_porcelain(b or "")
+        out.append([{"op": "add", "path": p} for p in sorted(add)] + [{"op": "del", "path": p} for p in sorted(gone)])
+    return pa.array(out, pa.list_(pa.struct([("op", pa.string()), ("path", pa.string())])))
+
+
 def event_op(kind: str | Column) -> Column:
     """create, write and chmod add; remove and rename delete; others are null."""
     k = F.lower(P.col(kind))
@@ -46,15 +60,27 @@ def event_op(kind: str | Column) -> Column:
 
 
 class GitStatusReader(SimpleDataSourceStreamReader):
+    """With delayMs, a poll that finds a change it hasn't reported waits so long and looks again: what changes meanwhile comes in the same batch."""
+
     def __init__(self, options):
-        self.root = options["path"]
+        self.root, self.delay, self.before = options["path"], int(options.get("delayMs", 0)) / 1000, None
 
     def initialOffset(self):
         return {"poll": 0}
 
-    def read(self, start):
+    def _status(self) -> tuple[set[str], set[str]]:
         done = subprocess.run(["git", "-C", self.root, *"status --porcelain -z --untracked-files=all".split()], capture_output=True, text=True)
-        add, gone = parse_porcelain(done.stdout) if done.returncode == 0 else (set(), set())
+        if done.returncode:
+            raise RuntimeError(f"git status failed: {done.stderr.strip()}")
+        return parse_porcelain(done.stdout)
+
+    def read(self, start):
+        add, gone = self._status()
+        if self.delay and (add or gone) and (add, gone) != self.before:
+            time.sleep(self.delay)
+            more, less = self._status()
+            add, gone = add | more, gone | less
+        self.before = (add, gone)
         rows = [("add", p) for p in sorted(add)] + [("del", p) for p in sorted(gone)]
         return iter(rows), {"poll": start["poll"] + 1}
 
@@ -77,16 +103,24 @@ class GitStatusSource(DataSource):
 
 
 class TreeChangeReader(SimpleDataSourceStreamReader):
-    """Compares the tree with what the poll before saw. A stream that starts anew adds every file once, which an upsert bears."""
+    """Compares the tree with what the poll before saw. A stream that starts anew adds every file once, which an upsert bears.
+
+    With delayMs a batch ends so long after its first event: a poll that finds a change waits and looks again."""
 
     def __init__(self, options):
-        self.root, self.seen = options["path"], {}
+        self.root, self.delay, self.seen = options["path"], int(options.get("delayMs", 0)) / 1000, {}
 
     def initialOffset(self):
         return {"poll": 0}
 
+    def _poll(self) -> dict[str, tuple[int, int]]:
+        return {p: (size, at) for p, size, at in walk(self.root)}
+
     def read(self, start):
-        now = {p: (size, time) for p, size, time in walk(self.root)}
+        now = self._poll()
+        if self.delay and now != self.seen:
+            time.sleep(self.delay)
+            now = self._poll()
         rows = [("add", p) for p, s in now.items() if self.seen.get(p) != s] + [("del", p) for p in self.seen if p not in now]
         self.seen = now
         return iter(rows), {"poll": start["poll"] + 1}
@@ -109,21 +143,35 @@ class TreeChangeSource(DataSource):
         return TreeChangeReader(self.options)
 
 
-def change_stream(spark: SparkSession, detector: str, path: str) -> DataFrame:
-    """(op, path) from a git work tree ('git'), from polls of a directory ('fs'), from whichever of the two fits ('auto'), or from a folder of
-    JSON event files ('feed'): ts, kind, path."""
-    if detector == "auto":
-        detector = "git" if os.path.exists(os.path.join(path, ".git")) else "fs"
-    if detector == "fs":
-        spark.dataSource.register(TreeChangeSource)
-        return spark.readStream.format("tree_changes").load(path)
+def is_git(path: str) -> bool:
+    """Whether git can tell the state of this work tree."""
+    try:
+        return subprocess.run(["git", "-C", path, "rev-parse", "--is-inside-work-tree"], capture_output=True).returncode == 0 and os.path.exists(os.path.join(path, ".git"))
+    except OSError:
+        return False
+
+
+def choose_detector(detector: str, path: str) -> str:
+    """'git' where git is asked for and can tell, or where the directory can't be listed; otherwise 'fs'."""
+    detector = detector.strip().lower()
+    if detector == "feed":
+        return detector
+    listed = os.access(path, os.R_OK | os.X_OK)
     if detector == "git":
-        spark.dataSource.register(GitStatusSource)
-        return spark.readStream.format("git_status").load(path)
+        return "git" if is_git(path) else "fs"
+    return "fs" if listed or not is_git(path) else "git"
+
+
+def change_stream(spark: SparkSession, detector: str, path: str, delay_ms: int = 0) -> DataFrame:
+    """(op, path) from a git work tree ('git'), from polls of a directory ('fs'), from whichever of the two works ('auto': the directory first), or from a folder of
+    JSON event files ('feed'): ts, kind, path. delay_ms: from the first event of a batch to its end."""
+    detector = choose_detector(detector, path)
     if detector == "feed":
         x = spark.readStream.schema("ts timestamp, kind string, path string").json(path)
         return x.select("ts", event_op("kind").alias("op"), "path").where("op IS NOT NULL")
-    raise ValueError(detector)
+    source = TreeChangeSource if detector == "fs" else GitStatusSource
+    spark.dataSource.register(source)
+    return spark.readStream.format(source.name()).option("delayMs", delay_ms).load(path)
 
 
 def fold_changes(batch: DataFrame, exists: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -147,22 +195,33 @@ def run_stream(changes: DataFrame, flush: Callable[[DataFrame, DataFrame], None]
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=delay)).start()
 
 
+def _batch_starts(delay_us: int):
+    """Of each list of times in order: those that open a batch."""
+
+    def run(times: pa.Array) -> pa.Array:
+        out = []
+        values, ends = times.flatten().to_numpy(), np.concatenate(([0], np.cumsum(times.value_lengths().fill_null(0).to_numpy())))
+        for a, b in zip(ends[:-1], ends[1:]):
+            t, k, starts = values[a:b], 0, []
+            while k < len(t):
+                starts.append(int(t[k]))
+                k = int(np.searchsorted(t, t[k] + delay_us, "right"))
+            out.append(starts)
+        return pa.array(out, pa.list_(pa.int64()))
+
+    run.__annotations__ = {"times": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<bigint>")
+
+
 def fixed_delay_batches(events: DataFrame, key: str, ts: str, tie: str, delay_us: int) -> DataFrame:
     """events with `batch`, from 1 in each key: a batch opens with the first pending event and takes all within the delay of it.
 
     Later events don't prolong a batch, so this is no session window: each batch's end depends on its start, a fold over the events of a
-    key in time order. The fold runs over arrays of times in the JVM, one array for each key.
+    key in time order: a binary search a batch in the key's list of different times.
     """
     x = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
     times = x.groupBy(key).agg(F.array_sort(F.collect_set("_t")).alias("times"))
-
-    # a batch's start stands for all its times: the list of starts is folded, then each event takes the last start before it
-    begin = F.struct(F.lit(None).cast("long").alias("start"), F.array().cast("array<bigint>").alias("starts"))
-
-    def open_(s, t):
-        return F.when(s["start"].isNull() | (t > s["start"] + delay_us), F.struct(t.alias("start"), F.concat(s["starts"], F.array(t)).alias("starts"))).otherwise(s)
-
-    starts = times.select(key, F.explode(F.aggregate("times", begin, open_, lambda s: s["starts"])).alias("_t")).withColumn("_open", F.lit(1))
+    starts = times.select(key, F.explode(_batch_starts(delay_us)("times")).alias("_t")).withColumn("_open", F.lit(1))
     marked = x.join(starts, [key, "_t"], "left")
     first = F.row_number().over(Window.partitionBy(key, "_t").orderBy(tie)) == 1
     opened = F.when(first & (F.col("_open") == 1), 1).otherwise(0)

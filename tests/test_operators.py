@@ -233,3 +233,43 @@ def test_refresh_edges(spark):
     new = spark.createDataFrame([("js", "a", "x"), ("js", "c", "y")], "lang string, src string, dst string")
     got = changes.refresh_edges(old, new, spark.createDataFrame([("a",)], "path string"))
     assert {(r.src, r.dst) for r in got.collect()} == {("a", "x"), ("c", "d")}
+
+
+def test_first_fit_starts_with_bytes_and_gives_some_back(spark):
+    from gneiss.operators import select
+
+    x = spark.createDataFrame([(1, 60, 0), (2, 50, 50), (3, 30, 0), (4, None, 0), (5, 30, 0)], "i int, size long, old long")
+    fits = lambda **k: [r.i for r in select.first_fit(x, 100, "size", ["i"], **k).where("fits").orderBy("i").collect()]
+    assert fits() == [1, 3] and fits(used=45) == [2]
+    assert fits(used=45, back="old") == [2, 3] and fits(used=101) == []
+
+
+def test_words_in_texts_by_an_automaton(spark):
+    from gneiss.operators import related
+
+    texts = spark.createDataFrame([(1, "abcab"), (2, None), (3, ""), (4, "bca ab ж“x”")], "id long, t string")
+    words = spark.createDataFrame([("ab",), ("bc",), ("zz",), ("",), ("ж“x",), ("ab",)], "w string")
+    for portion in (1 << 20, 3):
+        got = sorted(map(tuple, related.find_all(texts, "id", "t", words, "w", portion).collect()))
+        assert got == [(1, "ab"), (1, "bc"), (4, "ab"), (4, "bc"), (4, "ж“x")]
+    assert related.find_all(texts, "id", "t", words.limit(0), "w").count() == 0
+
+
+def test_the_best_of_a_directory_don_t_need_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from gneiss.operators import related
+
+    names = [f"d/f{i:02d}.py" for i in range(30)] + [f"d/g{i}_test.go" for i in range(3)]
+    files = spark.createDataFrame([(p, "import d.f29\n" if p == "d/f05.py" else "", 1, 1) for p in names], "path string, content string, size long, mod_time long")
+    targets = files.select(F.col("path").alias("target"))
+    for most in (1, 2, 5, 40):
+        got = {(r.target, r.path, r.score) for r in related.related(files, targets, related.RelatedOptions(most)).collect()}
+        want = set()
+        for t in names:
+            score = {p: 6 if p.endswith("_test.go") else 5 for p in names if p != t}
+            for a, b, w in (("d/f05.py", "d/f29.py", 9), ("d/f29.py", "d/f05.py", 10)):
+                if t == a:
+                    score[b] += w
+            want |= {(t, p, s) for p, s in sorted(score.items(), key=lambda x: (-x[1], x[0]))[:most]}
+        assert got == want, most
