@@ -1,11 +1,12 @@
 """Operator 7: BPE encoding and decoding with a pair occurrence index.
 
-The pre-tokens of a partition are told apart once; their symbols lie in one array as linked lists. The index maps each pair that can merge to all
-its positions; active ranks are applied in ascending order to all their positions, and only the lists of the pairs next to a merge are updated. The lists
-are kept in drawers of 256 neighbouring ranks: one numpy pass over a drawer merges, in each pre-token, the occurrences of its least rank, and
-goes on until the drawer is empty. As a merge only makes pairs of higher ranks, this is the order of one rank after the other.
+Each pre-token of a partition enters the index once; their symbols lie in one array as linked lists. The index maps each pair that can merge (by the rank of what it becomes) to all
+its positions. Active ranks are applied in ascending order, from a heap: a rank's merges are done at all its positions by one pass over arrays, the lists of the pairs that end or begin next to a merge
+are updated, and ranks that become active by that are put on the heap. Where a merge makes a pair of a lower rank, that is next; a pre-token in which that happens between two merges of one rank is
+merged alone, from left to right.
 
-Scale: no shuffle; a task works on portions of `portion_bytes` of text, so its memory doesn't grow with its partition. The vocabulary is a broadcast of fixed size.
+Scale: no shuffle. A partition is read in portions of `portion_bytes` of text and keeps the pre-tokens it has seen with their ids, so a portion indexes only what is new; with more than `most_words` of
+them it starts anew, with the same result. So a task's memory doesn't grow with its partition. The vocabulary is a broadcast of fixed size.
 
 Defined results: a null text has null ids, an empty one none. Texts are encoded whole; strings of special tokens are ordinary text. Decoding gives the exact text
 back; ids outside the vocabulary and nulls among them are an error; bytes that aren't UTF-8 become U+FFFD. Added columns take underscores in front where docs
@@ -15,7 +16,9 @@ has columns of their names. Empty tables give no rows.
 from __future__ import annotations
 
 import base64
+import heapq
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +29,14 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, free_name, string_parts, trim
 
 NONE = np.int32(1 << 30)
-DRAWER = 8  # bits of a rank within a drawer
 
 
 @dataclass(frozen=True)
 class BpeParams:
     vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     pattern: str = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-    portion_bytes: int = 12 << 20
+    portion_bytes: int = 8 << 20
+    most_words: int = 1 << 19  # pre-tokens kept with their ids
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -42,6 +45,27 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
+class _Numbers(dict):
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+class Known:
+    """Pre-tokens by number, with their ids."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = _Numbers()
+        self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, ids: np.ndarray, at: np.ndarray) -> None:
+        self.at = np.concatenate((self.at, self.at[-1] + at[1:]))
+        self.ids = np.concatenate((self.ids, ids))
+
+
 class Bpe:
     def __init__(self, ranks: dict[bytes, int], params: BpeParams):
         self.params = params
@@ -62,7 +86,6 @@ class Bpe:
             self.keys[place[free]], self.values[place[free]] = key[left[free]], value[left[free]]
             left = left[self.keys[place] != key[left]]
             at[left] = (at[left] + 1) & self.mask
-        self.drawers = (len(self.tokens) >> DRAWER) + 1
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -97,62 +120,102 @@ class Bpe:
         rank = np.full(n, NONE, np.int32)
         i = np.flatnonzero(nxt >= 0)
         rank[i] = self.rank(sym[i], sym[i + 1])
-        # the index: positions by drawer of the rank of the pair that begins there
-        drawers: list[list[np.ndarray]] = [[] for _ in range(self.drawers)]
+        # the index: of each rank the positions where a pair begins that becomes it
+        index: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
 
         def put(i: np.ndarray) -> None:
-            i = i[rank[i] != NONE]
-            if len(i):
-                d = rank[i] >> DRAWER
-                order = np.argsort(d, kind="stable")
-                i, d = i[order], d[order]
-                cut = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1], [True])))
-                for a, b in zip(cut[:-1], cut[1:]):
-                    drawers[d[a]].append(i[a:b])
+            r = rank[i]
+            i, r = i[r != NONE], r[r != NONE]
+            order = np.argsort(r, kind="stable")
+            i, r = i[order], r[order]
+            cut = np.flatnonzero(r[1:] != r[:-1]) + 1
+            for k, x in zip(r[np.concatenate(([0], cut))].tolist() if len(r) else (), np.split(i, cut)):
+                if k in index:
+                    index[k].append(x)
+                else:
+                    index[k] = [x]
+                    heapq.heappush(active, k)
 
         put(i)
-        for k in range(self.drawers):
-            while drawers[k]:
-                p = _distinct(np.concatenate(drawers[k]))
-                drawers[k] = []
-                p = p[alive[p] & (rank[p] >> DRAWER == k)]
-                if not len(p):
-                    continue
-                start = np.flatnonzero(np.concatenate(([True], word[p][1:] != word[p][:-1])))
-                least = np.repeat(np.minimum.reduceat(rank[p], start), np.diff(np.append(start, len(p))))
-                now = rank[p] == least
-                later, p = p[~now], p[now]
-                # of occurrences that overlap (aaa), every other one from the left
-                chain = np.concatenate(([True], nxt[p[:-1]] != p[1:]))
+        alone: set[int] = set()
+        while active:
+            k = heapq.heappop(active)
+            p = index.pop(k)
+            p = _distinct(p[0] if len(p) == 1 else np.concatenate(p))
+            p = p[alive[p] & (rank[p] == k)]
+            if not len(p):
+                continue
+            # of occurrences that overlap (aaa), every other one from the left
+            chain = np.concatenate(([True], nxt[p[:-1]] != p[1:]))
+            if not chain.all():
                 first = np.flatnonzero(chain)
-                even = (np.arange(len(p)) - first[np.cumsum(chain) - 1]) % 2 == 0
-                later, p = np.concatenate((later, p[~even])), p[even]
-                q = nxt[p]
-                sym[p] = rank[p]
-                alive[q] = False
-                rank[q] = NONE
-                after = nxt[q]
-                nxt[p] = after
-                has = after >= 0
-                prv[after[has]] = p[has]
-                before = prv[p]
-                touched = _distinct(np.concatenate((p, before[before >= 0])))
-                touched = touched[alive[touched]]
-                rank[touched] = NONE
-                t = touched[nxt[touched] >= 0]
-                rank[t] = self.rank(sym[t], sym[nxt[t]])
-                put(np.concatenate((later, t)))
-        return sym[alive], np.searchsorted(word[alive], np.arange(len(raw) + 1))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of the texts."""
-        number: dict[str, int] = _Numbers()
-        find, get = regex.compile(self.params.pattern).findall, number.__getitem__
+                p = p[(np.arange(len(p)) - first[np.cumsum(chain) - 1]) % 2 == 0]
+            q = nxt[p]
+            side = np.flatnonzero(nxt[q[:-1]] == p[1:])  # merges side by side: the left one is done while the right one's first symbol is there still
+            early = side[self.rank(np.full(len(side), k, np.int32), sym[p[side + 1]]) < k] if len(side) else side
+            alone.update(word[p[early]].tolist())
+            sym[p] = k
+            alive[q] = False
+            rank[q] = NONE
+            after = nxt[q]
+            nxt[p] = after
+            has = after >= 0
+            prv[after[has]] = p[has]
+            before = prv[p]
+            touched = _distinct(np.concatenate((p, before[before >= 0])))
+            rank[touched] = NONE
+            t = touched[nxt[touched] >= 0]
+            rank[t] = self.rank(sym[t], sym[nxt[t]])
+            put(t)
+            if len(t) and rank[t].min() < k:
+                many = word[p][1:][word[p][1:] == word[p][:-1]]
+                alone.update(np.intersect1d(many, word[t[rank[t] < k]]).tolist())
+        ids, at = sym[alive], np.searchsorted(word[alive], np.arange(len(raw) + 1))
+        if alone:
+            each = [self._one(raw[w]) if w in alone else ids[at[w] : at[w + 1]] for w in range(len(raw))]
+            return np.concatenate(each), np.concatenate(([0], np.cumsum([len(x) for x in each])))
+        return ids, at
+
+    def _one(self, raw: bytes) -> np.ndarray:
+        """Ids of one pre-token: the leftmost pair of the least rank, one merge at a time."""
+        sym = self.of_byte[np.frombuffer(raw, np.uint8)].tolist()
+        n = len(sym)
+        nxt, prv = [*range(1, n), -1], list(range(-1, n - 1))
+        first = self.rank(np.array(sym[:-1], np.int32), np.array(sym[1:], np.int32)).tolist()
+        heap = [(r, i, sym[i], sym[i + 1]) for i, r in enumerate(first) if r != NONE]
+        heapq.heapify(heap)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = nxt[i]
+            if sym[i] != a or j < 0 or sym[j] != b:
+                continue
+            sym[i], sym[j] = r, -1
+            nxt[i] = nxt[j]
+            if nxt[i] >= 0:
+                prv[nxt[i]] = i
+            for x in (prv[i], i):
+                if x >= 0 and nxt[x] >= 0:
+                    a, b = sym[x], sym[nxt[x]]
+                    r = int(self.rank(np.array([a], np.int32), np.array([b], np.int32))[0])
+                    if r != NONE:
+                        heapq.heappush(heap, (r, x, a, b))
+        return np.array([x for x in sym if x >= 0], np.int32)
+
+    def encode(self, texts: list[str], known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of the texts. known: the pre-tokens of earlier texts, to which those of these are added."""
+        known = Known() if known is None else known
+        if len(known.number) > self.params.most_words:
+            known.clear()
+        find, get = regex.compile(self.params.pattern).findall, known.number.__getitem__
         seen = []
         for t in texts:
             found = find(t)
             seen.append(np.fromiter(map(get, found), np.int32, len(found)))
-        ids, at = self.encode_words(list(number))
+        fresh = list(islice(known.number, len(known.at) - 1, None))
+        if fresh:
+            known.add(*self.encode_words(fresh))
+        ids, at = known.ids, known.at
         size = np.diff(at)
         w = np.concatenate(seen) if seen else np.zeros(0, np.int32)
         n = size[w]
@@ -167,12 +230,6 @@ class Bpe:
         return [b"".join(map(get, ids[a:b])).decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:])]
 
 
-class _Numbers(dict):
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 def load(spark, params: BpeParams):
     """Broadcast of the vocabulary, which the driver reads."""
     bounded_batches(spark)
@@ -187,9 +244,9 @@ def encode(docs: DataFrame, params: BpeParams = BpeParams()) -> DataFrame:
     at = docs.columns.index("text")
     names = [free_name(docs.columns, n) for n in ("token_ids", "n_tokens")]
 
-    def flush(batches: list[pa.RecordBatch]):
+    def flush(batches: list[pa.RecordBatch], known: Known):
         with np.errstate(over="ignore"):
-            ids, ends = bpe.value.encode([t or "" for b in batches for t in b.column(at).to_pylist()])
+            ids, ends = bpe.value.encode([t or "" for b in batches for t in b.column(at).to_pylist()], known)
         trim()
         row = 0
         for b in batches:
@@ -200,7 +257,7 @@ def encode(docs: DataFrame, params: BpeParams = BpeParams()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(np.diff(e).astype(np.int32), mask=null)], names=[*(f"c{i}" for i in range(b.num_columns)), "ids", "n"])
 
     def run(it):
-        held, size = [], 0
+        held, size, known = [], 0, Known()
         for batch in it:
             _, off = string_parts(batch.column(at))
             i = 0
@@ -210,10 +267,10 @@ def encode(docs: DataFrame, params: BpeParams = BpeParams()) -> DataFrame:
                 size += int(off[j] - off[i])
                 i = j
                 if size >= params.portion_bytes or i < batch.num_rows:
-                    yield from flush(held)
+                    yield from flush(held, known)
                     held, size = [], 0
         if held:
-            yield from flush(held)
+            yield from flush(held, known)
 
     kinds = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)]
     x = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, ", ".join([*kinds, "ids array<int>", "n int"]))

@@ -41,27 +41,40 @@ def test_random_texts(both, texts):
     assert bpe.decode(ids, off) == texts
 
 
-def test_rank_after_rank():
-    """Against merging one pair at a time, with a vocabulary of the letters a, b, c."""
+def one(w, ranks):
+    """Merging one pair at a time: the leftmost of the least rank."""
+    x = [bytes([c]) for c in w.encode()]
+    while True:
+        best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(x, x[1:])) if a + b in ranks), default=None)
+        if best is None:
+            return [ranks[t] for t in x]
+        i = best[1]
+        x[i : i + 2] = [x[i] + x[i + 1]]
+
+
+@pytest.mark.parametrize("tokens", [(b"ab", b"aa", b"aab", b"bc", b"aaaa", b"abc"), (b"abab", b"abc", b"cab", b"aba", b"ab", b"ca", b"aaa", b"aa"), (b"aaaa", b"bab", b"aa", b"ab", b"ba")])
+def test_rank_after_rank(tokens):
+    """With vocabularies of the letters a, b, c; in the last two, merges make pairs of lower ranks."""
     ranks = {bytes([i]): i for i in range(256)}
-    for t in (b"ab", b"aa", b"aab", b"bc", b"aaaa", b"abc"):
+    for t in tokens:
         ranks[t] = len(ranks)
     bpe = B.Bpe(ranks, P)
     r = np.random.default_rng(0)
-    words = ["".join(r.choice(list("abc"), n)) for n in r.integers(1, 14, 300)]
-
-    def one(w):
-        x = [bytes([c]) for c in w.encode()]
-        while True:
-            best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(x, x[1:])) if a + b in ranks), default=None)
-            if best is None:
-                return [ranks[t] for t in x]
-            i = best[1]
-            x[i : i + 2] = [x[i] + x[i + 1]]
-
+    words = ["".join(r.choice(list("abc"), n)) for n in r.integers(1, 14, 300)] + ["a" * n for n in range(1, 20)] + ["ab" * 9, "aab" * 9]
+    want = [one(w, ranks) for w in words]
     with np.errstate(over="ignore"):
         ids, off = bpe.encode_words(words)
-    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [one(w) for w in words]
+        assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == want
+        assert [bpe._one(w.encode()).tolist() for w in words] == want
+
+
+def test_what_is_known_changes_nothing(both):
+    known = B.Known()
+    for most in (1 << 20, 3):
+        bpe = B.Bpe({t: i for i, t in enumerate(both[0].tokens) if t}, B.BpeParams(most_words=most))
+        for k in (1, 2, 1):
+            ids, off = bpe.encode(TEXTS[k:], known)
+            assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [both[1].encode_ordinary(t) for t in TEXTS[k:]]
 
 
 def test_table(spark, docs, both):
