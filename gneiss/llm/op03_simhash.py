@@ -4,9 +4,9 @@ A document's fingerprint is a 128-bit SimHash of its distinct words, weighted by
 parts of 46 bits stands the covering code: two binary Golay codes side by side, 2^24 anchors, covering radius 3 in each block (6 in all). A fingerprint is
 replicated to every anchor within covering radius plus threshold, and fingerprints are compared with those at the same anchor.
 
-How far plus threshold: between two values that differ in `threshold` bits lies one that differs from either in half of these;
-its anchor lies within covering radius plus half the threshold of both. So replicating both sides to covering radius plus half the
-threshold (61 anchors a part for 4 bits) finds every pair that replicating to plus the whole threshold (some 1200) does.
+How far: with `reach` "whole" both sides go to every anchor within covering radius plus threshold, so each meets the other at that one's nearest anchor. With "half", the default, it is
+covering radius plus half the threshold, and gives the same groups: between two values that differ in `threshold` bits lies one that differs from either in half of these;
+its anchor lies within covering radius plus half the threshold of both. That is 61 anchors a part for 4 bits, in place of some 1200.
 
 Near duplicates are the pairs with at most `threshold` different bits in either part and at most `whole` among all 128 (which holds
 for every pair with up to 2 x threshold + 1 different bits among the 92); groups are their connected components.
@@ -46,6 +46,11 @@ def parts(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class SimhashParams:
     threshold: int = 4  # of the 46 bits of a part that the anchors cover; even
     whole: int = 20  # of all 128 bits
+    reach: str = "half"  # of the threshold, beyond the covering radius: "half" or "whole"
+
+    @property
+    def slack(self) -> int:
+        return self.threshold if self.reach == "whole" else (self.threshold + 1) // 2  # an odd threshold counts as one more
 
 
 def fingerprints(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,10 +152,12 @@ def _fingerprint_batches(batches):
 
 
 def _replicate(slack: int):
+    step = 4096 >> max(0, 2 * slack - 4)
+
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
                 for table, value in enumerate(parts(*(part.column(k).to_numpy().view(U64) for k in (1, 2)))):
                     row, key = anchors(value, slack)
                     yield pa.RecordBatch.from_arrays([pa.array((key | table << 24).astype(np.int32)), *(c.take(pa.array(row)) for c in part.columns)], names=["anchor", "point", "lo", "hi"])
@@ -224,10 +231,9 @@ def _compare(p: SimhashParams):
 
 def near_pairs(points: DataFrame, params: SimhashParams = SimhashParams()) -> DataFrame:
     """Edges (a, b), a < b, between points (point, lo, hi) with different fingerprints: enough to connect all that are within the threshold."""
-    slack = (params.threshold + 1) // 2  # an odd threshold counts as one more
     # a point becomes some 120 rows: the few MB of points are spread over all tasks first
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = points.select("point", "lo", "hi").repartition(parts, "point").mapInArrow(_replicate(slack), "anchor int, point long, lo long, hi long")
+    spread = points.select("point", "lo", "hi").repartition(parts, "point").mapInArrow(_replicate(params.slack), "anchor int, point long, lo long, hi long")
     return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(params), "a long, b long").distinct()
 
 

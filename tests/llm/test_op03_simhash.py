@@ -83,6 +83,19 @@ def test_groups_equal_brute_force(docs):
     assert got == brute(rows) and len(got) > 200
 
 
+def test_half_and_whole_reach_give_the_same_groups(docs):
+    rows = [(i, text(i)) for i in range(25)] + [(100 + 10 * i + k, edit(text(i), k, k)) for i in range(10) for k in (1, 3, 5, 7)] + [(400 + i, edit(text(7), 2, i)) for i in range(55)]
+    half, whole = ({tuple(r) for r in S.near_duplicate_groups(docs(rows), S.SimhashParams(reach=x)).collect()} for x in ("half", "whole"))
+    assert half == whole == brute(rows) and len(half) > 60
+
+
+def test_ids_of_any_size(docs):
+    big = 1 << 62
+    rows = [(big, text(1)), (-big, text(1)), (big - 1, text(2)), (1 << 40, edit(text(2), 1)), (0, text(3))]
+    got = {tuple(r) for r in S.near_duplicate_groups(docs(rows)).collect()}
+    assert got == {(big, -big), (-big, -big), (big - 1, 1 << 40), (1 << 40, 1 << 40)} == brute(rows)
+
+
 def test_recall_of_near_copies(docs):
     n = 80
     rows = [(i, text(i, 200)) for i in range(n)] + [(1000 + i, edit(text(i, 200), 4, i)) for i in range(n)]
