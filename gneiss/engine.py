@@ -182,13 +182,14 @@ class Engine:
     def repo_reindex(self) -> dict:
         """A full build: selection, first-fit budget on metadata, chunks of what fits."""
         with self.lock:
-            fit = select.budgeted(self.meta(own=True), self.config)
-            fit = fit.persist()
+            # one listing for all that is asked of it
+            meta = self.meta(own=True).persist(StorageLevel.DISK_ONLY)
+            fit = select.budgeted(meta, self.config).persist(StorageLevel.DISK_ONLY)
             total, kept = fit.agg(F.count("*"), F.count_if("fits")).first()
             taken = with_content(fit.where("fits"), self.root)
             self.store.write("chunks", chunk.chunks(taken, self.config))
             self.store.write("index", select.index_rows(taken, self.chunks()))
-            fit.unpersist()
+            fit.unpersist(), meta.unpersist()
             self._status(kept < total)
         return self.repo_index_status()
 

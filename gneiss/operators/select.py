@@ -8,6 +8,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Config
 from ..functions import paths as P
@@ -48,37 +49,84 @@ def priority(path, cfg: Config = Config()):
     return out
 
 
-def _fold(most: int, used: int):
-    """Of each list of (size, bytes given back): the places, from 1, of what fits."""
+def _fold(most: int, used: int, keys: int):
+    """Over rows in order, of which the first columns are the group's, the last two the size and the bytes given back: the others with `fits`."""
 
-    def run(sizes: pa.Array, back: pa.Array) -> pa.Array:
-        out = []
-        for s, b in zip(sizes.to_pylist(), back.to_pylist()):
-            total, taken = used, []
-            for k, n in enumerate(s or ()):
-                if n is not None and total + n <= most:
-                    total += n - (b[k] or 0)
-                    taken.append(k + 1)
-            out.append(taken)
-        return pa.array(out, pa.list_(pa.int32()))
+    def run(batches):
+        group, total = None, used
+        for batch in batches:
+            sizes, back = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            now = list(zip(*(batch.column(i).to_pylist() for i in range(keys)))) if keys else [()] * len(sizes)
+            fits = []
+            for g, n, b in zip(now, sizes, back):
+                if g != group:
+                    group, total = g, used
+                fits.append(n is not None and total + n <= most)
+                if fits[-1]:
+                    total += n - (b or 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[keys:-2], pa.array(fits, pa.bool_())], names=[*batch.schema.names[keys:-2], "fits"])
 
-    run.__annotations__ = {"sizes": pa.Array, "back": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<int>")
+    return run
 
 
 def first_fit(x: DataFrame, most: int, size: str, order: list, by: list[str] | None = None, used: int = 0, back: str | None = None) -> DataFrame:
     """x with column `fits`: in order, a row that would go beyond `most` is skipped and later, smaller ones may still fit. `used`: bytes at the start; `back`: a column of bytes that a row which fits gives back.
 
-    That is sequential by nature, so a group (all of x where `by` is empty) is folded as one list of sizes: metadata only, in linear time. Rows are
-    told apart by their place in the order, so equal rows are separate.
+    That is sequential by nature: a group (all of x where `by` is empty) is sorted and passes through one task as a stream, in bounded memory. For the order of a full scan, budgeted() does without.
+    """
+    by = by or []
+    add = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]
+    y = x.select(*add, *x.columns, F.col(size).cast("long").alias("_size"), (F.col(back) if back else F.lit(0)).cast("long").alias("_back"))
+    y = (y.repartition(*by) if by else y.repartition(1)).sortWithinPartitions(*by, *order)
+    return y.mapInArrow(_fold(most, used, len(by)), T.StructType([*x.schema.fields, T.StructField("fits", T.BooleanType())]))
+
+
+_CUT = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("cut", T.LongType()), T.StructField("take", T.LongType())]))
+
+
+def _cuts(most: int, used: int):
+    """Of each list of (class, size, number) in order: for each class the size from which not all fit, and how many of that size do."""
+
+    def run(bins: pa.Array) -> pa.Array:
+        out = []
+        for row in bins.to_pylist():
+            total, found = used, {}
+            for b in row:
+                if b["kind"] not in found:
+                    if b["size"] > 0:
+                        take = min(b["n"], max(0, most - total) // b["size"])
+                    else:
+                        take = b["n"] if total + b["size"] <= most else 0
+                    total += take * b["size"]
+                    if take < b["n"]:
+                        found[b["kind"]] = {"kind": b["kind"], "cut": b["size"], "take": take}
+            out.append(list(found.values()))
+        return pa.array(out, pa.list_(pa.struct([("kind", pa.int32()), ("cut", pa.int64()), ("take", pa.int64())])))
+
+    run.__annotations__ = {"bins": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, _CUT)
+
+
+def first_fit_by_class(x: DataFrame, most: int, size: str, kind, ties: list, by: list[str] | None = None, used: int = 0) -> DataFrame:
+    """first_fit() in the order kind (a whole number), size, ties; sizes aren't null.
+
+    Within a class sizes ascend, so what fits is all below one size, and of that size the first by `ties`. The sizes come from numbers of rows for each class and size, so the list that is folded has at
+    most as many items as there are sizes; only rows of the border sizes are sorted. x is evaluated three times.
     """
     by = by or []
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    x = x.withColumn("_place", place)
-    row = F.struct(F.col("_place").alias("place"), F.col(size).cast("long").alias("size"), (F.col(back).cast("long") if back else F.lit(0).cast("long")).alias("back"))
-    listed = x.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("l"))
-    taken = listed.select(*by, F.explode(_fold(most, used)(F.col("l.size"), F.col("l.back"))).alias("_place"), F.lit(True).alias("_in"))
-    return x.join(taken, [*by, "_place"], "left").withColumn("fits", F.coalesce("_in", F.lit(False))).drop("_place", "_in")
+    x = x.withColumn("_kind", kind.cast("int"))
+    bins = x.groupBy(*by, "_kind", F.col(size).cast("long").alias("_size")).agg(F.count("*").alias("n"))
+    bins = bins.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("_kind").alias("kind"), F.col("_size").alias("size"), "n"))).alias("l"))
+    cuts = bins.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.inline(_cuts(most, used)("l")))
+    on = F.col("_kind") == F.col("kind")
+    for i, c in enumerate(by):
+        on &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    y = x.join(cuts, on, "left")
+    border = y.where((F.col(size) == F.col("cut")) & (F.col("take") > 0))
+    nth = F.row_number().over(Window.partitionBy(*by, "_kind").orderBy(*ties))
+    columns = [c for c in x.columns if c != "_kind"]
+    rest = y.where(~F.coalesce((F.col(size) == F.col("cut")) & (F.col("take") > 0), F.lit(False)))
+    return rest.select(*columns, F.coalesce(F.col(size) < F.col("cut"), F.lit(True)).alias("fits")).unionByName(border.select(*columns, (nth <= F.col("take")).alias("fits")))
 
 
 def prefix_budget(x: DataFrame, most: int, size: str, order: list, by: list[str] | None = None, used: int = 0) -> DataFrame:
@@ -89,8 +137,8 @@ def prefix_budget(x: DataFrame, most: int, size: str, order: list, by: list[str]
 
 
 def budgeted(files: DataFrame, cfg: Config = Config(), by: list[str] | None = None) -> DataFrame:
-    order = [priority("path", cfg), "size", "path"]
-    return first_fit(candidates(files, cfg), cfg.max_total_bytes, "size", order, by)
+    """The candidates with `fits`: by priority, size and path as far as the budget goes."""
+    return first_fit_by_class(candidates(files, cfg), cfg.max_total_bytes, "size", priority("path", cfg), ["path"], by)
 
 
 def deleted(indexed: DataFrame, files: DataFrame, key: list[str] | None = None) -> DataFrame:

@@ -131,7 +131,17 @@ f AS (SELECT source, path, size, place, size <= 30000 AS fits, CASE WHEN size <=
 SELECT source, path, size, fits FROM f""")
 def first_fit_budget(spark, sf_dir):
     x = select.candidates(files(spark, sf_dir)).select("path", "size", F.split_part("path", F.lit("/"), F.lit(1)).alias("source"))
-    return select.first_fit(x, 30_000, "size", [select.priority("path"), "size", "path"], ["source"]).select("source", "path", "size", "fits")
+    return select.first_fit_by_class(x, 30_000, "size", select.priority("path"), ["path"], ["source"]).select("source", "path", "size", "fits")
+
+
+@query(f"""WITH RECURSIVE {FILES},
+o AS (SELECT path, size, split_part(path, '/', 1) AS source, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY path) AS place FROM files),
+f AS (SELECT source, path, size, place, size <= 30000 AS fits, CASE WHEN size <= 30000 THEN size ELSE 0 END AS used FROM o WHERE place = 1
+ UNION ALL SELECT o.source, o.path, o.size, o.place, f.used + o.size <= 30000, CASE WHEN f.used + o.size <= 30000 THEN f.used + o.size ELSE f.used END FROM f JOIN o ON o.source = f.source AND o.place = f.place + 1)
+SELECT source, path, size, fits FROM f""")
+def first_fit_by_path(spark, sf_dir):
+    x = files(spark, sf_dir).select("path", "size", F.split_part("path", F.lit("/"), F.lit(1)).alias("source"))
+    return select.first_fit(x, 30_000, "size", ["path"], ["source"]).select("source", "path", "size", "fits")
 
 
 @query(f"""WITH {FILES}, r AS (SELECT split_part(path, '/', 1) AS source, path, size, sum(size) OVER (PARTITION BY split_part(path, '/', 1) ORDER BY size DESC, path ROWS UNBOUNDED PRECEDING) AS total FROM files)

@@ -195,38 +195,43 @@ def run_stream(changes: DataFrame, flush: Callable[[DataFrame, DataFrame], None]
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=delay)).start()
 
 
-def _batch_starts(delay_us: int):
-    """Of each list of times in order: those that open a batch."""
-
-    def run(times: pa.Array) -> pa.Array:
-        out = []
-        values, ends = times.flatten().to_numpy(), np.concatenate(([0], np.cumsum(times.value_lengths().fill_null(0).to_numpy())))
-        for a, b in zip(ends[:-1], ends[1:]):
-            t, k, starts = values[a:b], 0, []
-            while k < len(t):
-                starts.append(int(t[k]))
-                k = int(np.searchsorted(t, t[k] + delay_us, "right"))
-            out.append(starts)
-        return pa.array(out, pa.list_(pa.int64()))
-
-    run.__annotations__ = {"times": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<bigint>")
+def _fixed_delay(key: int, delay_us: int):
+    """Over events in the order of key and time, of which the last column is the time: the others with `batch`."""
+
+    def run(batches):
+        last, start, n = None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, time = batch.column(key), batch.column(batch.num_columns - 1)
+            code = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cut = np.concatenate(([0], np.flatnonzero(np.diff(code)) + 1, [len(code)])).tolist()
+            known = time.is_valid().to_numpy(zero_copy_only=False)
+            t, out = time.fill_null(0).to_numpy(), np.zeros(batch.num_rows, np.int64)
+            for a, b in zip(cut[:-1], cut[1:]):
+                if last is None or last[0] != keys[a].as_py():
+                    last, start, n = (keys[a].as_py(),), None, 0
+                i = a + int(np.count_nonzero(~known[a:b]))  # nulls are first
+                while i < b:
+                    if start is None or t[i] > start + delay_us:
+                        start, n = int(t[i]), n + 1
+                    j = i + int(np.searchsorted(t[i:b], start + delay_us, "right"))
+                    out[i:j] = n
+                    i = j
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*batch.schema.names[:-1], "batch"])
+
+    return run
 
 
 def fixed_delay_batches(events: DataFrame, key: str, ts: str, tie: str, delay_us: int) -> DataFrame:
-    """events with `batch`, from 1 in each key: a batch opens with the first pending event and takes all within the delay of it.
+    """events with `batch`, from 1 in each key: a batch opens with the first pending event and takes all within the delay of it. Events without a time have batch 0.
 
-    Later events don't prolong a batch, so this is no session window: each batch's end depends on its start, a fold over the events of a
-    key in time order: a binary search a batch in the key's list of different times.
+    Later events don't prolong a batch, so this is no session window: each batch's end depends on its start, a fold over the events of a key in time order. One shuffle;
+    a key's events pass through one task as a sorted stream, in bounded memory, a binary search for each batch.
     """
     x = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    times = x.groupBy(key).agg(F.array_sort(F.collect_set("_t")).alias("times"))
-    starts = times.select(key, F.explode(_batch_starts(delay_us)("times")).alias("_t")).withColumn("_open", F.lit(1))
-    marked = x.join(starts, [key, "_t"], "left")
-    first = F.row_number().over(Window.partitionBy(key, "_t").orderBy(tie)) == 1
-    opened = F.when(first & (F.col("_open") == 1), 1).otherwise(0)
-    run = F.sum("_opened").over(Window.partitionBy(key).orderBy("_t", tie).rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("_opened", opened).withColumn("batch", run).drop("_t", "_open", "_opened")
+    x = x.repartition(key).sortWithinPartitions(key, "_t", tie)
+    return x.mapInArrow(_fixed_delay(events.columns.index(key), delay_us), T.StructType([*events.schema.fields, T.StructField("batch", T.LongType())]))
 
 
 def replay(batches: DataFrame, by: list[str]) -> DataFrame:

@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gneiss.config import Config
 from gneiss.operators import chunk, context, graph, notes, outline, related, search, select
@@ -256,8 +259,6 @@ def test_words_in_texts_by_an_automaton(spark):
 
 
 def test_the_best_of_a_directory_don_t_need_all_pairs(spark):
-    from pyspark.sql import functions as F
-
     from gneiss.operators import related
 
     names = [f"d/f{i:02d}.py" for i in range(30)] + [f"d/g{i}_test.go" for i in range(3)]
@@ -273,3 +274,45 @@ def test_the_best_of_a_directory_don_t_need_all_pairs(spark):
                     score[b] += w
             want |= {(t, p, s) for p, s in sorted(score.items(), key=lambda x: (-x[1], x[0]))[:most]}
         assert got == want, most
+
+
+@pytest.fixture
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_first_fit_by_class_equals_one_row_after_another(spark, small_batches):
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), r.randrange(4), r.choice([0, 5, 5, 7, 30, r.randrange(1, 60)]), i) for i in range(300)]
+    x = spark.createDataFrame(rows, "g string, k int, size long, i int").repartition(5)
+    for by in ([], ["g"]):
+        for used in (0, 90, 1000):
+            want, total = set(), {}
+            for g, k, size, i in sorted(rows, key=lambda t: (t[1], t[2], t[3])):
+                g = g if by else 0
+                if total.setdefault(g, used) + size <= 400:
+                    total[g] += size
+                    want.add(i)
+            a = select.first_fit_by_class(x, 400, "size", F.col("k"), ["i"], by, used)
+            b = select.first_fit(x, 400, "size", ["k", "size", "i"], by, used)
+            for y in (a, b):
+                assert y.columns == [*x.columns, "fits"] and y.count() == 300
+                assert {r.i for r in y.where("fits").collect()} == want
+    assert select.first_fit_by_class(x.limit(0), 10, "size", F.col("k"), ["i"]).count() == 0
+
+
+def test_fixed_delay_by_hand(spark, small_batches):
+    r = random.Random(4)
+    rows = [(r.choice(["a", "b", None]), None if i % 41 == 0 else r.randrange(3000), i) for i in range(200)] + [("c", 1, 900)]
+    x = spark.createDataFrame(rows, "k string, t long, id int").selectExpr("k", "timestamp_micros(t) AS ts", "id", "k AS extra")
+    got = {q.id: q.batch for q in changes.fixed_delay_batches(x, "k", "ts", "id", 100).collect()}
+    want = {}
+    for k in ("a", "b", "c", None):
+        start, n = None, 0
+        for _, t, i in sorted((q for q in rows if q[0] == k), key=lambda q: (q[1] is not None, q[1] or 0, q[2])):
+            if t is not None and (start is None or t > start + 100):
+                start, n = t, n + 1
+            want[i] = n
+    assert got == want
