@@ -189,20 +189,28 @@ def write_index(index: DataFrame, path: str) -> DataFrame:
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """index rows with the record's body, each by one range read."""
+    """index rows with the record's body, each by one range read; a file is opened once for rows of it that follow each other."""
 
     def run(batches):
-        for batch in batches:
-            bodies = []
-            for name, offset, length, record in zip(*(batch.column(k).to_pylist() for k in ("file", "offset", "length", "record"))):
-                if record is None or record < 0:
-                    bodies.append(None)
-                    continue
-                where, path = _open(name)
-                with where.open_input_file(path) as f:
+        opened, f = None, None
+        try:
+            for batch in batches:
+                bodies = []
+                for name, offset, length, record in zip(*(batch.column(k).to_pylist() for k in ("file", "offset", "length", "record"))):
+                    if record is None or record < 0:
+                        bodies.append(None)
+                        continue
+                    if name != opened:
+                        if f:
+                            f.close()
+                        where, path = _open(name)
+                        opened, f = name, where.open_input_file(path)
                     member = zlib.decompress(f.read_at(length, offset), 31)
-                bodies.append(member[member.index(b"\r\n\r\n") + 4 : -4])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bodies, pa.binary())], names=[*batch.schema.names, "body"])
+                    bodies.append(member[member.index(b"\r\n\r\n") + 4 : -4])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bodies, pa.binary())], names=[*batch.schema.names, "body"])
+        finally:
+            if f:
+                f.close()
 
     return index.mapInArrow(run, INDEX + ", body binary")
 

@@ -4,7 +4,7 @@ For each language a context tree over bytes up to `order` is counted on labelled
 known context; a byte that this context hasn't seen costs the escape (method C: as many escapes as the context has different bytes) and then what it
 costs in the next shorter context, down to one of 256 (without exclusion). A text's code length under a language is the exact sum; the shortest wins.
 
-Training reads a bounded sample: of each language the `train_docs` labelled texts of the least hash of (text, id), taken over the whole table, whole texts.
+Training reads a bounded sample: of each language the `train_docs` labelled texts of the least hash of (text, id), taken over the whole table, whole texts, `train_bytes` at most.
 
 Scale: training is one pass over ids and hashes and one over the chosen texts. Scoring is one pass without a shuffle: the trees of all
 languages lie in one table for each order, which has the final code length of each known context and byte in every language, so
@@ -34,6 +34,7 @@ ONE = 1 << 16
 class PpmParams:
     order: int = 4
     train_docs: int = 300  # labelled texts of each language, at most
+    train_bytes: int = 16 << 20  # of these, from the least hash on as many whole texts as have so many bytes; the first in any case
 
 
 class Table:
@@ -152,8 +153,10 @@ class Trees:
 
 def train(docs: DataFrame, params: PpmParams = PpmParams()) -> Trees | None:
     x = docs.where("lang IS NOT NULL AND text <> ''").select("doc_id", "text", "lang", F.xxhash64("text", "doc_id").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    least = x.select("lang", "h").withColumn("r", rank).where(F.col("r") <= params.train_docs).groupBy("lang").agg(F.max("h").alias("most"))
+    w = Window.partitionBy("lang").orderBy("h")
+    least = x.select("lang", "h", F.octet_length("text").cast("long").alias("n")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= params.train_docs)
+    total = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    least = least.withColumn("total", total).where((F.col("total") <= params.train_bytes) | (F.col("r") == 1)).groupBy("lang").agg(F.max("h").alias("most"))
     # repeated rows share a hash: a text is learnt once
     bound = {r["lang"]: r["most"] for r in least.collect()}
     if not bound:

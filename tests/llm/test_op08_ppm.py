@@ -58,6 +58,12 @@ def test_training_is_bounded_and_whole(docs):
     rows = [(i, f"text number {i} of many", "en", "s", 0) for i in range(50)] + [(99, "ein Text", "de", "s", 0)]
     t = M.train(docs(rows), M.PpmParams(train_docs=5))
     assert t.languages == ["de", "en"]
+    few = M.train(docs(rows), M.PpmParams(order=0, train_docs=5, train_bytes=50))
+    sample = lambda n: M.train(docs(rows), M.PpmParams(order=0, train_docs=n))
+    text = ["text number of", "ein"]
+    with np.errstate(over="ignore"):
+        lengths = [m.lengths(*string_parts(pa.array(text))).tolist() for m in (few, sample(2), sample(1))]
+    assert lengths[0] == lengths[1] != lengths[2]  # two texts of 22 or 23 bytes
     assert int(M.Trees._count([b"ein Text"], 1)[1].sum()) == 8
 
 
