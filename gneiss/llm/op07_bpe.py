@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -28,14 +29,15 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, free_name, string_parts, trim
 
-NONE = np.int32(1 << 30)
+NONE = 1 << 30
+FEW = 24  # positions up to which a rank's merges are done one by one
 
 
 @dataclass(frozen=True)
 class BpeParams:
     vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     pattern: str = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-    portion_bytes: int = 8 << 20
+    portion_bytes: int = 4 << 20
     most_words: int = 1 << 19  # pre-tokens kept with their ids
 
 
@@ -90,6 +92,12 @@ class Bpe:
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The same table for single pairs, made where it is needed."""
+        at = np.flatnonzero(self.keys >= 0)
+        return dict(zip(self.keys[at].tolist(), self.values[at].tolist()))
+
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair; NONE where there is none."""
         key = a.astype(np.int64) << 20 | b
@@ -120,32 +128,64 @@ class Bpe:
         rank = np.full(n, NONE, np.int32)
         i = np.flatnonzero(nxt >= 0)
         rank[i] = self.rank(sym[i], sym[i + 1])
-        # the index: of each rank the positions where a pair begins that becomes it
+        # the index: of each rank the positions where a pair begins that becomes it, many at a time or single ones
         index: dict[int, list[np.ndarray]] = {}
+        single: dict[int, list[int]] = {}
         active: list[int] = []
+        alone: set[int] = set()
+        pairs = self.pairs.get
+        one_sym, one_nxt, one_prv, one_rank, one_alive, one_word = map(memoryview, (sym, nxt, prv, rank, alive.view(np.uint8), word))
 
         def put(i: np.ndarray) -> None:
             r = rank[i]
             i, r = i[r != NONE], r[r != NONE]
+            if len(i) <= FEW:
+                for k, x in zip(r.tolist(), i.tolist()):
+                    put_one(k, x)
+                return
             order = np.argsort(r, kind="stable")
             i, r = i[order], r[order]
             cut = np.flatnonzero(r[1:] != r[:-1]) + 1
-            for k, x in zip(r[np.concatenate(([0], cut))].tolist() if len(r) else (), np.split(i, cut)):
+            for k, x in zip(r[np.concatenate(([0], cut))].tolist(), np.split(i, cut)):
                 if k in index:
                     index[k].append(x)
                 else:
                     index[k] = [x]
                     heapq.heappush(active, k)
 
-        put(i)
-        alone: set[int] = set()
-        while active:
-            k = heapq.heappop(active)
-            p = index.pop(k)
-            p = _distinct(p[0] if len(p) == 1 else np.concatenate(p))
+        def put_one(k: int, i: int) -> None:
+            if k in single:
+                single[k].append(i)
+            else:
+                single[k] = [i]
+                heapq.heappush(active, k)
+
+        def merge_each(k: int, p: list[int]) -> None:
+            """From left to right."""
+            lower = set()
+            for i in p:
+                if not one_alive[i] or one_rank[i] != k:
+                    continue
+                if one_word[i] in lower:
+                    alone.add(one_word[i])
+                j = one_nxt[i]
+                one_sym[i], one_alive[j], one_rank[j] = k, 0, NONE
+                after = one_nxt[i] = one_nxt[j]
+                if after >= 0:
+                    one_prv[after] = i
+                for t in (one_prv[i], i):
+                    if t >= 0:
+                        j = one_nxt[t]
+                        r = one_rank[t] = pairs(one_sym[t] << 20 | one_sym[j], NONE) if j >= 0 else NONE
+                        if r != NONE:
+                            put_one(r, t)
+                            if r < k:
+                                lower.add(one_word[t])
+
+        def merge_all(k: int, p: np.ndarray) -> None:
             p = p[alive[p] & (rank[p] == k)]
             if not len(p):
-                continue
+                return
             # of occurrences that overlap (aaa), every other one from the left
             chain = np.concatenate(([True], nxt[p[:-1]] != p[1:]))
             if not chain.all():
@@ -171,6 +211,15 @@ class Bpe:
             if len(t) and rank[t].min() < k:
                 many = word[p][1:][word[p][1:] == word[p][:-1]]
                 alone.update(np.intersect1d(many, word[t[rank[t] < k]]).tolist())
+
+        put(i)
+        while active:
+            k = heapq.heappop(active)
+            arrays, ones = index.pop(k, ()), single.pop(k, ())
+            if len(ones) + sum(map(len, arrays)) <= FEW:
+                merge_each(k, sorted({*ones, *(i for x in arrays for i in x.tolist())}))
+            else:
+                merge_all(k, _distinct(np.concatenate([*arrays, np.array(ones, np.int64)])))
         ids, at = sym[alive], np.searchsorted(word[alive], np.arange(len(raw) + 1))
         if alone:
             each = [self._one(raw[w]) if w in alone else ids[at[w] : at[w + 1]] for w in range(len(raw))]
@@ -182,8 +231,8 @@ class Bpe:
         sym = self.of_byte[np.frombuffer(raw, np.uint8)].tolist()
         n = len(sym)
         nxt, prv = [*range(1, n), -1], list(range(-1, n - 1))
-        first = self.rank(np.array(sym[:-1], np.int32), np.array(sym[1:], np.int32)).tolist()
-        heap = [(r, i, sym[i], sym[i + 1]) for i, r in enumerate(first) if r != NONE]
+        pairs = self.pairs.get
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(sym, sym[1:])) if (r := pairs(a << 20 | b)) is not None]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -197,8 +246,8 @@ class Bpe:
             for x in (prv[i], i):
                 if x >= 0 and nxt[x] >= 0:
                     a, b = sym[x], sym[nxt[x]]
-                    r = int(self.rank(np.array([a], np.int32), np.array([b], np.int32))[0])
-                    if r != NONE:
+                    r = pairs(a << 20 | b)
+                    if r is not None:
                         heapq.heappush(heap, (r, x, a, b))
         return np.array([x for x in sym if x >= 0], np.int32)
 
