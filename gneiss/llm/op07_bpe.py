@@ -320,6 +320,8 @@ def encode(docs: DataFrame, params: BpeParams = BpeParams()) -> DataFrame:
                     held, size = [], 0
         if held:
             yield from flush(held, known)
+        held.clear(), known.clear()
+        trim()
 
     kinds = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)]
     x = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, ", ".join([*kinds, "ids array<int>", "n int"]))
