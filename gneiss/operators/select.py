@@ -107,11 +107,11 @@ def _cuts(most: int, used: int):
     return F.arrow_udf(run, _CUT)
 
 
-def first_fit_by_class(x: DataFrame, most: int, size: str, kind, ties: list, by: list[str] | None = None, used: int = 0) -> DataFrame:
+def first_fit_by_class(x: DataFrame, most: int, size: str, kind, ties: list[str], by: list[str] | None = None, used: int = 0) -> DataFrame:
     """first_fit() in the order kind (a whole number), size, ties; sizes aren't null.
 
     Within a class sizes ascend, so what fits is all below one size, and of that size the first by `ties`. The sizes come from numbers of rows for each class and size, so the list that is folded has at
-    most as many items as there are sizes; only rows of the border sizes are sorted. x is evaluated three times.
+    most as many items as there are sizes; only rows of the border sizes are sorted in groups. x is evaluated twice.
     """
     by = by or []
     x = x.withColumn("_kind", kind.cast("int"))
@@ -121,12 +121,12 @@ def first_fit_by_class(x: DataFrame, most: int, size: str, kind, ties: list, by:
     on = F.col("_kind") == F.col("kind")
     for i, c in enumerate(by):
         on &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    y = x.join(cuts, on, "left")
-    border = y.where((F.col(size) == F.col("cut")) & (F.col("take") > 0))
-    nth = F.row_number().over(Window.partitionBy(*by, "_kind").orderBy(*ties))
-    columns = [c for c in x.columns if c != "_kind"]
-    rest = y.where(~F.coalesce((F.col(size) == F.col("cut")) & (F.col("take") > 0), F.lit(False)))
-    return rest.select(*columns, F.coalesce(F.col(size) < F.col("cut"), F.lit(True)).alias("fits")).unionByName(border.select(*columns, (nth <= F.col("take")).alias("fits")))
+    y = x.join(cuts, on, "left").withColumn("_border", F.coalesce((F.col(size) == F.col("cut")) & (F.col("take") > 0), F.lit(False)))
+    # rows beside the border are only spread
+    spread = F.when(~F.col("_border"), F.xxhash64(size, *ties))
+    nth = F.row_number().over(Window.partitionBy(*by, "_kind", "_border", spread).orderBy(*ties))
+    fits = F.when(F.col("_border"), nth <= F.col("take")).otherwise(F.coalesce(F.col(size) < F.col("cut"), F.lit(True)))
+    return y.select(*(c for c in x.columns if c != "_kind"), fits.alias("fits"))
 
 
 def prefix_budget(x: DataFrame, most: int, size: str, order: list, by: list[str] | None = None, used: int = 0) -> DataFrame:
