@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gneiss.llm import op02_mcd, op03_simhash, op06_decontaminate, op07_bpe, op09_winnow
-from gneiss.llm.common import materialise
+from gneiss.llm.common import materialise, tidy, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,5 +42,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        before = written()
+        out = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        tidy(out, before, docs)
+        docs = out
     return docs
