@@ -78,6 +78,18 @@ def _delete(spark, path: str) -> None:
         _written.remove(path)
 
 
+def written() -> list[str]:
+    """Paths of the intermediate tables that are there."""
+    return list(_written)
+
+
+def tidy(out, before: list[str], *also) -> None:
+    """Once `out` is written: deletes the intermediate tables made for it, those that weren't there `before`, and the tables `also`, if they were materialised."""
+    for path in set(_written) - set(before) - {out.written_to}:
+        _delete(out.sparkSession, path)
+    discard(*(df for df in also if "written_to" in vars(df)))
+
+
 def clear(spark) -> None:
     """Deletes all intermediate tables of this process. Results are read from them, so they are kept until the caller has written or taken what it needs."""
     for path in list(_written):
@@ -158,7 +170,7 @@ _powers = [np.ones(1, U64), np.ones(1, U64)]
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, p in enumerate((_P, _PINV)):
-            x = np.full(max(n, 2 * BLOCK), p, U64)
+            x = np.full(max(n, BLOCK + 4096), p, U64)
             x[0] = 1
             _powers[k] = np.cumprod(x, dtype=U64)
     return _powers[0], _powers[1]

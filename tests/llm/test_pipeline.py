@@ -11,6 +11,7 @@ pytest.importorskip("corpus_pipeline")
 import corpus_pipeline as C  # noqa: E402
 
 from gneiss.llm import op07_bpe as B  # noqa: E402
+from gneiss.llm.common import written  # noqa: E402
 from gneiss.llm.op02_mcd import keep_inliers  # noqa: E402
 
 
@@ -40,7 +41,10 @@ def test_run_equals_its_stages_by_brute_force(spark, docs, tmp_path):
     spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     items = [(7, prose(900, 1))]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.doc_id: r.token_ids for r in C.run(spark, str(tmp_path)).collect()}
+    before = written()
+    out = C.run(spark, str(tmp_path))
+    assert set(written()) - set(before) == {out.written_to}  # only the result is left
+    got = {r.doc_id: r.token_ids for r in out.collect()}
 
     x = spark.read.parquet(f"{tmp_path}/documents.parquet")
     now = [(r.doc_id, r.text) for r in keep_inliers(x).collect()]
