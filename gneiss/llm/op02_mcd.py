@@ -4,13 +4,14 @@ Each document becomes a vector of transformed text statistics. For each (lang, s
 are found by concentration steps from two deterministic starts; documents whose squared Mahalanobis distance lies above
 a chi-square quantile are rejected.
 
-Scale: one pass over the texts gives eight small integers per document, kept with a hash of the text; all else works on these, and the texts aren't read by Python again. A concentration step is
-two grouped aggregations (a histogram of distances, then exact integer sums of values and products of the h nearest). Each Arrow batch gives partial counts and sums a group, so a
-hot group is spread over all tasks and nothing is collected on the driver but whether all groups have settled. Sums of fixed-point
-integers don't depend on the order of rows, so a task that runs again gives the same estimates. The h nearest are cut at a 64th of an octave of distance: the bin of the h-th stays whole.
+Scale: one pass over the texts writes seven small integers beside each document, so the verdict is read from that table, and the texts aren't shuffled and are met by Python once; all else works on the
+vectors alone. A concentration step is two grouped aggregations (a histogram of distances, then exact integer sums of values and products of the h nearest). Each Arrow batch gives partial counts and sums
+a group, so a hot group is spread over all tasks and nothing is collected on the driver but whether any group goes on. A group whose determinant no longer falls is settled and its vectors take part
+no more. Models are broadcast, up to `MODELS` groups; beyond, they are joined by a shuffle. Sums of fixed-point integers don't depend on the order of rows, so a task that runs again gives the same estimates.
+The h nearest are cut at a 64th of an octave of distance: the bin of the h-th stays whole.
 
 Defined results: a null or empty text has no words and no vector: it is rejected. Null lang or source form groups of their
-own. Rows of equal language, source and text share one verdict. Groups with fewer than `min_group` vectors are estimated together with the other small groups of their language; if even
+own. Groups with fewer than `min_group` vectors are estimated together with the other small groups of their language; if even
 these are fewer, all their documents are kept (distance null). Repeated rows count and are returned as often as they occur.
 An empty table gives no rows. Columns besides text, lang and source pass through untouched, whatever their names.
 """
@@ -18,6 +19,7 @@ An empty table gives no rows. Columns besides text, lang and source pass through
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,6 +40,8 @@ P = len(NAMES)
 #: Ordinary prose that is mixed into each text's statistics.
 PRIOR_WORDS, PRIOR_CHARS = 40, 250
 BINS_PER_OCTAVE = 64
+#: Groups whose models are broadcast: 1.2 KB each.
+MODELS = 50_000
 
 
 @dataclass(frozen=True)
@@ -45,7 +49,7 @@ class McdParams:
     support: float = 0.75  # share of a group's vectors on which the determinant is minimised
     quantile: float = 0.9999  # of chi-square with P degrees of freedom; beyond it a document is rejected
     min_group: int = 64
-    steps: int = 30  # concentration steps at most; they end when no group's log-determinant falls by more than `settled`
+    steps: int = 30  # concentration steps at most; a group's end when its log-determinant doesn't fall by more than `settled`
     settled: float = 0.001
 
 
@@ -264,39 +268,61 @@ def _group_names(lang, source):
     return name(lang), name(source)
 
 
-def vectors(docs: DataFrame, params: McdParams = McdParams()) -> DataFrame:
-    """(gl, gs0, body, v, gs) of each document: its language, source and text's hash, its vector (null: no words), and the group that stands for its source."""
+def _small(table: DataFrame, groups: int) -> DataFrame:
+    """A table of a row a group, broadcast if its size is bounded."""
+    return F.broadcast(table) if groups <= MODELS else table
+
+
+def _with_vectors(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """These columns of docs, with language and source as group names and the vector (null: no words), written."""
     bounded_batches(docs.sparkSession)
     gl, gs = _group_names(F.col("lang"), F.col("source"))
-    seen = docs.select(gl.alias("gl"), gs.alias("gs0"), F.xxhash64("text").alias("body"), _vectors(F.col("text")).alias("v"))
-    seen = materialise(seen.sortWithinPartitions("gl", "gs0"), "mcd-vectors")  # a batch then holds few groups
-    groups = seen.where("v IS NOT NULL").groupBy("gl", "gs0").count().select("gl", "gs0", F.when(F.col("count") >= params.min_group, F.col("gs0")).otherwise("*").alias("gs"))
-    return seen.join(materialise(groups, "mcd-groups"), ["gl", "gs0"], "left")
+    return materialise(docs.select(*(F.col(c) for c in columns), gl.alias(f"{key}_gl"), gs.alias(f"{key}_gs0"), _vectors(F.col("text")).alias(f"{key}_v")), "mcd-documents")
+
+
+def _grouped(whole: DataFrame, key: str, params: McdParams) -> tuple[DataFrame, DataFrame, int]:
+    """((gl, gs, v) of each vector, (gl, gs0, gs): the group that stands for a source, number of the latter)."""
+    x = whole.select(F.col(f"{key}_gl").alias("gl"), F.col(f"{key}_gs0").alias("gs0"), F.col(f"{key}_v").alias("v")).where("v IS NOT NULL")
+    groups = x.groupBy("gl", "gs0").count().select("gl", "gs0", F.when(F.col("count") >= params.min_group, F.col("gs0")).otherwise("*").alias("gs"))
+    groups = materialise(groups, "mcd-groups")
+    n = groups.count()
+    x = x.join(_small(groups, n), ["gl", "gs0"]).select("gl", "gs", "v")
+    return materialise(x.sortWithinPartitions("gl", "gs"), "mcd-vectors"), groups, n  # a batch then holds few groups
+
+
+def vectors(docs: DataFrame, params: McdParams = McdParams()) -> DataFrame:
+    """(gl, gs, v) of each document with words: its group and its vector."""
+    return _grouped(_with_vectors(docs, "mcd", []), "mcd", params)[0]
 
 
 def fit(x: DataFrame, params: McdParams = McdParams()) -> DataFrame:
     """(gl, gs, m) of each group of vectors() that is large enough."""
-    x = x.where("v IS NOT NULL").select("gl", "gs", "v")
     med = materialise(_medians(x, lambda i: F.col("v")[i]).where(F.col("n") >= params.min_group), "mcd-median")
-    off = x.join(med.select("gl", "gs", "med"), ["gl", "gs"])
+    groups = med.count()
+    off = x.join(_small(med.select("gl", "gs", "med"), groups), ["gl", "gs"])
     mad = _medians(off, lambda i: F.abs(F.col("v")[i] - F.col("med")[i])).select("gl", "gs", F.col("med").alias("mad"))
     signs = _summed(off.select("gl", "gs", "v", "med").mapInArrow(_signs, "gl string, gs string, x array<long>"), ["gl", "gs"])
-    model = materialise(med.join(mad, ["gl", "gs"]).join(signs, ["gl", "gs"]).mapInPandas(_starts, _MODEL), "mcd-start")
+    start = med.join(mad, ["gl", "gs"]).join(signs, ["gl", "gs"]).mapInPandas(_starts, _MODEL)
+    model = materialise(start.select("gl", "gs", "start", "m", F.lit(float("inf")).alias("logdet"), F.lit(False).alias("done")), "mcd-start")
     size = med.select("gl", "gs", F.ceil(F.col("n") * params.support).alias("h"))
-    both = lambda t, c: t.groupBy("gl", "gs").agg(F.sort_array(F.collect_list(F.struct("start", c))).alias("y")).select("gl", "gs", F.col(f"y.{c}").alias(c))
+    listed = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("start", c))), lambda y: y[c])
     for _ in range(params.steps):
-        now = both(model, "m").select("gl", "gs", F.flatten("m").alias("m"))
-        counts = x.join(now, ["gl", "gs"]).select("gl", "gs", "v", "m").mapInArrow(_bins, "gl string, gs string, start int, bin long, n long").groupBy("gl", "gs", "start", "bin").agg(F.sum("n").alias("n"))
+        now = model.groupBy("gl", "gs").agg(F.flatten(listed("m")).alias("m"), F.bool_and("done").alias("done")).where("NOT done").select("gl", "gs", "m")
+        counts = x.join(_small(now, groups), ["gl", "gs"]).select("gl", "gs", "v", "m").mapInArrow(_bins, "gl string, gs string, start int, bin long, n long").groupBy("gl", "gs", "start", "bin").agg(F.sum("n").alias("n"))
         # the bin in which the h-th nearest lies: that bin stays whole, as ties do
         upto = F.sum("n").over(Window.partitionBy("gl", "gs", "start").orderBy("bin"))
-        last = counts.withColumn("upto", upto).join(size, ["gl", "gs"]).where(F.col("upto") >= F.col("h")).groupBy("gl", "gs", "start").agg(F.min("bin").alias("last"))
-        edge = materialise(now.join(both(last, "last"), ["gl", "gs"]), "mcd-edge")
-        sums = x.join(edge, ["gl", "gs"]).select("gl", "gs", "v", "m", "last").mapInArrow(_moments, "gl string, gs string, start int, x array<long>")
-        new = materialise(_summed(sums, ["gl", "gs", "start"]).mapInPandas(_from_sums, _MODEL), "mcd-step")
-        fell = new.join(model.select("gl", "gs", "start", F.col("logdet").alias("old")), ["gl", "gs", "start"]).agg(F.max(F.col("old") - F.col("logdet"))).first()[0]
-        discard(edge, model)
+        last = counts.withColumn("upto", upto).join(_small(size, groups), ["gl", "gs"]).where(F.col("upto") >= F.col("h")).groupBy("gl", "gs", "start").agg(F.min("bin").alias("last"))
+        edge = now.join(last.groupBy("gl", "gs").agg(listed("last").alias("last")), ["gl", "gs"])
+        sums = x.join(_small(edge, groups), ["gl", "gs"]).select("gl", "gs", "v", "m", "last").mapInArrow(_moments, "gl string, gs string, start int, x array<long>")
+        new = _summed(sums, ["gl", "gs", "start"]).mapInPandas(_from_sums, _MODEL).select("gl", "gs", "start", F.col("m").alias("m2"), F.col("logdet").alias("l2"))
+        fell = lambda by: F.coalesce(~F.col("done") & (F.col("l2") < F.col("logdet") - by), F.lit(False))
+        new = model.join(new, ["gl", "gs", "start"], "left").select(
+            "gl", "gs", "start", F.when(fell(0.0), F.col("m2")).otherwise(F.col("m")).alias("m"), F.when(fell(0.0), F.col("l2")).otherwise(F.col("logdet")).alias("logdet"), (~fell(params.settled)).alias("done")
+        )
+        new = materialise(new, "mcd-step")
+        discard(model)
         model = new
-        if fell is None or fell < params.settled:
+        if not model.where("NOT done").limit(1).count():
             break
     best = model.groupBy("gl", "gs").agg(F.min_by("m", F.struct("logdet", "start")).alias("m"))
     scale = float(1 / np.sqrt(consistency(params.support, P)))
@@ -304,37 +330,31 @@ def fit(x: DataFrame, params: McdParams = McdParams()) -> DataFrame:
     return materialise(best.select("gl", "gs", F.transform("m", lambda a, i: F.when(i < P, a).otherwise(a * F.lit(scale))).alias("m")), "mcd-model")
 
 
-@F.arrow_udf(T.DoubleType())
-def _distance(v: pa.Array, m: pa.Array) -> pa.Array:
-    ok = pa.compute.and_(v.is_valid(), m.is_valid())
-    out = np.zeros(len(v))
-    at = ok.to_numpy(zero_copy_only=False)
-    out[at] = distances(_matrix(v.filter(ok), P), _matrix(m.filter(ok), SIZE))
-    return pa.array(out, mask=~at)
-
-
-def _judged(docs: DataFrame, params: McdParams) -> DataFrame:
-    """(gl, gs0, body, d2, outlier): one row for each different text of a language and source."""
-    x = vectors(docs, params)
-    d2 = x.join(fit(x, params), ["gl", "gs"], "left").select("gl", "gs0", "body", F.col("v").isNull().alias("empty"), _distance("v", "m").alias("d2"))
-    out = F.col("empty") | F.coalesce(F.col("d2") > chi2_quantile(params.quantile, P), F.lit(False))
-    return d2.groupBy("gl", "gs0", "body").agg(F.first("empty").alias("empty"), F.first("d2").alias("d2")).select("gl", "gs0", "body", "d2", out.alias("outlier"))
+def _distance(v: str, m: str):
+    """distances() as a column: it stays in the JVM, beside columns of any size. Null where either is."""
+    x = [F.col(v)[i] / F.lit(float(ONE)) - F.col(m)[i] for i in range(P)]
+    rows = [[F.col(m)[P + k] * x[j] for k, (r, j) in enumerate(_PAIRS) if r == i] for i in range(P)]
+    add = lambda cols: reduce(lambda a, b: a + b, cols)
+    return add([add(r) * add(r) for r in rows])
 
 
-def _joined(docs: DataFrame, judged: DataFrame, key: str, how: str) -> DataFrame:
-    gl, gs = _group_names(F.col("lang"), F.col("source"))
-    x = docs.select("*", gl.alias(f"{key}_gl"), gs.alias(f"{key}_gs0"), F.xxhash64("text").alias(f"{key}_body"))
-    return x.join(judged.select(*(F.col(c).alias(f"{key}_{c}") for c in judged.columns)), [f"{key}_gl", f"{key}_gs0", f"{key}_body"], how)
+def _judged(docs: DataFrame, params: McdParams, key: str, columns: list[str]) -> DataFrame:
+    """These columns of docs, with `key`_d2 and `key`_outlier."""
+    whole = _with_vectors(docs, key, columns)
+    x, groups, n = _grouped(whole, key, params)
+    of = groups.join(_small(fit(x, params), n), ["gl", "gs"]).select(F.col("gl").alias(f"{key}_gl"), F.col("gs0").alias(f"{key}_gs0"), F.col("m").alias(f"{key}_m"))
+    y = whole.join(_small(of, n), [f"{key}_gl", f"{key}_gs0"], "left").withColumn(f"{key}_d2", _distance(f"{key}_v", f"{key}_m"))
+    out = F.col(f"{key}_v").isNull() | F.coalesce(F.col(f"{key}_d2") > chi2_quantile(params.quantile, P), F.lit(False))
+    return y.select(*columns, f"{key}_d2", out.alias(f"{key}_outlier"))
 
 
-def mahalanobis(docs: DataFrame, params: McdParams = McdParams(), name: str = "d2") -> DataFrame:
-    """docs, with the squared robust distance as column `name` (null: no words, or no group large enough) and `name`_outlier."""
-    key = free_name(docs.columns, "mcd")
-    x = _joined(docs, _judged(docs, params), key, "left")
-    return x.select(*docs.columns, F.col(f"{key}_d2").alias(name), F.col(f"{key}_outlier").alias(f"{name}_outlier"))
+def mahalanobis(docs: DataFrame, params: McdParams = McdParams(), name: str = "d2", columns: list[str] | None = None) -> DataFrame:
+    """docs (or these of its columns), with the squared robust distance as column `name` (null: no words, or no group large enough) and `name`_outlier."""
+    key, columns = free_name(docs.columns, "mcd"), docs.columns if columns is None else columns
+    return _judged(docs, params, key, columns).select(*columns, F.col(f"{key}_d2").alias(name), F.col(f"{key}_outlier").alias(f"{name}_outlier"))
 
 
 def keep_inliers(docs: DataFrame, params: McdParams = McdParams()) -> DataFrame:
     """The documents that aren't rejected, with docs' columns."""
     key = free_name(docs.columns, "mcd")
-    return _joined(docs, _judged(docs, params).where("outlier").select("gl", "gs0", "body"), key, "left_anti").select(*docs.columns)
+    return _judged(docs, params, key, docs.columns).where(f"NOT {key}_outlier").select(*docs.columns)

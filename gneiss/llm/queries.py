@@ -29,7 +29,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the quality rule keeps, with their distances (null: no group large enough)."""
-    x = op02_mcd.mahalanobis(_table(spark, sf_dir, "documents"))
+    x = op02_mcd.mahalanobis(_table(spark, sf_dir, "documents"), columns=["doc_id", "lang", "source"])
     return x.where("NOT d2_outlier").select("doc_id", "lang", "source", "d2")
 
 
