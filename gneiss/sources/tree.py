@@ -10,7 +10,7 @@ import os
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull
 
 from ..functions.paths import IGNORED_DIRS, OWN_DIR
 
@@ -97,7 +97,7 @@ class TreeReader(DataSourceReader):
             if isinstance(f, (EqualTo, In)) and f.attribute == ("path",):
                 names = {x for x in (f.value if isinstance(f, In) else [f.value]) if x is not None}
                 self.only = names if self.only is None else self.only & names
-            else:
+            elif not (isinstance(f, IsNotNull) and f.attribute == ("path",)):  # every file has one
                 yield f
 
     def partitions(self):
