@@ -76,56 +76,60 @@ def fingerprints(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, np.diff(at) > 0
 
 
+class Golay:
+    """The perfect binary code of length 23: every value lies within 3 bits of one code word. A word's number follows from its lower 12 bits, and a value's error pattern from its syndrome of 11 bits."""
+
+    def __init__(self):
+        g = 0b101011100011
+        self.code = np.zeros(1, np.int64)
+        for i in range(12):
+            self.code = np.concatenate((self.code, self.code ^ (g << i)))
+        self.lower = np.zeros(4096, np.int64)
+        self.lower[self.code & 0xFFF] = np.arange(4096)
+        e = [0, *(1 << i for i in range(N))]
+        errors = np.unique([a ^ b ^ c for a in e for b in e for c in e])
+        self.errors = np.full(2048, -1, np.int64)
+        self.errors[self.syndrome(errors)] = errors
+        assert len(errors) == 2048 and (self.errors >= 0).all()
+
+    def number(self, word: np.ndarray) -> np.ndarray:
+        return self.lower[word & 0xFFF]
+
+    def syndrome(self, v: np.ndarray) -> np.ndarray:
+        return (v ^ self.code[self.lower[v & 0xFFF]]) >> 12
+
+    def __getitem__(self, v: np.ndarray) -> np.ndarray:
+        """Number of the nearest code word."""
+        return self.number(v ^ self.errors[self.syndrome(v)])
+
+
 @lru_cache(1)
-def golay() -> tuple[np.ndarray, np.ndarray]:
+def golay() -> tuple[np.ndarray, Golay]:
     """(the 4096 code words, the nearest code word's number of each 23-bit value)."""
-    g = 0b101011100011
-    code = np.zeros(1, np.int64)
-    for i in range(12):
-        code = np.concatenate((code, code ^ (g << i)))
-    nearest = np.full(1 << N, -1, np.int16)
-    e = [0, *(1 << i for i in range(N))]
-    errors = sorted({a ^ b ^ c for a in e for b in e for c in e})
-    number = np.arange(4096, dtype=np.int16)
-    for x in errors:
-        nearest[code ^ x] = number
-    assert (nearest >= 0).all()  # a perfect code: every value lies within 3 bits of one code word
-    return code, nearest
+    g = Golay()
+    return g.code, g
 
 
 @lru_cache(8)
-def near_anchors(slack: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """For each error pattern (value xor its code word), by how many bits beyond the covering radius (0 to slack) other code words lie:
-    (number of each error pattern, for each excess (offsets, code word numbers))."""
-    code, nearest = golay()
-    number = np.full(1 << N, -1, np.int32)
-    errors = np.unique(np.arange(1 << N) ^ code[nearest])
-    number[errors] = np.arange(len(errors))
-    dist = np.bitwise_count(code[None, :] ^ errors[:, None]).astype(np.int16)
+def near_anchors(slack: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the error pattern (value xor its code word) of each syndrome, by how many bits beyond the covering radius (0 to slack) other code words lie: for each excess (offsets, code word numbers)."""
+    code, near = golay()
+    dist = np.bitwise_count(code[None, :] ^ near.errors[:, None]).astype(np.int16)
     excess = np.maximum(dist - RADIUS, 0)
     out = []
     for s in range(slack + 1):
         e, c = np.nonzero(excess == s)
-        out.append((np.searchsorted(e, np.arange(len(errors) + 1)), c.astype(np.int32)))
-    return number, out
-
-
-def _index_xor() -> np.ndarray:
-    """Code words are closed under xor: value to number."""
-    code, _ = golay()
-    at = np.full(1 << N, -1, np.int32)
-    at[code] = np.arange(4096)
-    return at
+        out.append((np.searchsorted(e, np.arange(2049)), c.astype(np.int32)))
+    return out
 
 
 def anchors(low: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, anchor) of all anchors within covering radius plus slack, of the first 46 bits of each value."""
-    code, nearest = golay()
-    number, lists = near_anchors(slack)
-    at = _index_xor()
+    code, near = golay()
+    lists = near_anchors(slack)
     a, b = (low & U64(MASK)).astype(np.int64), ((low >> U64(N)) & U64(MASK)).astype(np.int64)
-    ca, cb = code[nearest[a]], code[nearest[b]]
-    ea, eb = number[a ^ ca], number[b ^ cb]
+    ea, eb = near.syndrome(a), near.syndrome(b)
+    ca, cb = a ^ near.errors[ea], b ^ near.errors[eb]
     rows, keys = [], []
     for i in range(slack + 1):
         for j in range(slack + 1 - i):
@@ -137,7 +141,7 @@ def anchors(low: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
             x = la[oa[ea[row]] + k // nb[row]]
             y = lb[ob[eb[row]] + k % nb[row]]
             rows.append(row)
-            keys.append(at[ca[row] ^ code[x]].astype(np.int64) << 12 | at[cb[row] ^ code[y]])
+            keys.append(near.number(ca[row] ^ code[x]) << 12 | near.number(cb[row] ^ code[y]))
     return np.concatenate(rows), np.concatenate(keys)
 
 
