@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import paths as P
+from .pairs import pairs
 
 JS_EXTS = tuple(f".{e}" for e in "ts tsx js jsx d.ts mjs cjs".split())
 _Q = r"""["']([^"']+)["']"""
@@ -135,8 +136,9 @@ def go_importers(files: DataFrame) -> DataFrame:
     x = go_imports(files).where("NOT endswith(src, '_test.go')").where(~P.in_ignored_dir("src", False)).distinct().crossJoin(go_module(files)).where("module <> ''")
     d = P.dirname("path")
     go = files.where(F.col("path").endswith(".go")).select(F.col("path").alias("target"), d.alias("dir")).crossJoin(go_module(files))
-    go = go.withColumn("spec", F.when(F.col("dir") == ".", F.col("module")).otherwise(F.concat_ws("/", "module", "dir"))).select("target", "spec")
-    return x.select("src", "spec").join(go, "spec").where("src <> target").select("target", "src").distinct()
+    go = go.withColumn("spec", F.when(F.col("dir") == ".", F.col("module")).otherwise(F.concat_ws("/", "module", "dir"))).select("target", "spec").distinct()
+    # both sides are distinct and a target has one spec, so no pair comes twice
+    return pairs(x.select("src", "spec"), go, "spec").where("src <> target").select("target", "src")
 
 
 def links(pages: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Queries in forms that hold at size: bounded tasks, the same rows."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.operators import related
+from gneiss.operators import graph, related
 
 
 @pytest.fixture
@@ -33,3 +34,21 @@ def test_the_pairs_of_one_directory_come_out_of_several_tasks(spark, no_broadcas
     x = spark.range(1100).selectExpr("'d/' || id AS path")
     per = related.same_dir(x, x.select(F.col("path").alias("target"))).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert sum(r["count"] for r in per) == 1100 * 1099 and len(per) > 1
+
+
+def _plan(x) -> str:
+    return x._jdf.queryExecution().executedPlan().toString()
+
+
+def _go(spark):
+    text = 'package p\n\nimport "m/a"\nimport q "m/a"\nimport "m/b"\n'
+    rows = [("go.mod", "module m\n"), *((f"a/{i}.go", text) for i in range(4)), ("a/0.go", text), ("a/x_test.go", text), ("b/1.go", "package b\n")]
+    return spark.createDataFrame(rows, "path string, content string")
+
+
+def test_go_importers_don_t_gather_the_pairs(spark):
+    x = graph.go_importers(_go(spark))
+    a = [f"a/{i}.go" for i in range(4)]
+    want = {(t, s) for s in a for t in (*a, "a/x_test.go", "b/1.go") if s != t}
+    assert Counter(map(tuple, x.collect())) == Counter(want)
+    assert "hashpartitioning(target#0, src" not in re.sub(r"#\d+", "#0", _plan(x))
