@@ -128,7 +128,9 @@ def go_package_edges(files: DataFrame) -> DataFrame:
     x = go_imports(files).crossJoin(go_module(files)).where("module <> '' AND startswith(spec, module)")
     x = x.withColumn("dir", F.regexp_replace(F.expr("substring(spec, length(module) + 1)"), "^/", "")).where("dir <> ''")
     go = files.where(F.col("path").endswith(".go")).select(F.col("path").alias("dst"), P.dirname("path").alias("dir"))
-    return x.join(go, "dir").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    # counted before the join: a file is in one directory, so no pair comes twice
+    x, go = x.groupBy("src", "dir").agg(F.count("*").alias("_lines")), go.groupBy("dst", "dir").agg(F.count("*").alias("_rows"))
+    return pairs(x, go, "dir").select("src", "dst", (F.col("_lines") * F.col("_rows")).alias("n"))
 
 
 def go_importers(files: DataFrame) -> DataFrame:

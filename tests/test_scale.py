@@ -46,6 +46,16 @@ def _go(spark):
     return spark.createDataFrame(rows, "path string, content string")
 
 
+def test_go_package_edges_count_before_the_join(spark):
+    x = graph.go_package_edges(_go(spark))
+    # a source that is there twice has its lines twice, a file that is there twice counts twice
+    twice = lambda p: 2 if p == "a/0.go" else 1
+    a = [*(f"a/{i}.go" for i in range(4)), "a/x_test.go"]
+    want = {(s, d, 2 * twice(s) * twice(d)) for s in a for d in a} | {(s, "b/1.go", twice(s)) for s in a}
+    assert set(map(tuple, x.collect())) == want and x.count() == len(want)
+    assert "hashpartitioning(src" in _plan(x) and "hashpartitioning(src#0, dst" not in re.sub(r"#\d+", "#0", _plan(x))
+
+
 def test_go_importers_don_t_gather_the_pairs(spark):
     x = graph.go_importers(_go(spark))
     a = [f"a/{i}.go" for i in range(4)]
