@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from ..config import Config
 from ..functions import paths as P
+from ..functions.batches import slices
 
 #: Unicode white space.
 SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -40,15 +41,20 @@ def chunk_text(text: str, max_lines: int, max_bytes: int) -> list[tuple[int, int
     return out
 
 
-def chunks(files: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """chunks of files (path, content): one pass, no shuffle."""
-    most_lines, most_bytes = cfg.max_chunk_lines, cfg.max_chunk_bytes
+def _chunked(most_lines: int, most_bytes: int):
+    """Over batches of path, language and text: the chunks, in a batch for each slice."""
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
 
     def run(batches):
         for batch in batches:
-            rows = [(p, lang, *c) for p, lang, t in zip(*(c.to_pylist() for c in batch.columns)) if t for c in chunk_text(t, most_lines, most_bytes)]
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "language", "start_line", "end_line", "content"])
+            for part in slices(batch):
+                rows = [(p, lang, *c) for p, lang, t in zip(*(c.to_pylist() for c in part.columns)) if t for c in chunk_text(t, most_lines, most_bytes)]
+                columns = list(zip(*rows)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "language", "start_line", "end_line", "content"])
+
+    return run
 
-    return files.select("path", P.language("path").alias("language"), "content").mapInArrow(run, CHUNKS)
+
+def chunks(files: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """chunks of files (path, content): one pass, no shuffle; a worker holds a batch of files and the chunks of a slice of it."""
+    return files.select("path", P.language("path").alias("language"), "content").mapInArrow(_chunked(cfg.max_chunk_lines, cfg.max_chunk_bytes), CHUNKS)

@@ -4,10 +4,13 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.operators import graph, related
+from gneiss.functions.batches import slices
+from gneiss.operators import chunk, graph, outline, related, search
+from gneiss.plans.queries import SMALL
 
 
 @pytest.fixture
@@ -62,3 +65,12 @@ def test_go_importers_don_t_gather_the_pairs(spark):
     want = {(t, s) for s in a for t in (*a, "a/x_test.go", "b/1.go") if s != t}
     assert Counter(map(tuple, x.collect())) == Counter(want)
     assert "hashpartitioning(target#0, src" not in re.sub(r"#\d+", "#0", _plan(x))
+
+
+def test_slices_are_all_of_a_batch_in_order():
+    texts = ["a" * 30, None, "", "ж" * 25, "b" * 500, "c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(6))], names=["t", "i"])
+    got = [p.column(1).to_pylist() for p in slices(batch, 80)]
+    assert got == [[0, 1, 2, 3], [4], [5]]
+    assert [p.column(0).to_pylist() for p in slices(batch.slice(2, 3), 80)] == [["", "ж" * 25], ["b" * 500]]
+    assert sum(p.num_rows for p in slices(batch, 1)) == 6 and list(slices(batch.slice(0, 0))) == []
