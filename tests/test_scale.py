@@ -74,3 +74,12 @@ def test_slices_are_all_of_a_batch_in_order():
     assert got == [[0, 1, 2, 3], [4], [5]]
     assert [p.column(0).to_pylist() for p in slices(batch.slice(2, 3), 80)] == [["", "ж" * 25], ["b" * 500]]
     assert sum(p.num_rows for p in slices(batch, 1)) == 6 and list(slices(batch.slice(0, 0))) == []
+
+
+def test_outlines_of_a_batch_in_slices(monkeypatch):
+    text = ["def a(x): pass\n" * 40, None, "", "class B\n"]
+    language = pa.array(["", "", "", "go"] * 25)
+    monkeypatch.setattr(slices, "__defaults__", (2000,))
+    got = outline._each(outline._OUTLINE, language, pa.array(text * 25))
+    assert got.to_pylist() == [None if c is None else outline._OUTLINE[k](c) for k, c in zip(language.to_pylist(), text * 25)]
+    assert outline._each(outline._SUMMARY, language[:0], pa.array([], pa.string())).to_pylist() == []
