@@ -83,3 +83,17 @@ def test_outlines_of_a_batch_in_slices(monkeypatch):
     got = outline._each(outline._OUTLINE, language, pa.array(text * 25))
     assert got.to_pylist() == [None if c is None else outline._OUTLINE[k](c) for k, c in zip(language.to_pylist(), text * 25)]
     assert outline._each(outline._SUMMARY, language[:0], pa.array([], pa.string())).to_pylist() == []
+
+
+def test_search_finds_the_same_in_slices(spark, monkeypatch):
+    text = "the other line\n" * 300
+    x = spark.createDataFrame([(f"{i}.md", text if i % 3 else "none\n") for i in range(60)], "path string, content string").coalesce(1)
+    found = lambda: [(r.path, r.start_line, r.score) for r in search.search_chunks(chunk.chunks(x, SMALL), "the", 0).orderBy("path", "start_line").collect()]
+    want = found()
+    whole = [(f"{i}.md", a, 10 + c.count("the")) for i in range(60) if i % 3 for a, _, c in chunk.chunk_text(text, SMALL.max_chunk_lines, SMALL.max_chunk_bytes)]
+    assert want == sorted(whole)
+    run = chunk._chunked(SMALL.max_chunk_lines, SMALL.max_chunk_bytes)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i}.md" for i in range(60)]), pa.array(["text"] * 60), pa.array([text if i % 3 else "none\n" for i in range(60)])], names=["path", "language", "content"])
+    monkeypatch.setattr(slices, "__defaults__", (5000,))
+    parts = list(run([batch]))
+    assert len(parts) > 20 and sum(p.num_rows for p in parts if p) == len(whole) + 20
