@@ -85,6 +85,15 @@ def test_outlines_of_a_batch_in_slices(monkeypatch):
     assert outline._each(outline._SUMMARY, language[:0], pa.array([], pa.string())).to_pylist() == []
 
 
+def test_chunks_of_a_batch_come_in_parts():
+    text = "".join(f"line {i}\n" for i in range(4000))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i}.go" for i in range(200)]), pa.array(["go"] * 200), pa.array([text] * 199 + [None])], names=["path", "language", "content"])
+    parts = list(chunk._chunked(200, 8192)([batch]))
+    assert len(parts) > 4 and max(p.nbytes for p in parts) < 3 << 20
+    want = [(f"{i}.go", "go", *c) for i in range(199) for c in chunk.chunk_text(text, 200, 8192)]
+    assert [tuple(r.values()) for p in parts for r in p.to_pylist()] == want
+
+
 def test_search_finds_the_same_in_slices(spark, monkeypatch):
     text = "the other line\n" * 300
     x = spark.createDataFrame([(f"{i}.md", text if i % 3 else "none\n") for i in range(60)], "path string, content string").coalesce(1)
