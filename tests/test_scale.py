@@ -106,3 +106,30 @@ def test_search_finds_the_same_in_slices(spark, monkeypatch):
     monkeypatch.setattr(slices, "__defaults__", (5000,))
     parts = list(run([batch]))
     assert len(parts) > 20 and sum(p.num_rows for p in parts if p) == len(whole) + 20
+
+
+def test_symbol_uses_by_hand(spark):
+    from itertools import product
+
+    r = random.Random(5)
+    uses = [(r.choice(["p", "q", "s", None]), r.choice([*"abcd", None]), r.choice([*"abcdef", None]), r.choice([1, 2, 7, None])) for _ in range(60)]
+    targets = [*"abe", "z", "a"]
+    x = related.go_uses(spark.createDataFrame([(t,) for t in targets], "target string"), spark.createDataFrame(uses, "package string, file string, def_file string, n long"))
+    per, want = {}, Counter()
+    for p, _, d, n in uses:
+        per.setdefault((p, d), []).append(n)
+    per = {k: sum(n for n in v if n is not None) if any(n is not None for n in v) else None for k, v in per.items() if None not in k}
+    for (p, f), ((q, d), n) in product({(p, f) for p, f, *_ in uses if None not in (p, f)}, per.items()):
+        if p == q and f != d:
+            if d in targets:
+                want[d, f, "go_types_refs_target"] += 12 + min(3, 3 if n is None else n)
+            if f in targets:
+                want[f, d, "go_types_used_by_target"] += 7 + min(5, 5 if n is None else n)
+    assert {(q.target, q.path, q.reason): q.w for q in x.collect()} == want and x.count() == len(want)
+    # the uses by package, and the pairs once
+    assert len(re.findall(r"Exchange hashpartitioning\((?:def_file|file)#\d+[^,]*, (?:def_file|file)#", _plan(x))) == 0
+
+
+def test_symbol_uses_make_the_pairs_once(spark, no_broadcast):
+    u = spark.createDataFrame([("p", "a", "b", 1)], "package string, file string, def_file string, n long")
+    assert _plan(related.go_uses(u.select(F.col("def_file").alias("target")), u)).count("SortMergeJoin [package") == 1
