@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..functions import paths as P
+from ..functions.batches import slices
 from ..sources.tree import walk
 
 CHANGES = "ts timestamp, op string, path string"
@@ -45,12 +46,18 @@ def parse_porcelain(blob: str, new_first: bool = False) -> tuple[set[str], set[s
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("path", T.StringType())])))
 def status_paths(blob: pa.Array) -> pa.Array:
-    """(op, path) of each status text of a column, by parse_porcelain."""
-    out = []
-    for b in blob.to_pylist():
-        add, gone = parse_porcelain(b or "")
-        out.append([{"op": "add", "path": p} for p in sorted(add)] + [{"op": "del", "path": p} for p in sorted(gone)])
-    return pa.array(out, pa.list_(pa.struct([("op", pa.string()), ("path", pa.string())])))
+    """(op, path) of each status text of a column, by parse_porcelain; of a batch only a slice is in Python objects at a time."""
+    parts = []
+    for part in slices(pa.RecordBatch.from_arrays([blob], names=["b"])):
+        ends, op, path = [0], [], []
+        for b in part.column(0).to_pylist():
+            add, gone = parse_porcelain(b or "")
+            op += ["add"] * len(add) + ["del"] * len(gone)
+            path += sorted(add) + sorted(gone)
+            ends.append(len(path))
+        rows = pa.StructArray.from_arrays([pa.array(op, pa.string()), pa.array(path, pa.string())], names=["op", "path"])
+        parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct([("op", pa.string()), ("path", pa.string())])))
 
 
 def event_op(kind: str | Column) -> Column:

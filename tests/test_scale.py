@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gneiss.functions.batches import slices
 from gneiss.operators import chunk, graph, outline, related, search
 from gneiss.plans.queries import SMALL
+from gneiss.streaming import changes
 
 
 @pytest.fixture
@@ -133,3 +134,16 @@ def test_symbol_uses_by_hand(spark):
 def test_symbol_uses_make_the_pairs_once(spark, no_broadcast):
     u = spark.createDataFrame([("p", "a", "b", 1)], "package string, file string, def_file string, n long")
     assert _plan(related.go_uses(u.select(F.col("def_file").alias("target")), u)).count("SortMergeJoin [package") == 1
+
+
+def test_status_of_a_batch_in_slices(monkeypatch):
+    blobs = [" M a\0?? b\0D  c\0", None, "", "R  new\0old\0C  x\0y\0"] * 50
+    monkeypatch.setattr(slices, "__defaults__", (100,))
+    parts = []
+    monkeypatch.setattr(changes, "slices", lambda b: (parts.append(p) or p for p in slices(b)))
+    got = changes.status_paths.func(pa.array(blobs)).to_pylist()
+    assert len(parts) > 10
+    for b, have in zip(blobs, got, strict=True):
+        add, gone = changes.parse_porcelain(b or "")
+        assert have == [{"op": "add", "path": p} for p in sorted(add)] + [{"op": "del", "path": p} for p in sorted(gone)]
+    assert changes.status_paths.func(pa.array([], pa.string())).to_pylist() == []
