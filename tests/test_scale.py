@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import pyarrow as pa
@@ -95,6 +96,28 @@ def test_chunks_of_a_batch_come_in_parts():
     assert [tuple(r.values()) for p in parts for r in p.to_pylist()] == want
 
 
+def test_chunks_of_a_long_text_don_t_hold_all_its_lines():
+    text = "ab\n" * (4 << 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a.go"]), pa.array(["go"]), pa.array([text])], names=["path", "language", "content"])
+    tracemalloc.start()
+    spans = [x for p in chunk._chunked(200, 8192)([batch]) for x in zip(p.column(2).to_pylist(), p.column(3).to_pylist())]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert spans == [(i + 1, min(i + 200, 4 << 20)) for i in range(0, 4 << 20, 200)]
+    assert peak < 4 * len(text)
+
+
+def test_chunks_in_windows_are_those_of_the_whole(monkeypatch):
+    r = random.Random(3)
+    for alphabet in ("a\n", "ab\n\r", "aж \n\r ", "a" * 30 + "\n"):
+        for _ in range(300):
+            text, lines, size = "".join(r.choices(alphabet, k=r.randrange(400))), r.randrange(1, 8), r.randrange(1, 20)
+            monkeypatch.setattr(chunk, "WINDOW", 1 << 18)
+            want = chunk.chunk_text(text, lines, size)
+            monkeypatch.setattr(chunk, "WINDOW", 1)
+            assert chunk.chunk_text(text, lines, size) == want
+
+
 def test_search_finds_the_same_in_slices(spark, monkeypatch):
     text = "the other line\n" * 300
     x = spark.createDataFrame([(f"{i}.md", text if i % 3 else "none\n") for i in range(60)], "path string, content string").coalesce(1)
