@@ -132,6 +132,16 @@ def test_search_finds_the_same_in_slices(spark, monkeypatch):
     assert len(parts) > 20 and sum(p.num_rows for p in parts if p) == len(whole) + 20
 
 
+def test_search_over_the_chunks_of_a_long_text_in_parts(spark):
+    text = "".join(f"the line {i}\n" for i in range(200_000))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a.md", "b.md"]), pa.array(["text"] * 2), pa.array([text, "the\n"])], names=["path", "language", "content"])
+    parts = list(chunk._chunked(SMALL.max_chunk_lines, SMALL.max_chunk_bytes)([batch]))
+    assert len(parts) > 2 and max(p.nbytes for p in parts) < 3 << 20 and sum(p.num_rows for p in parts) == 10_001
+    x = spark.createDataFrame([("a.md", text), ("b.md", "the\n")], "path string, content string")
+    got = {(r.path, r.start_line): r.score for r in search.search_chunks(chunk.chunks(x, SMALL), "the", 0).collect()}
+    assert got == {("a.md", i): 30 for i in range(1, 200_001, 20)} | {("b.md", 1): 11}
+
+
 def test_symbol_uses_by_hand(spark):
     from itertools import product
 
