@@ -24,12 +24,13 @@ WINDOW = 1 << 18
 CHUNKS = "path string, language string, start_line int, end_line int, content string"
 
 
-def _each(data: bytes, max_lines: int, max_bytes: int) -> Iterator[tuple[int, int, str]]:
-    """The chunks of a text in UTF-8, one by one. Only the lines of a window are held; it has room for any chunk and a line after it, and the next begins behind the last chunk that can't go on."""
-    width, returns = max(WINDOW, 8 * max_bytes + 16), b"\r" in data
+def _each(data: bytes | memoryview, max_lines: int, max_bytes: int) -> Iterator[tuple[int, int, str]]:
+    """The chunks of a text in UTF-8, one by one. Only a window is copied and its lines held; it has room for any chunk and a line after it, and the next begins behind the last chunk that can't go on."""
+    width = max(WINDOW, 8 * max_bytes + 16)
     pos, before, last = 0, 0, False
     while pos < len(data) and not last:
-        raw = data[pos : pos + width].split(b"\n")
+        window = bytes(data[pos : pos + width])
+        raw = window.split(b"\n")
         rest, last = raw.pop(), pos + width >= len(data)
         if last and rest:
             raw.append(rest)
@@ -37,7 +38,7 @@ def _each(data: bytes, max_lines: int, max_bytes: int) -> Iterator[tuple[int, in
         if len(long := np.flatnonzero(size >= 4 * max_bytes)):
             raw, size = raw[: long[0]], size[: long[0]]
         last = last or len(long) > 0 or len(rest) >= 4 * max_bytes
-        lines = [x[:-1] if x.endswith(b"\r") else x for x in raw] if returns else raw
+        lines = [x[:-1] if x.endswith(b"\r") else x for x in raw] if b"\r" in window else raw
         ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)
         i, n = 0, len(lines)
         while i < n:
@@ -58,7 +59,7 @@ def chunk_text(text: str, max_lines: int, max_bytes: int) -> list[tuple[int, int
 
 
 def _chunked(most_lines: int, most_bytes: int):
-    """Over batches of path, language and text: the chunks, in a batch for each slice, in several for a text that is larger."""
+    """Over batches of path, language and text: the chunks, in a batch for each slice, in several for a text that is larger. Texts are read where Arrow has them."""
     kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
@@ -69,8 +70,8 @@ def _chunked(most_lines: int, most_bytes: int):
         for batch in batches:
             for part in slices(batch):
                 rows, held = [], 0
-                for p, lang, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist()):
-                    for c in _each(t or b"", most_lines, most_bytes):
+                for p, lang, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                    for c in _each(memoryview(t.as_buffer() or b""), most_lines, most_bytes):
                         if held > SLICE:
                             yield made(rows)
                             rows, held = [], 0

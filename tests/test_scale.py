@@ -107,6 +107,21 @@ def test_chunks_of_a_long_text_don_t_hold_all_its_lines():
     assert peak < 4 * len(text)
 
 
+def test_search_chunks_of_a_long_text_are_cut_without_a_copy_of_it():
+    text = "the line of a file\r\n" * (1 << 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a.md", "b.md", "c.md"]), pa.array(["text"] * 3), pa.array([text, None, ""])], names=["path", "language", "content"])
+    run = chunk._chunked(SMALL.max_chunk_lines, SMALL.max_chunk_bytes)
+    tracemalloc.start()
+    n = sum(p.num_rows for p in run([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == -(-(1 << 20) // SMALL.max_chunk_lines) and peak < len(text) / 2
+    want = [("d.md", "text", *c) for c in chunk.chunk_text("the ж\r\n" * 90, SMALL.max_chunk_lines, SMALL.max_chunk_bytes)]
+    for kind in (pa.string(), pa.large_string()):
+        some = pa.RecordBatch.from_arrays([pa.array(["x", "d.md"]), pa.array(["text"] * 2), pa.array([text[:30], "the ж\r\n" * 90], kind)], names=batch.schema.names).slice(1)
+        assert [tuple(r.values()) for p in run([some]) for r in p.to_pylist()] == want
+
+
 def test_chunks_in_windows_are_those_of_the_whole(monkeypatch):
     r = random.Random(3)
     for alphabet in ("a\n", "ab\n\r", "aж \n\r ", "a" * 30 + "\n"):
